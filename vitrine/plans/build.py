@@ -83,12 +83,11 @@ def trim_text(items: DataFrame, budgets: Mapping[str, int] = TEXT_BUDGETS, defau
 def compact(items: DataFrame) -> DataFrame:
     """Replace the three image URLs and the record URL by a key where they can be rebuilt."""
     df = items.withColumn("img", compact_images(F.col("source"), F.col("thumb_url"), F.col("image_url"), F.col("original_url")))
+    # a step of its own: a column named inside a lambda would pick up the new value of that column
+    df = df.withColumn("files", drop_redundant_files(F.coalesce("files", no_files()), F.col("original_url")))
     kept = {c: F.when(F.col("img").isNull(), F.col(c)) for c in ("thumb_url", "image_url", "original_url")}
     record = default_record_url(F.col("source"), F.col("source_id"), F.col("img"))
-    return df.withColumns(
-        {**kept, "source_url": elide_record_url(F.col("source_url"), record),
-         "files": drop_redundant_files(F.coalesce("files", no_files()), F.col("original_url"))}
-    )
+    return df.withColumns({**kept, "source_url": elide_record_url(F.col("source_url"), record)})
 
 
 def build_catalog(
