@@ -6,7 +6,7 @@ All of it runs inside the JVM. Lengths count code points.
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
 from functools import lru_cache
 
 from pyspark.sql import Column, functions as F
@@ -198,3 +198,28 @@ def download_name(source: Column, item_id: Column, title: Column, ext: Column) -
         source, F.lit("-"), slug(F.regexp_replace(item_id, r"^[^:]+:", ""), 40),
         F.lit("-"), slug(title, 50), F.lit("."), ext,
     )
+
+
+MAX_DICTIONARY = 20000
+
+
+def _dictionary(words: Mapping[str, str]) -> Column:
+    """Word table as a constant map; its size is checked because it ships with every task."""
+    known = {k: v for k, v in words.items() if v}
+    if len(known) > MAX_DICTIONARY:
+        raise ValueError(f"more than {MAX_DICTIONARY} words: use translate_terms with a DataFrame")
+    if not known:
+        return F.lit(None).cast("map<string,string>")
+    return F.map_from_arrays(F.lit(list(known)), F.lit(list(known.values())))
+
+
+def english_terms(c: Column, dictionary: Mapping[str, str], keep_apostrophes: bool = False) -> Column:
+    """Distinct English terms of the words found in a dictionary, in the order met."""
+    words = F.split(F.lower(c), r"[^\p{L}']+" if keep_apostrophes else r"[^\p{L}]+")
+    table = _dictionary(dictionary)
+    return F.array_join(F.array_distinct(F.array_compact(F.transform(words, lambda w: F.try_element_at(table, w)))), " ")
+
+
+def english_type(c: Column, dictionary: Mapping[str, str]) -> Column:
+    """First English word of a known type name, else the name itself."""
+    return F.coalesce(F.substring_index(F.try_element_at(_dictionary(dictionary), F.lower(c)), " ", 1), c)
