@@ -23,4 +23,4 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def load_all() -> None:
-    from vitrine.checks import boards, catalog, scalars, similarity, sources, texts  # noqa: F401
+    from vitrine.checks import boards, catalog, scalars, similarity, sources, streams, texts  # noqa: F401

@@ -43,6 +43,27 @@ def _transitions(times: np.ndarray, window_ms: int) -> tuple[np.ndarray, np.ndar
     return starts[keep], ends[keep]
 
 
+def _chain(hours) -> list[int]:
+    """End of the running window at the start of each hour."""
+    end, carried = NEVER, []
+    for hour in hours:
+        carried.append(int(end))
+        after = hour["_end"][np.searchsorted(np.asarray(hour["_from"]), end, side="right") - 1]
+        end = end if after == -1 else after
+    return carried
+
+
+def _openings(times: np.ndarray, carry: int, window_ms: int) -> list[int]:
+    """Windows that touch an hour: the one running at its start and the ones opened in it."""
+    jump = _next_window(times, window_ms)
+    at = int(np.searchsorted(times, carry, side="right"))
+    found = [] if carry == NEVER else [carry - window_ms]
+    while at < len(times):
+        found.append(int(times[at]))
+        at = int(jump[at])
+    return found
+
+
 def fixed_window_throttle(events: DataFrame, key: str, ts: str, tie: str, max_uses: int = 12, window_ms: int = 600_000) -> DataFrame:
     """Adds window_start (epoch ms), used (count within the window) and allowed. Refused events count too."""
     rows = events.withColumn("_ms", F.floor(F.unix_micros(F.col(ts).cast("timestamp")) / 1000).cast("bigint"))
@@ -50,40 +71,30 @@ def fixed_window_throttle(events: DataFrame, key: str, ts: str, tie: str, max_us
     times = rows.select(key, "_chunk", "_ms").distinct()
     key_type = events.schema[key].dataType.simpleString()
 
-    def summarize(ids, pdf: pd.DataFrame) -> pd.DataFrame:
-        starts, ends = _transitions(np.sort(pdf["_ms"].to_numpy()), window_ms)
-        return pd.DataFrame({key: ids[0], "_chunk": ids[1], "_from": starts, "_end": ends})
-
-    def chain(ids, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["_chunk", "_from"])
-        end, chunks, carried = NEVER, [], []
-        for chunk, part in pdf.groupby("_chunk", sort=False):
-            chunks.append(chunk)
-            carried.append(end)
-            at = np.searchsorted(part["_from"].to_numpy(), end, side="right") - 1
-            after = part["_end"].to_numpy()[at]
-            end = end if after == -1 else after
-        return pd.DataFrame({key: ids[0], "_chunk": chunks, "_carry": carried})
-
-    def openings(ids, pdf: pd.DataFrame) -> pd.DataFrame:
-        t = np.sort(pdf["_ms"].to_numpy())
-        carry = pdf["_carry"].iloc[0]
-        jump = _next_window(t, window_ms)
-        at = int(np.searchsorted(t, carry, side="right"))
-        found = [] if carry == NEVER else [int(carry) - window_ms]
-        while at < len(t):
-            found.append(int(t[at]))
-            at = int(jump[at])
-        return pd.DataFrame({key: [ids[0]], "_chunk": [ids[1]], "_opens": [found]})
-
-    table = times.groupBy(key, "_chunk").applyInPandas(summarize, f"{key} {key_type}, _chunk bigint, _from bigint, _end bigint")
-    # rows per key here: hours with events times their breakpoints, whatever the number of events
-    carries = table.groupBy(key).applyInPandas(chain, f"{key} {key_type}, _chunk bigint, _carry bigint")
-    opened = (
-        times.join(carries, [key, "_chunk"])
-        .groupBy(key, "_chunk")
-        .applyInPandas(openings, f"{key} {key_type}, _chunk bigint, _opens array<bigint>")
+    def summarize(batches):
+        for pdf in batches:
+            tables = [_transitions(np.asarray(t), window_ms) for t in pdf["_times"]]
+            yield pd.DataFrame({key: pdf[key], "_chunk": pdf["_chunk"], "_from": [t[0] for t in tables], "_end": [t[1] for t in tables]})
+
+    def chain(batches):
+        for pdf in batches:
+            yield pd.DataFrame({key: pdf[key], "_chunks": [[h["_chunk"] for h in hs] for hs in pdf["_hours"]], "_carries": [_chain(hs) for hs in pdf["_hours"]]})
+
+    def openings(batches):
+        for pdf in batches:
+            found = [_openings(np.asarray(t), c, window_ms) for t, c in zip(pdf["_times"], pdf["_carry"])]
+            yield pd.DataFrame({key: pdf[key], "_chunk": pdf["_chunk"], "_opens": found})
+
+    # one row per key and hour; the list is bounded by the milliseconds of an hour
+    hours = times.groupBy(key, "_chunk").agg(F.sort_array(F.collect_list("_ms")).alias("_times"))
+    table = hours.mapInPandas(summarize, f"{key} {key_type}, _chunk bigint, _from array<bigint>, _end array<bigint>")
+    # one row per key; the list is bounded by the hours of the log, whatever the number of events
+    chained = table.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("_chunk", "_from", "_end"))).alias("_hours"))
+    carries = chained.mapInPandas(chain, f"{key} {key_type}, _chunks array<bigint>, _carries array<bigint>")
+    carries = carries.select(key, F.explode(F.arrays_zip("_chunks", "_carries")).alias("h")).select(
+        key, F.col("h._chunks").alias("_chunk"), F.col("h._carries").alias("_carry")
     )
+    opened = hours.join(carries, [key, "_chunk"]).mapInPandas(openings, f"{key} {key_type}, _chunk bigint, _opens array<bigint>")
     placed = rows.join(opened, [key, "_chunk"]).withColumn(
         "window_start", F.array_max(F.filter("_opens", lambda o: o <= F.col("_ms")))
     )

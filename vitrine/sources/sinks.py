@@ -55,17 +55,19 @@ def upsert_staging(batch: DataFrame, path: str, buckets: int = STAGING_BUCKETS)
 
 
 def drop_source(spark: SparkSession, path: str, source: str) -> None:
-    """Remove a source's rows before a fresh load."""
-    # an overwrite without rows replaces the folder's files
-    spark.createDataFrame([], "id string").write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(
-        f"{path}/source={source}"
-    )
+    """Remove a source's rows before a fresh load: its folder goes, no other file is touched."""
+    utils = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils
+    fs, target = _file_system(spark, f"{path}/source={utils.escapePathName(source)}")
+    fs.delete(target, True)
+
+
+def _file_system(spark: SparkSession, path: str):
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), target
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    fs = target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    fs, target = _file_system(spark, path)
     return fs.exists(target)
 
 

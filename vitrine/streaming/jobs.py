@@ -128,10 +128,11 @@ def stream_throttle(stream: DataFrame, key: str, ts: str, tie: str, max_uses: in
     spark.conf.set(STATE_PROVIDER, ROCKSDB)
     key_type = stream.schema[key].dataType.simpleString()
     tie_type = stream.schema[tie].dataType.simpleString()
-    timed = stream.withColumn("_ms", F.floor(F.unix_micros(F.col(ts).cast("timestamp")) / 1000).cast("bigint"))
-    timed = timed.withColumn("_at", F.col(ts).cast("timestamp")).withWatermark("_at", delay).select(key, "_at", "_ms", tie)
-    return timed.groupBy(key).transformWithStateInPandas(
-        statefulProcessor=WindowThrottle("_ms", tie, max_uses, window_ms),
+    # names without a leading underscore, which row tuples on the Python side would rename
+    ms = F.floor(F.unix_micros(F.col(ts).cast("timestamp")) / 1000).cast("bigint")
+    timed = stream.select(F.col(key), F.col(ts).cast("timestamp").alias("event_at"), ms.alias("event_ms"), F.col(tie).alias("event_tie"))
+    return timed.withWatermark("event_at", delay).groupBy(key).transformWithStateInPandas(
+        statefulProcessor=WindowThrottle("event_ms", "event_tie", max_uses, window_ms),
         outputStructType=f"key {key_type}, tie {tie_type}, window_start bigint, used bigint, allowed boolean",
         outputMode="Append",
         timeMode="EventTime",
