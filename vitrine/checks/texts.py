@@ -166,7 +166,7 @@ def search_sources(spark, sf):
     return shown(found(spark, sf, q="the", sources=("src1", "src4"), limit=60))
 
 
-@query("q_search_no_match", searched(["qqqq", "zzzz"], "TRUE", 0, 50) .replace("placed)", "placed)") + " UNION ALL SELECT -1, 'none', 0.0::DOUBLE, 0")
+@query("q_search_no_match", searched(["qqqq", "zzzz"], "TRUE", 0, 50) + " UNION ALL SELECT -1, 'none', 0.0::DOUBLE, 0")
 def search_no_match(spark, sf):
     """A nonsense query finds nothing; the marker row shows that it ran."""
     marker = spark.createDataFrame([(-1, "none", 0.0, 0)], "rid bigint, source string, score double, pos bigint")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 from vitrine.operators.ranking import first_per_key
 
 STAGING_BUCKETS = 64
+MAX_LISTED_FOLDERS = 4096
 
 
 def staging_bucket(key: Column, buckets: int = STAGING_BUCKETS) -> Column:
@@ -41,9 +42,7 @@ def upsert_staging(batch: DataFrame, path: str, buckets: int = STAGING_BUCKETS)
     layout = [*names, "source", "bucket"]
     if _exists(spark, path):
         stored = read_staging(spark, path, fresh.schema)
-        # at most sources x buckets rows; read from the stored side it prunes folders
-        touched = fresh.select("source", "bucket").distinct()
-        kept = stored.join(F.broadcast(touched), ["source", "bucket"], "left_semi").join(fresh.select("id"), "id", "left_anti")
+        kept = _touched_rows(stored, fresh).join(fresh.select("id"), "id", "left_anti")
         fresh = kept.select(*layout).unionByName(fresh.select(*layout))
     (
         fresh.select(*layout)
@@ -54,6 +53,21 @@ def upsert_staging(batch: DataFrame, path: str, buckets: int = STAGING_BUCKETS)
     )
 
 
+def _touched_rows(stored: DataFrame, fresh: DataFrame) -> DataFrame:
+    """Stored rows in the folders the new rows go to."""
+    touched = fresh.select("source", "bucket").distinct()
+    listed = touched.limit(MAX_LISTED_FOLDERS + 1).collect()
+    if len(listed) > MAX_LISTED_FOLDERS:
+        return stored.join(touched, ["source", "bucket"], "left_semi")
+    # few folders: name them in the plan, so that the others are not even listed
+    folder = F.concat_ws("/", F.col("source"), F.col("bucket").cast("string"))
+    return stored.filter(
+        F.col("source").isin(sorted({r.source for r in listed}))
+        & F.col("bucket").isin(sorted({r.bucket for r in listed}))
+        & folder.isin([f"{r.source}/{r.bucket}" for r in listed])
+    )
+
+
 def drop_source(spark: SparkSession, path: str, source: str) -> None:
     """Remove a source's rows before a fresh load: its folder goes, no other file is touched."""
     utils = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils

@@ -154,6 +154,6 @@ def windowed_harvest(records: DataFrame, ts: str, peak_start: str, peak_end: str
     split = records.withColumn("harvest_window", harvest_window(F.col(ts), peak_start, peak_end))
     if path is None:
         return split
-    # spread by window and time, so a window with most of the records is written by many tasks
-    split.repartitionByRange("harvest_window", ts).write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("harvest_window").parquet(path)
+    # a window with most of the records, even at one single time, is written by many tasks
+    split.repartitionByRange("harvest_window", ts, F.xxhash64(*records.columns)).write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("harvest_window").parquet(path)
     return records.sparkSession.read.parquet(path)
