@@ -9,6 +9,7 @@ from vitrine.checks.views import PD_DEFAULT_SQL, items_part, pd_default, table,
 from vitrine.operators import aggregates as A, caps as C, filters as P, merge as M
 from vitrine.operators.ranking import with_seq
 from vitrine.plans.search import SearchParams, search
+from vitrine.session import landed
 
 SOURCE_COUNTS = "SELECT source, count(*) AS source_count FROM items GROUP BY source"
 HASH = "((rid % 1000003) * 2654435761 + {seed}) % 1000003"
@@ -167,7 +168,7 @@ def cap_lines(spark, sf):
         "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice",
     )
     order = [F.col(c).asc() for c in ("k", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice")]
-    numbered = with_seq(lines, order, [F.floor(F.col("k") / 65536)], "rid").withColumn("source_id", F.col("rid"))
+    numbered = landed(with_seq(lines, order, [F.floor(F.col("k") / 65536)], "rid"), "lines").withColumn("source_id", F.col("rid"))
     kept = C.cap_per_source(numbered, {}, default=9000)
     return kept.groupBy("source").agg(
         F.count(F.lit(1)).alias("n"), F.sum("boost").alias("boosts"), F.sum("rid").alias("rids")
@@ -319,7 +320,7 @@ def lines(spark, sf):
     cols = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice")
     raw = table(spark, sf, "lineitem").select(*cols, F.col("l_returnflag").alias("theme"), F.col("l_suppkey").alias("provider"), F.col("l_linestatus").alias("status"))
     numbered = with_seq(raw, [F.col(c).asc() for c in cols], [F.floor(F.col("l_orderkey") / 8192)])
-    return numbered.select("seq", "theme", "provider", "status")
+    return landed(numbered.select("seq", "theme", "provider", "status"), "lines")
 
 
 @query("q_double_cap", f"""

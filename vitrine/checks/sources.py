@@ -11,15 +11,34 @@ from vitrine.operators import aggregates as A
 from vitrine.operators.ranking import with_seq
 from vitrine.plans import build as B
 from vitrine.schema import conform
-from vitrine.session import scratch_path
+from vitrine.session import scratch_path, shuffle_width
 from vitrine.sources import aggregators as G, museums as M, readers as R, sinks as K
 
 
 def raw(spark, sf, name: str, json_sql: str, schema: str) -> DataFrame:
-    """Rows of a table as JSON text of a raw record, read back with the declared schema."""
+    """Rows of a table as JSON lines of raw records, landed and read back with the declared schema."""
     table(spark, sf, name).createOrReplaceTempView(name)
-    text = spark.sql(f"SELECT to_json({json_sql}) AS j FROM {name}")
-    return text.select(F.from_json("j", schema).alias("v")).select("v.*")
+    return landed_json(spark, sf, f"SELECT to_json({json_sql}) AS value FROM {name}", schema)
+
+
+_LANDED: dict[tuple, str] = {}
+
+
+def landed_once(spark, sf, sql: str, write) -> str:
+    """Folder with the raw files a statement describes; landed once per session, like a downloaded snapshot."""
+    key = (spark.sparkContext.applicationId, sf, sql)
+    if key not in _LANDED:
+        path = scratch_path(spark, "raw")
+        write(spark.sql(sql), path)
+        _LANDED[key] = path
+    return _LANDED[key]
+
+
+def landed_json(spark, sf, sql: str, schema: str) -> DataFrame:
+    """JSON lines written as raw files and read by the reader the mappings are meant for."""
+    # the small test tables are one file each; landed raw files come in many parts
+    path = landed_once(spark, sf, sql, lambda lines, to: lines.repartition(shuffle_width(spark)).write.text(to))
+    return R.read_ndjson_records(spark, path, schema)
 
 
 def raw_json(spark, sf, name: str, template: str, values: dict[str, str], schema: str) -> DataFrame:
@@ -28,7 +47,7 @@ def raw_json(spark, sf, name: str, template: str, values: dict[str, str], schema
     text = "r'" + " ".join(template.split()) + "'"
     for key, expr in values.items():
         text = f"replace({text}, '${key}', CAST({expr} AS STRING))"
-    return spark.sql(f"SELECT {text} AS j FROM {name}").select(F.from_json("j", schema).alias("v")).select("v.*")
+    return landed_json(spark, sf, f"SELECT {text} AS value FROM {name}", schema)
 
 
 COLUMNS = ["id", "title", "creator", "date_display", "year_start", "year_end", "object_type", "medium", "culture", "place",
@@ -68,11 +87,11 @@ MET_CSV_SQL = """SELECT CAST(p_partkey AS STRING) `Object ID`, CASE WHEN p_partk
 def met_csv(spark, sf) -> DataFrame:
     """Written as CSV with quotes and line breaks, read back with the reader."""
     table(spark, sf, "part").createOrReplaceTempView("part")
-    path = scratch_path(spark, "met-csv")
-    rows = spark.sql(MET_CSV_SQL)
-    renamed = rows.withColumnRenamed("Medium", " Medium ")
-    renamed.write.option("header", True).option("quote", '"').option("escape", '"').csv(path)
-    return R.read_csv_records(spark, path, M.MET_CSV)
+    def write(rows: DataFrame, path: str) -> None:
+        spaced = rows.repartition(shuffle_width(spark)).withColumnRenamed("Medium", " Medium ")
+        spaced.write.option("header", True).option("quote", '"').option("escape", '"').csv(path)
+
+    return R.read_csv_records(spark, landed_once(spark, sf, MET_CSV_SQL, write), M.MET_CSV)
 
 
 @query("q_read_csv", """

@@ -217,7 +217,10 @@ def english_terms(c: Column, dictionary: Mapping[str, str], keep_apostrophes: bo
     """Distinct English terms of the words found in a dictionary, in the order met."""
     words = F.split(F.lower(c), r"[^\p{L}']+" if keep_apostrophes else r"[^\p{L}]+")
     table = _dictionary(dictionary)
-    return F.array_join(F.array_distinct(F.array_compact(F.transform(words, lambda w: F.try_element_at(table, w)))), " ")
+    known = [k for k, v in dictionary.items() if v]
+    # a set lookup drops the many other words before the few known ones are translated
+    found = F.array_distinct(F.filter(words, lambda w: w.isin(known))) if known else F.array().cast("array<string>")
+    return F.array_join(F.array_distinct(F.transform(found, lambda w: F.try_element_at(table, w))), " ")
 
 
 def english_type(c: Column, dictionary: Mapping[str, str]) -> Column:

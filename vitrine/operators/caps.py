@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from vitrine.operators.merge import shuffle_hash
 from vitrine.operators.ranking import bucket_rank, first_per_key, seq_bucket, top_n
+from vitrine.session import landed
 
 # Catalog caps per feed.
 FEED_CAPS = {
@@ -76,7 +77,8 @@ def capped(df: DataFrame, keys: Sequence[str], seq: str, cap: Column | int, widt
 
 def double_cap(df: DataFrame, outer: str, inner: str, seq: str, outer_cap: Column | int, inner_cap: Column | int, width: int = 1 << 20) -> DataFrame:
     """Skip rows of an inner group that is full, stop an outer group at its cap."""
-    first = capped(df, [outer, inner], seq, inner_cap, width).drop("_rank")
+    # a split ranking reads its input twice, so two in a row would compute the first one twice
+    first = landed(capped(df, [outer, inner], seq, inner_cap, width).drop("_rank"), "inner-cap")
     return capped(first, [outer], seq, outer_cap, width).drop("_rank")
 
 

@@ -16,6 +16,7 @@ from vitrine.operators.caps import FEED_CAPS, cap_per_source, dedupe_priority
 from vitrine.operators.filters import drop_redundant_files, titled_only, validate_items
 from vitrine.operators.ranking import BUCKET_ROWS, bucket_rank, seq_bucket
 from vitrine.schema import FILES, file_struct, no_files
+from vitrine.session import landed
 
 # Longest display text per column.
 DISPLAY_BUDGET = {"creator": 140, "object_type": 100, "medium": 160, "culture": 100, "place": 100}
@@ -115,8 +116,8 @@ def build_catalog(
 
 
 def number_rows(catalog: DataFrame, seq: str = "seq") -> DataFrame:
-    """Dense row number ``rid`` by arrival."""
-    return bucket_rank(catalog, [], [seq_bucket(F.col(seq), BUCKET_ROWS)], [F.col(seq).asc()], rank="rid")
+    """Dense row number ``rid`` by arrival. The built catalog is landed first: the ranking reads it twice."""
+    return bucket_rank(landed(catalog, "catalog"), [], [seq_bucket(F.col(seq), BUCKET_ROWS)], [F.col(seq).asc()], rank="rid")
 
 
 def write_catalog(catalog: DataFrame, path: str, built_at: str | None = None) -> None:

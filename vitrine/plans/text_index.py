@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections import Counter
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
@@ -11,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from vitrine.functions.stem import stem
-from vitrine.functions.text import NON_WORD, fold, fold_word, tokenize_query, tokens
+from vitrine.functions.text import english_terms, fold_word, tokens
 from vitrine.schema import TEXT_COLUMNS
 
 # Column weights and BM25 constants.
@@ -157,10 +156,11 @@ def translate_terms(
 
     ``dictionary`` has columns ``term`` and ``english``, or is a small mapping. Result: key, english.
     """
-    separator = r"[^\p{L}']+" if keep_apostrophes else r"[^\p{L}]+"
-    spark = df.sparkSession
     if isinstance(dictionary, Mapping):
-        dictionary = spark.createDataFrame([(k, v) for k, v in dictionary.items() if v], "term string, english string")
+        # a word table this small needs neither join nor shuffle
+        out = df.select(key, english_terms(text, dictionary, keep_apostrophes).alias("english"))
+        return out.filter(F.col("english") != "")
+    separator = r"[^\p{L}']+" if keep_apostrophes else r"[^\p{L}]+"
     words = df.select(key, F.posexplode(F.split(F.lower(text), separator)).alias("at", "term"))
     # one row per word and text before the join: long texts repeat their words
     firsts = words.groupBy(key, "term").agg(F.min("at").alias("at"))

@@ -70,3 +70,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 def shuffle_width(spark: SparkSession) -> int:
     """Number of salts that spreads one hot group over the shuffle."""
     return max(8, min(4096, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+
+
+def landed(df, name: str = "step"):
+    """Write a frame to the scratch folder and read it back.
+
+    For a step whose result is read several times: it is computed once, and an executor lost
+    later costs no recomputation.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -151,6 +151,7 @@ def _wellcome_prepare() -> dict[str, Column]:
         "base": nonblank(F.regexp_extract(image["url"], r"^(.*)/info\.json$", 1)),
         # the license of that very location, even when a later one is open
         "rights": R.rights_from_license_id(image["license"]["id"]),
+        "date": first(_produced(lambda p: p["dates"])),
     }
 
 
@@ -158,23 +159,23 @@ def _labels(values: Column) -> Column:
     return present(F.coalesce(F.transform(values, lambda v: v["label"]), F.array().cast(EMPTY)))
 
 
+def _produced(inner) -> Column:
+    return F.flatten(F.transform(raw("production"), lambda p: _labels(inner(p))))
+
+
 def _wellcome_columns() -> dict[str, Column]:
     thumbs = F.regexp_replace(prepared("base"), "^(.*?)/image/", "$1/thumbs/")
 
-    def gathered(inner) -> Column:
-        return F.flatten(F.transform(raw("production"), lambda p: _labels(inner(p))))
-
-    dates = gathered(lambda p: p["dates"])
     people = present(F.transform(raw("contributors"), lambda c: c["agent"]["label"]))
     kind = F.when(nonblank(raw("workType.label")).isNotNull(), F.array(raw("workType.label"))).otherwise(F.array().cast(EMPTY))
     return {
         "source_url": F.concat(F.lit("https://wellcomecollection.org/works/"), raw("id")),
         "title": clean(raw("title")),
         "creator": join_unique(at_most(people, 3)),
-        "date_display": clean(first(dates), 80),
-        **year_columns(parse_years(first(dates))),
+        "date_display": clean(prepared("date"), 80),
+        **year_columns(parse_years(prepared("date"))),
         "object_type": join_unique(F.concat(at_most(_labels(raw("genres")), 2), kind)),
-        "place": join_unique(at_most(gathered(lambda p: p["places"]), 3)),
+        "place": join_unique(at_most(_produced(lambda p: p["places"]), 3)),
         **rights_columns(prepared("rights")),
         "thumb_url": F.concat(thumbs, F.lit("/full/!600,600/0/default.jpg")),
         "image_url": F.concat(thumbs, F.lit("/full/!1024,1024/0/default.jpg")),

@@ -36,7 +36,8 @@ def at_most(values: Column, n: int) -> Column:
 
 
 def year_columns(span: Column) -> dict[str, Column]:
-    return {"year_start": span["start"], "year_end": span["end"]}
+    """Both year columns from one parsed range; ``apply`` evaluates the range once."""
+    return {"_years": span}
 
 
 def rights_columns(rights: Rights | Column) -> dict[str, Column]:
@@ -52,15 +53,22 @@ class SourceMapping:
     source_id: Callable[[], Column]
     keep: Callable[[], Column]
     columns: Callable[[], dict[str, Column]]
-    # computed once per record before ``columns``, available as ``p.<name>``
+    # computed once per record before ``columns``, available as ``prepared(name)``
     prepare: Callable[[], dict[str, Column]] | None = None
 
     def apply(self, records: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
         """Normalize raw records. ``carry`` names raw columns to keep beside the item columns."""
         df = records.select(F.struct("*").alias("r"))
         if self.prepare:
-            df = df.select("r", F.struct(*[c.alias(k) for k, c in self.prepare().items()]).alias("p"))
+            # columns of their own: Catalyst evaluates a costly column that is used twice only once,
+            # which it does not do for the fields of a struct
+            df = df.select("r", *[c.alias(f"_p_{k}") for k, c in self.prepare().items()])
+        df = df.filter(F.coalesce(self.keep(), F.lit(False)))
         cols = self.columns()
+        years = cols.pop("_years", None)
+        if years is not None:
+            df = df.withColumn("_years", years)
+            cols |= {"year_start": F.col("_years.start"), "year_end": F.col("_years.end")}
         source_id = self.source_id().cast("string")
         defaults = {
             "id": F.concat(F.lit(f"{self.key}:"), source_id),
@@ -72,14 +80,13 @@ class SourceMapping:
         }
         out = {**defaults, **cols}
         item = [out.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in ITEM.fields]
-        kept = df.filter(F.coalesce(self.keep(), F.lit(False)))
-        mapped = kept.select(*item, *[raw(c).alias(c) for c in carry])
+        mapped = df.select(*item, *[raw(c).alias(c) for c in carry])
         # a record without a title is dropped, like one the keep rule refuses
         return mapped.filter(nonblank(F.col("title")).isNotNull())
 
 
 def prepared(name: str) -> Column:
-    return F.col(f"p.{name}")
+    return F.col(f"_p_{name}")
 
 
 def or_untitled(*titles: Column) -> Column:

@@ -355,12 +355,22 @@ def _si_prepare() -> dict[str, Column]:
     dates = _si_texts("date")
     stated = parse_years(first(dates))
     indexed = year_span(F.transform(raw("content.indexedStructured.date"), parse_years))
+    image = first(open_image)
+
+    def resource(pattern: str) -> Column:
+        return first(F.filter(image["resources"], lambda r: r["label"].rlike(f"(?i){pattern}")))
+
     return {
-        "image": first(open_image),
+        "image": image,
         "model": model,
         "model_files": F.coalesce(F.transform(usable, _model_file), no_files()),
         "date": first(dates),
         "years": F.coalesce(stated, indexed),
+        "base": F.concat(F.lit("https://ids.si.edu/ids/deliveryService?id="), encode_component(image["idsId"])),
+        "hi": F.coalesce(resource("high-resolution jpeg"), resource("high-resolution")),
+        "screen": resource("screen"),
+        "types": _si_texts("objectType"),
+        "places": _si_texts("place"),
     }
 
 
@@ -369,19 +379,13 @@ def _si_columns() -> dict[str, Column]:
     ix = "content.indexedStructured"
     image, model = prepared("image"), prepared("model")
     is_model = model.isNotNull()
-    base = F.concat(F.lit("https://ids.si.edu/ids/deliveryService?id="), encode_component(image["idsId"]))
-
-    def resource(pattern: str) -> Column:
-        return first(F.filter(image["resources"], lambda r: r["label"].rlike(f"(?i){pattern}")))
-
-    hi = F.coalesce(resource("high-resolution jpeg"), resource("high-resolution"))
-    screen = resource("screen")
+    base, hi, screen = prepared("base"), prepared("hi"), prepared("screen")
     best = F.when(
         nonblank(hi["url"]).isNotNull(), F.array(file_struct(F.coalesce(ext_of(hi["url"]), F.lit("jpg")), hi["url"], hi["label"]))
     ).otherwise(no_files())
     thumb = first_nonblank(model["thumbnail"], image["thumbnail"])
     geo = F.flatten(F.transform(raw(f"{ix}.geoLocation"), lambda g: F.transform(F.map_values(g), lambda v: v["content"])))
-    types, places = _si_texts("objectType"), _si_texts("place")
+    types, places = prepared("types"), prepared("places")
     notes = F.array_join(F.transform(at_most(_si_texts("notes"), 2), lambda s: clean(s, 300)), " | ")
     text = join_parts(
         raw("unit_name"), raw(f"{d}.data_source"), F.array_join(strings(f"{ix}.topic"), " "),
