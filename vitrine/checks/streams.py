@@ -85,14 +85,8 @@ def stream_upsert(spark, sf):
     )
     rows.repartition(3, "landing").write.parquet(f"{path}/landing")
     stream = J.read_stream(spark, f"{path}/landing", rows.schema, files_per_trigger=1).drop("landing")
-    # the batches arrive in any order, so stored rows take part in choosing the newest
-    def each(batch, _):
-        if K._exists(spark, f"{path}/table"):
-            stored = K.read_staging(spark, f"{path}/table", batch.schema).select(*batch.columns)
-            batch = K.last_writes(batch.unionByName(stored.join(batch.select("id"), "id", "left_semi")))
-        K.upsert_staging(batch, f"{path}/table", buckets=2)
-
-    J.run(stream, f"{path}/checkpoint", each)
+    # the landings are picked up in any order
+    J.stream_upsert(stream, f"{path}/table", f"{path}/checkpoint", buckets=2, newest=True)
     return K.read_staging(spark, f"{path}/table", rows.drop("landing").schema).select("id", "event_id")
 
 

@@ -163,7 +163,10 @@ def search_random(spark, sf):
 
 @query("q_search_sources", searched(["the"], "source IN ('src1', 'src4')", 0, 60))
 def search_sources(spark, sf):
-    return shown(found(spark, sf, q="the", sources=("src1", "src4"), limit=60))
+    """The page read by its row numbers."""
+    result = found(spark, sf, q="the", sources=("src1", "src4"), limit=60)
+    page = result.fetch(items_doc(spark, sf))
+    return page.select("rid", "source", "score", F.col("pos").cast("bigint").alias("pos"))
 
 
 @query("q_search_no_match", searched(["qqqq", "zzzz"], "TRUE", 0, 50) + " UNION ALL SELECT -1, 'none', 0.0::DOUBLE, 0")

@@ -35,9 +35,10 @@ def source_defaults(spark: SparkSession, extra: Mapping[str, tuple] | None = Non
 
 
 def with_defaults(items: DataFrame, defaults: DataFrame | None = None) -> DataFrame:
-    """Attach the source defaults. The table holds one row per source and is built in the driver."""
-    table = source_defaults(items.sparkSession) if defaults is None else defaults
-    return items.join(F.broadcast(table), "source", "left")
+    """Attach the source defaults: the fixed table of this module, or one of the caller's."""
+    if defaults is None:
+        return items.join(F.broadcast(source_defaults(items.sparkSession)), "source", "left")
+    return items.join(defaults, "source", "left")
 
 
 def elide_rights(items: DataFrame, defaults: DataFrame | None = None) -> DataFrame:
@@ -213,5 +214,6 @@ def source_display(spark: SparkSession) -> DataFrame:
 
 def with_source_name(items: DataFrame, display: DataFrame | None = None) -> DataFrame:
     """Display name of the source, or its key."""
-    table = (source_display(items.sparkSession) if display is None else display).select("source", F.col("name").alias("_name"))
-    return items.join(F.broadcast(table), "source", "left").withColumn("source_name", F.coalesce("_name", "source")).drop("_name")
+    table = F.broadcast(source_display(items.sparkSession)) if display is None else display
+    named = items.join(table.select("source", F.col("name").alias("_name")), "source", "left")
+    return named.withColumn("source_name", F.coalesce("_name", "source")).drop("_name")

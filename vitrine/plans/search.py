@@ -44,6 +44,18 @@ class SearchResult:
     page: DataFrame  # items of the page with score, value and pos
     per_source: DataFrame  # source, hits
     candidates: DataFrame
+    hits: DataFrame  # the page without the wide columns: rid, source, score, value, pos
+
+    def fetch(self, items: DataFrame) -> DataFrame:
+        """The page read by its row numbers, which are at most 500.
+
+        They become literals in the plan, so a stored catalog is read in the folders of their
+        sources and the row groups around them instead of as a whole.
+        """
+        found = self.hits.collect()
+        hits = items.sparkSession.createDataFrame(found, self.hits.schema)
+        near = items.filter(F.col("source").isin(sorted({r.source for r in found})) & F.col("rid").isin([r.rid for r in found]))
+        return near.join(F.broadcast(hits.drop("source")), "rid")
 
     @property
     def total(self) -> DataFrame:
@@ -132,10 +144,10 @@ def search(
         )
         # with a single source the discount keeps its order, so no case of its own
         valued, order = diverse_order(ranked, source_order)
-    hits = page(valued, order, offset, limit, pos="pos").select("rid", "score", "value", "pos")
+    hits = page(valued, order, offset, limit, pos="pos").select("rid", "source", "score", "value", "pos")
     # the page is at most 500 rows: joined to the wide rows last
-    wide = items.filter(P.source_in(params.sources)).join(F.broadcast(hits), "rid")
-    return SearchResult(wide, per_source, cands)
+    wide = items.filter(P.source_in(params.sources)).join(F.broadcast(hits.drop("source")), "rid")
+    return SearchResult(wide, per_source, cands, hits)
 
 
 def _text_candidates(items, narrow, words, index, stemmed, inner, most, need):

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 
 
 from vitrine.operators.ranking import first_per_key
+from vitrine.session import landed
 
 STAGING_BUCKETS = 64
 MAX_LISTED_FOLDERS = 4096
@@ -30,23 +31,27 @@ def read_staging(spark: SparkSession, path: str, schema: T.StructType) -> DataFr
     return spark.read.schema(full).parquet(path)
 
 
-def upsert_staging(batch: DataFrame, path: str, buckets: int = STAGING_BUCKETS) -> None:
+def upsert_staging(batch: DataFrame, path: str, buckets: int = STAGING_BUCKETS, newest: bool = False) -> None:
     """Insert or replace rows by id. Only the touched (source, bucket) folders are rewritten.
 
-    The batch wins over stored rows; within the batch the newest row wins. The write goes
-    to a staging folder and is renamed at commit, so a failed job leaves the table as it was.
+    The batch wins over stored rows, or with ``newest`` the row with the later ``updated_at``,
+    for batches that may arrive out of order. Within the batch the newest row wins. The write
+    goes to a staging folder and is renamed at commit, so a failed job leaves the table as it was.
     """
     spark = batch.sparkSession
     fresh = last_writes(batch).withColumn("bucket", staging_bucket(F.col("id"), buckets))
-    names = [c for c in fresh.columns if c not in ("source", "bucket")]
-    layout = [*names, "source", "bucket"]
+    layout = [*[c for c in fresh.columns if c not in ("source", "bucket")], "source", "bucket"]
+    fresh = fresh.select(*layout)
     if _exists(spark, path):
-        stored = read_staging(spark, path, fresh.schema)
-        kept = _touched_rows(stored, fresh).join(fresh.select("id"), "id", "left_anti")
-        fresh = kept.select(*layout).unionByName(fresh.select(*layout))
+        # read three times below
+        fresh = landed(fresh, "upsert")
+        stored = _touched_rows(read_staging(spark, path, fresh.schema), fresh).select(*layout)
+        if newest:
+            fresh = last_writes(stored.unionByName(fresh))
+        else:
+            fresh = stored.join(fresh.select("id"), "id", "left_anti").select(*layout).unionByName(fresh)
     (
-        fresh.select(*layout)
-        .write.mode("overwrite")
+        fresh.write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy("source", "bucket")
         .parquet(path)

@@ -61,9 +61,9 @@ def stream_ingest(spark: SparkSession, landing: str, schema: str, normalize: Cal
     run(parsed, checkpoint, each)
 
 
-def stream_upsert(stream: DataFrame, table: str, checkpoint: str, buckets: int = STAGING_BUCKETS) -> None:
-    """Keep the newest row per id of a staging table; repeating a batch changes nothing."""
-    run(stream, checkpoint, lambda batch, _: upsert_staging(batch, table, buckets))
+def stream_upsert(stream: DataFrame, table: str, checkpoint: str, buckets: int = STAGING_BUCKETS, newest: bool = False) -> None:
+    """Upsert every batch into a staging table; repeating a batch changes nothing."""
+    run(stream, checkpoint, lambda batch, _: upsert_staging(batch, table, buckets, newest))
 
 
 def stream_dedupe(stream: DataFrame, keys: list[str], ts: str, delay: str) -> DataFrame:
