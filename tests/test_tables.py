@@ -11,7 +11,7 @@ from vitrine.functions.urls import compact_images, expand_images
 from vitrine.operators import boards as B
 from vitrine.operators.patents import PatentQuery, clamp_patent_page, page_of_offset, patent_filter
 from vitrine.operators.similarity import image_signature, rank_similar, rank_similar_many
-from vitrine.operators.throttle import fixed_window_throttle
+from vitrine.operators.throttle import fixed_window_throttle, window_state
 from vitrine.plans import build
 from vitrine.schema import conform
 from vitrine.sources import readers, sinks
@@ -32,6 +32,17 @@ def test_throttle_equals_walking_each_key(spark, seed, window):
     assert {r.n: (r.window_start, r.used, r.allowed) for r in out} == want
 
 
+def test_throttle_goes_on_from_a_state(spark):
+    rng = random.Random(9)
+    rows = sorted(((("hot" if i % 3 == 0 else f"k{i % 5}"), 1_700_000_000_000 + rng.randrange(9_000_000), i) for i in range(900)), key=lambda r: r[1])
+    df = spark.createDataFrame(rows, "k string, ms bigint, n bigint").withColumn("ts", F.timestamp_millis("ms"))
+    whole = {r.n: (r.window_start, r.used) for r in fixed_window_throttle(df, "k", "ts", "n", 3, 600_000).collect()}
+    cut = rows[500][1]
+    first = fixed_window_throttle(df.filter(F.col("ms") < cut), "k", "ts", "n", 3, 600_000)
+    second = fixed_window_throttle(df.filter(F.col("ms") >= cut), "k", "ts", "n", 3, 600_000, state=window_state(first, "k"))
+    assert {r.n: (r.window_start, r.used) for r in first.unionByName(second).collect()} == whole
+
+
 def replay(ops):
     """Board operations one after the other."""
     boards = {"favorites": {"name": "Favorites", "created": 0, "updated": 0, "items": []}}

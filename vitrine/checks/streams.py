@@ -46,6 +46,19 @@ def stream_throttle(spark, sf):
     return out.select(F.col("key").alias("user_id"), F.col("tie").alias("event_id"), "window_start", "used", "allowed")
 
 
+@query("q_stream_throttle_batches", THROTTLE_SQL)
+def stream_throttle_batches(spark, sf):
+    """The events in three landings, each judged with the windows the one before left open."""
+    path = scratch_path(spark, "throttle")
+    events = table(spark, sf, "events").select("user_id", "event_id", "ts")
+    ends = ["2024-01-09", "2024-01-20", "2025-01-01"]
+    for start, end in zip(["2000-01-01", *ends], ends):
+        events.filter((F.col("ts") >= start) & (F.col("ts") < end)).write.mode("append").parquet(f"{path}/landing")
+        stream = J.read_stream(spark, f"{path}/landing", events.schema)
+        J.stream_throttle_batches(stream, "user_id", "ts", "event_id", path, f"{path}/checkpoint", max_uses=2, window_ms=WINDOW_MS)
+    return spark.read.parquet(f"{path}/judged").select("user_id", "event_id", "window_start", "used", "allowed")
+
+
 @query("q_stream_daily_quota", """
 SELECT user_id, CAST(CAST(ts AS DATE) AS VARCHAR) AS day, count(*) AS used, greatest(count(*) - 3, 0) AS refused FROM events GROUP BY 1, 2""")
 def stream_quota(spark, sf):

@@ -43,9 +43,9 @@ def _transitions(times: np.ndarray, window_ms: int) -> tuple[np.ndarray, np.ndar
     return starts[keep], ends[keep]
 
 
-def _chain(hours) -> list[int]:
-    """End of the running window at the start of each hour."""
-    end, carried = NEVER, []
+def _chain(hours, end: int) -> list[int]:
+    """End of the running window at the start of each hour, from the end of the window before the log."""
+    carried = []
     for hour in hours:
         carried.append(int(end))
         after = hour["_end"][np.searchsorted(np.asarray(hour["_from"]), end, side="right") - 1]
@@ -64,8 +64,14 @@ def _openings(times: np.ndarray, carry: int, window_ms: int) -> list[int]:
     return found
 
 
-def fixed_window_throttle(events: DataFrame, key: str, ts: str, tie: str, max_uses: int = 12, window_ms: int = 600_000) -> DataFrame:
-    """Adds window_start (epoch ms), used (count within the window) and allowed. Refused events count too."""
+def fixed_window_throttle(
+    events: DataFrame, key: str, ts: str, tie: str, max_uses: int = 12, window_ms: int = 600_000, state: DataFrame | None = None
+) -> DataFrame:
+    """Adds window_start (epoch ms), used (count within the window) and allowed. Refused events count too.
+
+    ``state`` (key, window_start, used) carries the windows that run when the log begins; an
+    event from before its key's window counts into it.
+    """
     rows = events.withColumn("_ms", F.floor(F.unix_micros(F.col(ts).cast("timestamp")) / 1000).cast("bigint"))
     rows = rows.withColumn("_chunk", F.floor(F.col("_ms") / CHUNK_MS).cast("bigint"))
     times = rows.select(key, "_chunk", "_ms").distinct()
@@ -78,7 +84,7 @@ def fixed_window_throttle(events: DataFrame, key: str, ts: str, tie: str, max_us
 
     def chain(batches):
         for pdf in batches:
-            yield pd.DataFrame({key: pdf[key], "_chunks": [[h["_chunk"] for h in hs] for hs in pdf["_hours"]], "_carries": [_chain(hs) for hs in pdf["_hours"]]})
+            yield pd.DataFrame({key: pdf[key], "_chunks": [[h["_chunk"] for h in hs] for hs in pdf["_hours"]], "_carries": [_chain(hs, e) for hs, e in zip(pdf["_hours"], pdf["_before"])]})
 
     def openings(batches):
         for pdf in batches:
@@ -90,15 +96,32 @@ def fixed_window_throttle(events: DataFrame, key: str, ts: str, tie: str, max_us
     table = hours.mapInPandas(summarize, f"{key} {key_type}, _chunk bigint, _from array<bigint>, _end array<bigint>")
     # one row per key; the list is bounded by the hours of the log, whatever the number of events
     chained = table.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("_chunk", "_from", "_end"))).alias("_hours"))
+    if state is None:
+        chained = chained.withColumn("_before", F.lit(NEVER))
+    else:
+        running = state.select(key, (F.col("window_start") + window_ms).alias("_before"))
+        chained = chained.join(running, key, "left").withColumn("_before", F.coalesce("_before", F.lit(NEVER)))
     carries = chained.mapInPandas(chain, f"{key} {key_type}, _chunks array<bigint>, _carries array<bigint>")
     carries = carries.select(key, F.explode(F.arrays_zip("_chunks", "_carries")).alias("h")).select(
         key, F.col("h._chunks").alias("_chunk"), F.col("h._carries").alias("_carry")
     )
     opened = hours.join(carries, [key, "_chunk"]).mapInPandas(openings, f"{key} {key_type}, _chunk bigint, _opens array<bigint>")
+    opens = F.col("_opens")
     placed = rows.join(opened, [key, "_chunk"]).withColumn(
-        "window_start", F.array_max(F.filter("_opens", lambda o: o <= F.col("_ms")))
+        "window_start", F.coalesce(F.array_max(F.filter(opens, lambda o: o <= F.col("_ms"))), F.array_min(opens))
     )
     ranked = bucket_rank(
         placed.drop("_opens", "_chunk"), [key, "window_start"], [F.floor(F.col("_ms") / 1000)], [F.col("_ms").asc(), F.col(tie).asc()], rank="used"
     )
+    if state is not None:
+        earlier = state.select(key, "window_start", F.col("used").alias("_earlier"))
+        ranked = ranked.join(earlier, [key, "window_start"], "left").withColumn("used", F.col("used") + F.coalesce("_earlier", F.lit(0))).drop("_earlier")
     return ranked.withColumn("allowed", F.col("used") <= max_uses).drop("_ms")
+
+
+def window_state(judged: DataFrame, key: str, before: DataFrame | None = None) -> DataFrame:
+    """Last window of every key with its uses, from judged events and the state before them."""
+    last = judged.groupBy(key).agg(F.max(F.struct("window_start", "used")).alias("w")).select(key, "w.window_start", "w.used")
+    if before is None:
+        return last
+    return last.unionByName(before.join(last.select(key), key, "left_anti"))

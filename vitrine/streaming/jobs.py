@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from vitrine.operators.filters import validate_items
+from vitrine.operators.throttle import fixed_window_throttle, window_state
 from vitrine.sources.readers import CORRUPT
 from vitrine.sources.sinks import STAGING_BUCKETS, upsert_staging
 
@@ -119,8 +120,9 @@ class WindowThrottle(StatefulProcessor):
 
 
 def stream_throttle(stream: DataFrame, key: str, ts: str, tie: str, max_uses: int = 12, window_ms: int = 600_000, delay: str = "10 minutes") -> DataFrame:
-    """Streaming twin of ``fixed_window_throttle``: key, tie, window_start, used, allowed.
+    """Streaming twin of ``fixed_window_throttle`` with keyed state: key, tie, window_start, used, allowed.
 
+    For keys whose rows of one trigger fit a task; ``stream_throttle_batches`` has no such limit.
     Needs the RocksDB state store. Events that arrive behind the watermark are judged by the
     state kept, like any late event. The state of a key goes when its window has run out.
     """
@@ -139,6 +141,27 @@ def stream_throttle(stream: DataFrame, key: str, ts: str, tie: str, max_uses: in
     )
 
 
+def stream_throttle_batches(
+    stream: DataFrame, key: str, ts: str, tie: str, path: str, checkpoint: str, max_uses: int = 12, window_ms: int = 600_000
+) -> None:
+    """Throttle batch by batch with the split plan, so that a hot key spreads over the cluster.
+
+    Judged events go to ``path/judged``, the windows that run after each batch to ``path/state``.
+    A batch that runs again reads the state before it and overwrites its own folders.
+    """
+
+    def replace(df: DataFrame, name: str) -> DataFrame:
+        df.write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(name)
+        return df.sparkSession.read.schema(df.schema).parquet(name)
+
+    def each(batch: DataFrame, batch_id: int) -> None:
+        state = batch.sparkSession.read.parquet(f"{path}/state/batch={batch_id - 1}") if batch_id > 0 else None
+        judged = replace(fixed_window_throttle(batch, key, ts, tie, max_uses, window_ms, state), f"{path}/judged/batch={batch_id}")
+        replace(window_state(judged, key, state), f"{path}/state/batch={batch_id}")
+
+    run(stream, checkpoint, each)
+
+
 def harvest_window(ts: Column, peak_start: str, peak_end: str) -> Column:
     """Name of the harvest window of a record: hours inside the peak, one window before and one after."""
     at = ts.cast("timestamp")
