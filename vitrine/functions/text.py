@@ -99,6 +99,17 @@ def _expansions() -> tuple[list[str], list[str]]:
     return source, target
 
 
+def _ranges(chars: list[str], gap: int = 24) -> str:
+    """Pattern of a few wide ranges around the characters; a class of hundreds is slow to test."""
+    codes, spans = sorted(map(ord, chars)), []
+    for cp in codes:
+        if spans and cp - spans[-1][1] <= gap:
+            spans[-1][1] = cp
+        else:
+            spans.append([cp, cp])
+    return "[" + "".join(f"\\x{{{lo:X}}}-\\x{{{hi:X}}}" for lo, hi in spans) + "]"
+
+
 def fold(c: Column | str) -> Column:
     """Lower case without diacritics, as the text index sees a value."""
     source, target = _letters("NFD")
@@ -111,11 +122,17 @@ def slug(c: Column | str, max_len: int = 60) -> Column:
     """ASCII slug: decompose, drop marks, lower, runs of anything else to one dash, cut."""
     source, target = _letters("NFKD")
     many, expanded = _expansions()
-    text = F.coalesce(as_col(c).cast("string"), F.lit(""))
     table = F.map_from_arrays(F.lit(many), F.lit(expanded))
-    has_many = text.rlike("[" + "".join(many) + "]")
-    spelled = F.array_join(F.transform(F.split(text, ""), lambda x: F.coalesce(F.try_element_at(table, x), x)), "")
-    plain = F.lower(F.translate(F.when(has_many, spelled).otherwise(text), source, target))
+
+    def plain_letters(text: Column) -> Column:
+        has_many = text.rlike(_ranges(many))
+        # the set test spares the other characters a walk through the table
+        spell = lambda x: F.when(x.isin(many), F.try_element_at(table, x)).otherwise(x)
+        spelled = F.array_join(F.transform(F.split(text, ""), spell), "")
+        ascii_only = F.length(text) == F.octet_length(text)
+        return F.when(ascii_only, text).otherwise(F.translate(F.when(has_many, spelled).otherwise(text), source, target))
+
+    plain = F.lower(let(F.coalesce(as_col(c).cast("string"), F.lit("")), plain_letters))
     dashed = F.regexp_replace(F.regexp_replace(plain, r"[^a-z0-9]+", "-"), r"^-+|-+$", "")
     return F.coalesce(nonblank(F.substring(dashed, 1, max_len)), F.lit("untitled"))
 
