@@ -31,14 +31,21 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 def frequent(rows: DataFrame, key: str, tracked: int = TRACKED) -> list[str]:
     """Keys that a frequent-items sketch still holds at the end: at most ``tracked``.
 
-    Sketches are merged in two levels, so that the last task merges a bounded number of them.
+    Partitions are sketched in 64 groups; the groups' summaries, ``tracked`` counters each, are merged by
+    adding up the counters of equal keys.
     """
     some = rows.groupBy((F.spark_partition_id() % 64).alias("g")).agg(
-        F.expr(f"approx_top_k_accumulate({key}, {tracked})").alias("sketch")
+        F.expr(f"approx_top_k({key}, {tracked}, {tracked})").alias("tops")
     )
-    found = some.agg(F.expr(f"approx_top_k_estimate(approx_top_k_combine(sketch, {tracked}), {tracked})").alias("top"))
-    top = found.first().top or []
-    return [x.item for x in top if x.item is not None and x["count"] > 1]
+    found = (
+        some.select(F.explode("tops").alias("top"))
+        .groupBy("top.item")
+        .agg(F.sum("top.count").alias("n"))
+        .where("item IS NOT NULL AND n > 1")
+        .orderBy(F.desc("n"), "item")
+        .limit(tracked)
+    )
+    return [x["item"] for x in found.collect()]
 
 
 def _judged(docs: DataFrame, id_col: str, text_col: str, tracked: int) -> DataFrame:
