@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitrine.llm import exact_dedup, minhash, pii, quality, secrets
+from vitrine.llm import exact_dedup, minhash, packing, pii, quality, secrets
 from vitrine.llm.common import table
 from vitrine.llm.spans import count_base, joined
 
@@ -62,3 +62,8 @@ def op9_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_report(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op1_bin_completion_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
