@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitrine.llm import exact_dedup, minhash, packing, pii, quality, secrets
+from vitrine.llm import exact_dedup, extraction, minhash, packing, pii, quality, secrets, toxicity
 from vitrine.llm.common import table
 from vitrine.llm.spans import count_base, joined
 
@@ -67,3 +67,22 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op1_bin_completion_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op7_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    counts = extraction.train(*extraction.labelled_pages(pages, table(spark, sf_dir, "documents")))
+    found = extraction.main_text(pages, counts)
+    return found.select("page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars"))
+
+
+@query()
+def op8_toxicity_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    scored = toxicity.score(docs, model)
+    held_out = F.coalesce(toxicity.fold(F.col("doc_id")) == 2, F.lit(False))
+    return scored.select(
+        "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted")
+    )
