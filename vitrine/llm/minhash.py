@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vitrine.llm.common import text_of
+from vitrine.llm.common import broadcast_if, text_of
 from vitrine.session import landed
 
 
@@ -418,3 +418,15 @@ def near_duplicates(
         F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
         "class_id",
     ).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def drop_near_duplicates(
+    docs: DataFrame, rules: NearRules = RULES, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """The rows of ``docs`` whose id is the smallest of its component, and those without an id, whole.
+
+    Only the ids of dropped rows are joined with the wide rows.
+    """
+    gone = near_duplicates(docs, rules, id_col, text_col).where(~F.col("kept"))
+    gone = landed(gone.select(F.col("doc_id").alias(id_col)).distinct(), "dropped")
+    return docs.join(broadcast_if(gone, 200_000), id_col, "left_anti")

@@ -7,7 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitrine.llm import exact_dedup, extraction, minhash, packing, pii, quality, secrets, toxicity
+from vitrine.llm import (
+    exact_dedup,
+    extraction,
+    minhash,
+    packing,
+    pii,
+    quality,
+    secrets,
+    sentencepieces,
+    toxicity,
+    warc,
+)
 from vitrine.llm.common import table
 from vitrine.llm.spans import count_base, joined
 
@@ -86,3 +97,13 @@ def op8_toxicity_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select(
         "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted")
     )
+
+
+@query()
+def op4_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_round_trip(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
+@query()
+def op5_sentencepiece_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepieces.encoding_report(table(spark, sf_dir, "documents"))
