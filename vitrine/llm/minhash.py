@@ -4,17 +4,20 @@
    a one-permutation signature whose empty bins are filled by optimal densification, and band hashes.
 2. Texts with equal sets collapse to one class, so thousands of copies cost one row from then on.
 3. Members of a bucket are compared with pivots of the bucket, not with each other: star-shaped candidate
-   edges. Every edge is confirmed on the full sets of both texts.
-4. A bucket that still holds several components gets four times the pivots in the next round, until all
-   members that are not pivots belong to one component: no link inside a bucket is lost, and large buckets
-   of copies are done after the first star.
+   edges, first from the most central member. Every edge is confirmed on the full sets of both texts.
+4. Buckets whose members belong to several components get another star, from a member outside the largest
+   one, until a round finds no new link. A pair at the limit shares eleven of the 64 buckets on average, so it
+   has many stars to be found by. Pairs that the triangle inequality with the first pivot rules out, or an
+   estimate from one bit of each bin, are not compared.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
+from functools import lru_cache, reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +44,12 @@ class NearRules:
     def bins(self) -> int:
         return self.bands * self.rows
 
+    @property
+    def max_differing_bits(self) -> int:
+        """Bits of a pair at the limit differ in half of the bins that differ: four standard deviations above that."""
+        p = (1 - self.percent / 100) / 2
+        return math.ceil(self.bins * p + 4 * math.sqrt(self.bins * p * (1 - p)))
+
 
 RULES = NearRules()
 
@@ -144,26 +153,28 @@ def text_words(column: pa.Array) -> Iterator[np.ndarray]:
         at = end
 
 
+@lru_cache(maxsize=4)
+def _probes(bins: int) -> np.ndarray:
+    """For every bin the order in which it would try the others, as a priority of each."""
+    return (_mix(np.arange(1, bins * bins + 1, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32).reshape(bins, bins)
+
+
 def signature(values: np.ndarray, bins: int) -> np.ndarray:
     """One-permutation signature: the smallest value per bin; an empty bin takes the value of another one.
 
-    Which one is decided by a hash of (bin, attempt) alone, so two sets probe the same bins in the same order
-    until each meets a filled one: optimal densification.
+    Each bin has its own random order of all bins, the same for every set, and takes the first filled one in
+    it: optimal densification, in one step for sets of any size.
     """
     hashed = _mix(values ^ _GOLD)
     out = np.full(bins, np.iinfo(np.uint64).max, np.uint64)
-    np.minimum.at(out, (hashed % np.uint64(bins)).astype(np.int64), hashed // np.uint64(bins))
-    filled = np.zeros(bins, bool)
-    filled[(hashed % np.uint64(bins)).astype(np.int64)] = True
-    source, empty, attempt = np.arange(bins), np.flatnonzero(~filled), 0
-    while len(empty):
-        attempt += 1
-        step = np.array([attempt], np.uint64) * _GOLD
-        probe = (_mix(empty.astype(np.uint64) * _M1 + step) % np.uint64(bins)).astype(np.int64)
-        hit = filled[probe]
-        source[empty[hit]] = probe[hit]
-        empty = empty[~hit]
-    return out[source]
+    place = (hashed % np.uint64(bins)).astype(np.int64)
+    np.minimum.at(out, place, hashed // np.uint64(bins))
+    full = np.zeros(bins, bool)
+    full[place] = True
+    filled, empty = np.flatnonzero(full), np.flatnonzero(~full)
+    if len(empty):
+        out[empty] = out[filled[_probes(bins)[np.ix_(empty, filled)].argmin(axis=1)]]
+    return out
 
 
 def band_hashes(sig: np.ndarray, rules: NearRules) -> np.ndarray:
@@ -175,13 +186,17 @@ def band_hashes(sig: np.ndarray, rules: NearRules) -> np.ndarray:
 
 
 def profiles(docs: DataFrame, rules: NearRules = RULES) -> DataFrame:
-    """(doc_id, n_shingles, set_hash, bands) per row of ``docs`` (doc_id, text); empty sets have no bands."""
+    """(doc_id, n_shingles, set_hash, bands, bits) per row of ``docs`` (doc_id, text); empty sets have no bands.
+
+    ``bits`` has one bit of each bin, for the estimate of a pair's similarity.
+    """
     schema = pa.schema(
         [
             ("doc_id", pa.int64()),
             ("n_shingles", pa.int64()),
             ("set_hash", pa.binary()),
             ("bands", pa.list_(pa.int64())),
+            ("bits", pa.list_(pa.int64())),
         ]
     )
 
@@ -189,29 +204,32 @@ def profiles(docs: DataFrame, rules: NearRules = RULES) -> DataFrame:
         import hashlib
 
         for batch in batches:
-            size, digest, bands = [], [], []
+            size, digest, bands, bits = [], [], [], []
             for words in text_words(batch.column("text")):
                 found = _shingles(words, rules.words)
                 size.append(len(found))
                 if len(found):
                     digest.append(hashlib.blake2b(found.tobytes(), digest_size=16).digest())
-                    bands.append(band_hashes(signature(found, rules.bins), rules))
+                    sig = signature(found, rules.bins)
+                    bands.append(band_hashes(sig, rules))
+                    bits.append(np.packbits((_mix(sig) & np.uint64(1)).astype(np.uint8)).view(np.int64))
                 else:
                     digest.append(None)
                     bands.append(None)
+                    bits.append(None)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(size, pa.int64()), pa.array(digest, pa.binary()),
-                 pa.array(bands, pa.list_(pa.int64()))],
+                 pa.array(bands, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64()))],
                 schema=schema,
             )
 
     return docs.select("doc_id", text_of("text").alias("text")).mapInArrow(
-        run, "doc_id long, n_shingles long, set_hash binary, bands array<long>"
+        run, "doc_id long, n_shingles long, set_hash binary, bands array<long>, bits array<long>"
     )
 
 
-def _confirmed(edges: DataFrame, texts: DataFrame, rules: NearRules) -> DataFrame:
-    """Edges (a, b) whose full shingle sets are similar enough; ``texts`` holds (class_id, text)."""
+def _compared(edges: DataFrame, texts: DataFrame, rules: NearRules) -> DataFrame:
+    """(a, b, distance, linked) of edges, from the full shingle sets; ``texts`` holds (class_id, text)."""
     left = texts.select(F.col("class_id").alias("a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("class_id").alias("b"), F.col("text").alias("text_b"))
     pairs = edges.join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b")
@@ -221,19 +239,21 @@ def _confirmed(edges: DataFrame, texts: DataFrame, rules: NearRules) -> DataFram
         for batch in batches:
             a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
             ta, tb = batch.column("text_a"), batch.column("text_b")
-            good = []
+            distance, linked = [], []
             for i in range(len(a)):
                 if a[i] != last:
                     last, known = a[i], shingles(ta[i].as_py().encode("utf-8", "surrogatepass"), rules.words)
                 other = shingles(tb[i].as_py().encode("utf-8", "surrogatepass"), rules.words)
                 both = len(np.intersect1d(known, other, assume_unique=True))
-                good.append(both > 0 and 100 * both >= rules.percent * (len(known) + len(other) - both))
-            keep = pa.array(good, pa.bool_())
+                either = len(known) + len(other) - both
+                distance.append(1 - both / either)
+                linked.append(100 * both >= rules.percent * either)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("a").filter(keep), batch.column("b").filter(keep)], names=["a", "b"]
+                [batch.column("a"), batch.column("b"), pa.array(distance, pa.float64()), pa.array(linked, pa.bool_())],
+                names=["a", "b", "distance", "linked"],
             )
 
-    return pairs.mapInArrow(run, "a long, b long")
+    return pairs.mapInArrow(run, "a long, b long, distance double, linked boolean")
 
 
 def components(edges: DataFrame, start: DataFrame | None = None) -> DataFrame:
@@ -260,7 +280,6 @@ def components(edges: DataFrame, start: DataFrame | None = None) -> DataFrame:
         labels = both.select("node").distinct().join(old, "node", "left").select(
             "node", F.coalesce("known", "node").alias("comp")
         )
-    labels = landed(labels, "labels")
     while True:
         near = (
             both.join(labels.select(F.col("node").alias("to"), "comp"), "to")
@@ -273,42 +292,44 @@ def components(edges: DataFrame, start: DataFrame | None = None) -> DataFrame:
             ),
             "labels",
         )
+        if step.where("comp != old").isEmpty():
+            return step.select("node", "comp")
         jump = step.select(F.col("node").alias("comp"), F.col("comp").alias("further"))
-        labels = landed(
-            step.join(jump, "comp", "left").select(
-                "node",
-                F.least("comp", F.coalesce("further", "comp")).alias("comp"),
-                "old",
-            ),
-            "labels",
+        labels = step.join(jump, "comp", "left").select(
+            "node", F.least("comp", F.coalesce("further", "comp")).alias("comp")
         )
-        moved = not labels.where("comp != old").isEmpty()
-        labels = labels.select("node", "comp")
-        if not moved:
-            return labels
 
 
-def _stars(members: DataFrame, slots: int) -> tuple[DataFrame, DataFrame]:
-    """Pivots, the smallest class of each slot of each bucket, and the edges from them to the other members.
+def _stars(members: DataFrame, first: bool, rules: NearRules) -> tuple[DataFrame, DataFrame]:
+    """One pivot for each bucket and the candidate edges from it to the other members.
 
-    ``members`` has (band, class_id, n, comp). Edges inside a component and those whose sizes rule out the
-    similarity are left out.
+    ``members`` has (band, class_id, n, weight, comp, d, retired). The first pivot is the most central class,
+    usually the text that the others were copied from. Later ones come from members outside the bucket's largest
+    component. Left out are edges inside a component, those whose sizes rule out the
+    similarity, and those whose distances ``d`` to the first pivot differ by more than a link may have:
+    the Jaccard distance is a metric, so such a pair is farther apart than that. The last test compares one bit
+    of each bin; a pair at the limit fails it with a probability of 3e-5.
     """
-    slot = F.pmod(F.xxhash64("class_id", F.lit(slots)), F.lit(slots))
-    pivots = members.where(~F.col("retired")).groupBy("band", slot.alias("slot")).agg(
-        F.min(F.struct("class_id", "n", "comp")).alias("p")
+    able = members.where(~F.col("retired"))
+    if not first:
+        sizes = members.groupBy("band", "comp").agg(F.count(F.lit(1)).alias("size"))
+        largest = sizes.groupBy("band").agg(F.max(F.struct("size", "comp")).alias("m"))
+        able = able.join(largest.select("band", F.col("m.comp").alias("largest")), "band").where("comp != largest")
+    pivots = able.groupBy("band").agg(
+        F.max(F.struct("weight", "class_id", "n", "comp", "d", "bits")).alias("p")
+    )
+    pivots = landed(
+        pivots.select("band", *[F.col(f"p.{c}").alias(f"pivot_{c}") for c in ("class_id", "n", "comp", "d", "bits")]), "pivots"
     )
-    pivots = landed(pivots.select("band", F.col("p.class_id").alias("pivot"), F.col("p.n").alias("pivot_n"),
-                                  F.col("p.comp").alias("pivot_comp")), "pivots")
+    low, high = F.least("n", "pivot_n"), F.greatest("n", "pivot_n")
+    near = F.abs(F.col("d") - F.col("pivot_d")) <= (100 - rules.percent) / 100 + 1e-9
+    differ = reduce(add, [F.bit_count(F.get("bits", i).bitwiseXOR(F.get("pivot_bits", i))) for i in range(rules.bins // 64)])
     edges = (
         members.join(pivots, "band")
-        .where("class_id != pivot AND comp != pivot_comp")
-        .select(
-            F.least("class_id", "pivot").alias("a"),
-            F.greatest("class_id", "pivot").alias("b"),
-            F.least("n", "pivot_n").alias("low"),
-            F.greatest("n", "pivot_n").alias("high"),
-        )
+        .where("class_id != pivot_class_id AND comp != pivot_comp")
+        .where((100 * low >= rules.percent * high) & F.coalesce(near, F.lit(True)) & (differ <= rules.max_differing_bits))
+        .select(F.least("class_id", "pivot_class_id").alias("a"), F.greatest("class_id", "pivot_class_id").alias("b"))
+        .distinct()
     )
     return pivots, edges
 
@@ -318,36 +339,59 @@ def near_classes(docs: DataFrame, rules: NearRules = RULES) -> DataFrame:
     rows = landed(profiles(docs, rules), "profiles")
     sets = rows.where("set_hash IS NOT NULL AND doc_id IS NOT NULL")
     classes = sets.groupBy("set_hash").agg(
-        F.min("doc_id").alias("class_id"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")
+        F.min("doc_id").alias("class_id"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"),
+        F.first("bits").alias("bits"),
     )
     banded = classes.select("class_id", "n", F.explode("bands").alias("band"))
-    shared = banded.groupBy("band").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("band")
-    members = landed(banded.join(shared, "band").withColumns({"comp": F.col("class_id"), "retired": F.lit(False)}),
-                     "members")
+    shared = banded.groupBy("band").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    members = landed(banded.join(shared, "band"), "shared")
+    weight = members.groupBy("class_id").agg(F.sum("size").alias("weight"))
+    members = members.drop("size").join(weight, "class_id").join(classes.select("class_id", "bits"), "class_id")
+    members = landed(
+        members.withColumns(
+            {"comp": F.col("class_id"), "d": F.lit(None).cast("double"), "retired": F.lit(False)}
+        ),
+        "members",
+    )
     ids = members.select("class_id").distinct()
     texts = landed(
-        docs.select(F.col("doc_id").alias("class_id"), text_of("text").alias("text"))
-        .join(ids, "class_id", "left_semi"),
+        docs.select(F.col("doc_id").alias("class_id"), text_of("text").alias("text")).join(
+            ids, "class_id", "left_semi"
+        ),
         "texts",
     )
     labels: DataFrame | None = None
-    done: list[DataFrame] = []
-    slots = 1
+    known: DataFrame | None = None
+    first = True
     while True:
-        pivots, edges = _stars(members, slots)
-        fits = F.lit(100) * F.col("low") >= F.lit(rules.percent) * F.col("high")
-        pool = landed(edges.where(fits).groupBy("a", "b").agg(F.count(F.lit(1)).alias("support")), "pool")
-        pool = reduce(lambda p, d: p.join(d, ["a", "b"], "left_anti"), done, pool)
-        labels = _drained(pool, texts, labels, done, rules)
-        # buckets whose members outside the pivots still belong to several components go on
-        if labels is not None:
+        pivots, edges = _stars(members, first, rules)
+        if known is not None:
+            edges = edges.join(known.select("a", "b"), ["a", "b"], "left_anti")
+        compared = landed(_compared(edges, texts, rules), "compared")
+        known = compared if known is None else known.unionByName(compared)
+        links = compared.where("linked").select("a", "b")
+        if links.isEmpty() and not first:
+            break
+        if not links.isEmpty():
+            labels = components(links, labels)
             new = labels.select(F.col("node").alias("class_id"), F.col("comp").alias("new"))
             members = members.join(new, "class_id", "left").withColumn("comp", F.coalesce("new", "comp")).drop("new")
-        was = pivots.select("band", F.col("pivot").alias("class_id"), F.lit(True).alias("was"))
+        if first:
+            far = compared.select(F.col("a").alias("x"), F.col("b").alias("class_id"), "distance").unionByName(
+                compared.select(F.col("b").alias("x"), F.col("a").alias("class_id"), "distance")
+            )
+            members = members.join(pivots.select("band", F.col("pivot_class_id").alias("x")), "band").join(
+                far, ["x", "class_id"], "left"
+            )
+            members = members.withColumn(
+                "d", F.when(F.col("x") == F.col("class_id"), F.lit(0.0)).otherwise(F.col("distance"))
+            ).drop("x", "distance")
+        was = pivots.select("band", F.col("pivot_class_id").alias("class_id"), F.lit(True).alias("was"))
         members = members.join(was, ["band", "class_id"], "left").withColumn(
             "retired", F.col("retired") | F.coalesce("was", F.lit(False))
-        ).drop("was")
-        members = landed(members, "members")
+        )
+        members = landed(members.drop("was"), "members")
+        # a bucket goes on while members that were not pivots belong to several components
         open_ = (
             members.where(~F.col("retired"))
             .groupBy("band")
@@ -358,7 +402,7 @@ def near_classes(docs: DataFrame, rules: NearRules = RULES) -> DataFrame:
         members = landed(members.join(open_, "band", "left_semi"), "members")
         if members.isEmpty():
             break
-        slots *= 4
+        first = False
     found = classes.select("set_hash", "class_id")
     if labels is not None:
         found = found.join(labels.withColumnRenamed("node", "class_id"), "class_id", "left")
@@ -373,35 +417,6 @@ def near_classes(docs: DataFrame, rules: NearRules = RULES) -> DataFrame:
     )
 
 
-def _drained(
-    pool: DataFrame, texts: DataFrame, labels: DataFrame | None, done: list[DataFrame], rules: NearRules
-) -> DataFrame | None:
-    """Confirm the candidate edges that can still join two components, best supported ones first.
-
-    In each round a member is compared along its best edge only; edges that confirmed links have made
-    pointless (both ends in one component) are not compared at all.
-    """
-    while not pool.isEmpty():
-        best = pool.groupBy("b").agg(F.max(F.struct("support", (-F.col("a")).alias("minus_a"))).alias("m"))
-        best = landed(best.select((-F.col("m.minus_a")).alias("a"), "b"), "best")
-        done.append(best)
-        links = landed(_confirmed(best, texts, rules), "confirmed")
-        if not links.isEmpty():
-            labels = components(links, labels)
-        pool = pool.join(best, ["a", "b"], "left_anti")
-        if labels is not None:
-            a = labels.select(F.col("node").alias("a"), F.col("comp").alias("ca"))
-            b = labels.select(F.col("node").alias("b"), F.col("comp").alias("cb"))
-            pool = (
-                pool.join(a, "a", "left")
-                .join(b, "b", "left")
-                .where("coalesce(ca, a) != coalesce(cb, b)")
-                .select("a", "b", "support")
-            )
-        pool = landed(pool, "pool")
-    return labels
-
-
 def near_duplicates(
     docs: DataFrame, rules: NearRules = RULES, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
