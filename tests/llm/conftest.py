@@ -1,0 +1,17 @@
+from __future__ import annotations
+
+import sys
+from pathlib import Path
+
+import pytest
+
+sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
+
+
+@pytest.fixture(scope="session")
+def spark():
+    from vitrine.session import local_session
+
+    session = local_session(8, shuffle_partitions=8)
+    yield session
+    session.stop()
