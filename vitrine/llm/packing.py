@@ -246,7 +246,7 @@ def fillings(left: _Left, capacity: int, width: int, waste: int) -> list[tuple[i
                 full = add(pattern)
             if full:
                 break
-        if tried >= 64 and found and min(found.values()) == 0 or tried >= 600:
+        if tried >= 64 and found and min(found.values()) == 0 or tried >= 120:
             break
     if not found:  # all dominated: best fit is always allowed
         pattern, gap = (first,), room
@@ -259,7 +259,7 @@ def fillings(left: _Left, capacity: int, width: int, waste: int) -> list[tuple[i
 
 
 def complete_bins(
-    counts: dict[int, int], capacity: int = CAPACITY, nodes: int = 20_000, width: int = 4
+    counts: dict[int, int], capacity: int = CAPACITY, nodes: int = 3_000, width: int = 4
 ) -> list[tuple[int, Pattern]]:
     """Patterns (times, lengths in descending order) that use up ``counts``, with as few bins as found.
 
@@ -343,7 +343,7 @@ def pack(
     end_id: int = END_ID,
     id_col: str = "doc_id",
     text_col: str = "text",
-    nodes: int = 20_000,
+    nodes: int = 3_000,
 ) -> DataFrame:
     """Per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
