@@ -83,10 +83,10 @@ def count_source(spark, sf):
 
 
 @query("q_per_source_totals", with_items("""
-SELECT source, CASE WHEN least(count(*), 60) < 60 THEN least(count(*), 60) ELSE least(count(*), 5000) END AS hits
+SELECT source, count(*) AS hits
 FROM items WHERE content_type = 'image' GROUP BY source"""))
 def per_source_totals(spark, sf):
-    return A.per_source_totals(items_part(spark, sf).filter(P.content_is("image")), need=10)
+    return A.per_source_totals(items_part(spark, sf).filter(P.content_is("image")))
 
 
 @query("q_filter_facets", with_items(f"""

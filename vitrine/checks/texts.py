@@ -178,7 +178,7 @@ def search_no_match(spark, sf):
 
 @query("q_search_totals", page_sql(["the", "thth"], "TRUE", 0, 250) + """
 , a AS (SELECT source, count(*) FILTER (tier = 0) AS n FROM matched GROUP BY source), o AS (SELECT source, count(*) AS n FROM cands WHERE tier = 1 GROUP BY source)
-SELECT a.source, CASE WHEN least(a.n, 300) < 300 THEN least(a.n, 300) ELSE least(a.n, 5000) END + coalesce(o.n, 0) AS hits FROM a LEFT JOIN o ON a.source = o.source
+SELECT a.source, a.n + coalesce(o.n, 0) AS hits FROM a LEFT JOIN o ON a.source = o.source
 WHERE a.n + coalesce(o.n, 0) > 0""")
 def search_totals(spark, sf):
     return found(spark, sf, q="the thth").per_source

@@ -6,7 +6,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from vitrine.operators.merge import COUNT_CAP, MAX_CANDIDATES
 from vitrine.operators.ranking import first_per_key
 
 
@@ -48,14 +47,13 @@ def grand_total(summary: DataFrame) -> DataFrame:
     return summary.agg(F.coalesce(F.sum("count"), F.lit(0)).alias("total"))
 
 
-def shown_total(count: Column, need: int) -> Column:
-    """Hits a source reports: exact when all of them were fetched, else counted up to a cap."""
-    fetched = F.least(count, F.lit(min(MAX_CANDIDATES, need + 50)).cast("bigint"))
-    return F.when(fetched < need + 50, fetched).otherwise(F.least(count, F.lit(COUNT_CAP).cast("bigint")))
+def shown_total(count: Column, count_cap: int | None = None) -> Column:
+    """Hits a source reports: the exact count, or no more than ``count_cap`` where one is given."""
+    return count if count_cap is None else F.least(count, F.lit(count_cap).cast("bigint"))
 
 
-def per_source_totals(matches: DataFrame, need: int) -> DataFrame:
-    return matches.groupBy("source").agg(shown_total(F.count(F.lit(1)), need).alias("hits"))
+def per_source_totals(matches: DataFrame, count_cap: int | None = None) -> DataFrame:
+    return matches.groupBy("source").agg(shown_total(F.count(F.lit(1)), count_cap).alias("hits"))
 
 
 def merge_totals(parts: DataFrame) -> DataFrame:

@@ -20,7 +20,6 @@ DEFAULT_SEED = 7
 DEFAULT_LIMIT = 250
 MAX_LIMIT = 500
 MAX_CANDIDATES = 1500
-COUNT_CAP = 5000
 
 
 def shuffle_hash(rid: Column, seed: int = DEFAULT_SEED) -> Column:

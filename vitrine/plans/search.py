@@ -11,7 +11,7 @@ from vitrine.functions.text import tokenize_query
 from vitrine.operators import filters as P
 from vitrine.operators.aggregates import shown_total
 from vitrine.operators.merge import (
-    COUNT_CAP, MAX_CANDIDATES, clamp_page, clamp_seed, diverse_order, order_browse, order_newest,
+    MAX_CANDIDATES, clamp_page, clamp_seed, diverse_order, order_browse, order_newest,
     order_oldest, order_random, order_score, page, top_per_source,
 )
 from vitrine.operators.ranking import top_n
@@ -121,9 +121,7 @@ def search(
         cands = top_per_source(narrow.withColumn("score", F.col("boost").cast("double")), inner, most).withColumn(
             "tier", F.lit(0)
         )
-        per_source = narrow.groupBy("source").agg(
-            F.least(F.count(F.lit(1)), F.lit(COUNT_CAP).cast("bigint")).alias("hits")
-        )
+        per_source = narrow.groupBy("source").agg(F.count(F.lit(1)).alias("hits"))
     # candidates are at most 2 x 1500 rows per source from here on
     placed = cands.join(sizes, "source")
     by_source = Window.partitionBy("source")
@@ -167,7 +165,7 @@ def _text_candidates(items, narrow, words, index, stemmed, inner, most, need):
     )
     if len(words) == 1:
         cands = top_per_source(matched, inner, most)
-        return cands, matched.groupBy("source").agg(shown_total(F.count(F.lit(1)), need).alias("hits"))
+        return cands, matched.groupBy("source").agg(shown_total(F.count(F.lit(1))).alias("hits"))
     all_terms = F.count_if(F.col("tier") == 0)
     counts = matched.groupBy("source").agg(all_terms.alias("n_all"))
     have = counts.agg(F.coalesce(F.sum(F.least("n_all", F.lit(most).cast("bigint"))), F.lit(0)).alias("n")).scalar()
@@ -179,7 +177,7 @@ def _text_candidates(items, narrow, words, index, stemmed, inner, most, need):
     added = cands.filter(F.col("tier") == 1).groupBy("source").agg(F.count(F.lit(1)).alias("n_added"))
     per_source = (
         counts.join(added, "source", "left")
-        .select("source", (shown_total(F.col("n_all"), need) + F.coalesce("n_added", F.lit(0))).alias("hits"))
+        .select("source", (shown_total(F.col("n_all")) + F.coalesce("n_added", F.lit(0))).alias("hits"))
         .filter(F.col("hits") > 0)
     )
     return cands, per_source
