@@ -78,6 +78,9 @@ def test_query_tokens_agree_on_both_sides(spark):
     given = ["O'Keeffe’s “red-chair”", "", "a" * 40 + " b", " ".join("abcdefghijklmnop"), "Édouard №5", "½ cup"]
     in_spark = values(spark, given, "string", X.query_tokens)
     assert in_spark == [X.tokenize_query(q) for q in given]
+    bounded = values(spark, given, "string", lambda c: X.query_tokens(c, **X.SITE_QUERY))
+    assert bounded == [X.tokenize_query(q, **X.SITE_QUERY) for q in given]
+    assert bounded[2:4] == [["b"], list("abcdefghijkl")] and in_spark[2:4] == [["a" * 40, "b"], list("abcdefghijklmnop")]
     assert in_spark[0] == ["o", "keeffe", "s", "red", "chair"]
 
 

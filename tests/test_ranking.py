@@ -112,4 +112,6 @@ def test_unique_names_are_unique_per_use(spark):
 
 def test_seed_and_page_bounds():
     assert [M.clamp_seed(s) for s in (None, float("nan"), -5.9, 1000004)] == [7, 7, 5, 1]
-    assert [M.clamp_page(*a) for a in ((None, None), (9999, 9999), (-1, -1), (10, 1495))] == [(250, 0), (500, 1000), (1, 0), (10, 1490)]
+    asked = ((None, None), (9999, 9999), (-1, -1), (10, 1495))
+    assert [M.clamp_page(*a) for a in asked] == [(250, 0), (9999, 9999), (1, 0), (10, 1495)]
+    assert [M.clamp_page(*a, **M.SITE_PAGES) for a in asked] == [(250, 0), (500, 1000), (1, 0), (10, 1490)]

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from vitrine.functions.urls import compact_images, expand_images
 from vitrine.operators import boards as B
-from vitrine.operators.patents import PatentQuery, clamp_patent_page, page_of_offset, patent_filter
+from vitrine.operators.patents import SITE_PATENT_PAGES, PatentQuery, clamp_patent_page, page_of_offset, patent_filter
 from vitrine.operators.similarity import image_signature, rank_similar, rank_similar_many
 from vitrine.operators.throttle import fixed_window_throttle, window_state
 from vitrine.plans import build
@@ -173,7 +173,9 @@ def test_signature_of_a_flat_image_is_zero(spark):
 
 
 def test_patent_arguments():
-    assert [clamp_patent_page(*a) for a in ((None, None), (1, -4), (500, 90))] == [(100, 0), (10, 0), (100, 50)]
+    asked = ((None, None), (1, -4), (500, 90))
+    assert [clamp_patent_page(*a) for a in asked] == [(100, 0), (1, 0), (500, 90)]
+    assert [clamp_patent_page(*a, **SITE_PATENT_PAGES) for a in asked] == [(100, 0), (10, 0), (100, 50)]
     assert page_of_offset(250, 100) == 2
 
 

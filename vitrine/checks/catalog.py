@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from vitrine.checks import query
 from vitrine.checks.views import PD_DEFAULT_SQL, items_part, pd_default, table, with_items
 from vitrine.operators import aggregates as A, caps as C, filters as P, merge as M
 from vitrine.operators.ranking import with_seq
 from vitrine.plans.search import SearchParams, search
+from vitrine.schema import conform
 from vitrine.session import landed
 
 SOURCE_COUNTS = "SELECT source, count(*) AS source_count FROM items GROUP BY source"
@@ -133,8 +134,6 @@ SELECT 'shop:' || c_custkey AS id, CAST(c_custkey AS VARCHAR) AS source_id, coal
   'Rights unclear — check source' AS rights_label, CAST(0 AS INT) AS boost, CAST(0 AS INT) AS n_files
 FROM raw WHERE title IS NOT NULL AND title <> '' AND (coalesce(kind, 'image') <> 'image' OR thumb IS NOT NULL)""")
 def validate_items(spark, sf):
-    from vitrine.schema import conform
-
     raw = table(spark, sf, "customer").selectExpr(
         "concat('shop:', c_custkey) id", "'shop' source", "CASE WHEN c_custkey % 7 = 0 THEN NULL ELSE c_name END title",
         "CASE WHEN c_custkey % 5 = 0 THEN '3d' WHEN c_custkey % 5 = 1 THEN 'image' END content_type",
@@ -281,6 +280,39 @@ def browse_search(spark, sf):
     return found.page.select("rid", "source", "score", F.col("pos").cast("bigint").alias("pos"))
 
 
+DEEP_ITEMS = """
+SELECT CAST(o_orderkey AS BIGINT) AS rid, 'orders' AS source, CAST(year(o_orderdate) AS INT) AS year_start, CAST(o_orderkey % 89 = 0 AS INT) AS boost FROM orders
+UNION ALL SELECT CAST(10000000 + c_custkey AS BIGINT), 'customers', CAST(1900 + c_nationkey AS INT), 0 FROM customer"""
+
+
+def deep_items(spark, sf) -> DataFrame:
+    """Two sources of which one holds nearly all rows."""
+    table(spark, sf, "orders").createOrReplaceTempView("orders")
+    table(spark, sf, "customer").createOrReplaceTempView("customer")
+    return conform(spark.sql(DEEP_ITEMS))
+
+
+@query("q_search_deep_page", f"""
+WITH items AS ({DEEP_ITEMS}), sizes AS (SELECT source, count(*) AS source_count FROM items GROUP BY source)
+SELECT rid, source, pos FROM (SELECT *, row_number() OVER (ORDER BY year_start DESC, source_count DESC, source, rid) AS pos FROM items JOIN sizes USING (source) WHERE year_start IS NOT NULL)
+WHERE pos > 1200 AND pos <= 2100""")
+def search_deep_page(spark, sf):
+    """A long page far down the list, in rows that one source supplies."""
+    found = search(deep_items(spark, sf), SearchParams(sort="newest", offset=1200, limit=900))
+    return found.page.select("rid", "source", F.col("pos").cast("bigint").alias("pos"))
+
+
+@query("q_browse_deep_page", f"""
+WITH items AS ({DEEP_ITEMS}), sizes AS (SELECT source, count(*) AS source_count FROM items GROUP BY source),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY boost DESC, {HASH.format(seed=7)}, rid) AS rank FROM items JOIN sizes USING (source))
+SELECT rid, source, count AS hits FROM (SELECT rid, source, row_number() OVER (ORDER BY rank, source_count DESC, source) AS pos FROM ranked)
+JOIN (SELECT source, count(*) AS count FROM items GROUP BY source) USING (source) WHERE pos > 1300 AND pos <= 1480""")
+def browse_deep_page(spark, sf):
+    """Random order beyond the smaller source, with the exact totals of both."""
+    found = search(deep_items(spark, sf), SearchParams(offset=1300, limit=180))
+    return found.page.select("rid", "source").join(found.per_source, "source").select("rid", "source", "hits")
+
+
 @query("q_browse_relevance", with_items(f"""
 , sizes AS ({SOURCE_COUNTS}),
 ranked AS (SELECT rid, source, boost, row_number() OVER (PARTITION BY source ORDER BY boost DESC, {HASH.format(seed=3)}, rid) AS rank FROM items WHERE year_start >= 1600)
@@ -358,6 +390,14 @@ def lookup(spark, sf):
     return found.select("pos", "id", "title")
 
 
+@query("q_lookup_many", with_items("SELECT CAST(o_orderkey AS INT) AS pos, id, title FROM orders JOIN items ON items.rid = o_custkey"))
+def lookup_many(spark, sf):
+    """As many ids as there are orders, repeats and misses included."""
+    items = items_part(spark, sf)
+    ids = items.select("rid", "id").join(table(spark, sf, "orders"), F.col("rid") == F.col("o_custkey"))
+    return M.lookup_items(items, ids.select("id", F.col("o_orderkey").cast("int").alias("pos"))).select("pos", "id", "title")
+
+
 @query("q_append_page", with_items("""
 , o AS (SELECT rid, id, row_number() OVER (ORDER BY year_start, rid) AS pos FROM items)
 SELECT id, CASE WHEN pos <= 250 THEN 0 ELSE 1 END AS page FROM o WHERE pos <= 400"""))
@@ -397,8 +437,6 @@ SELECT 'customer' AS source, 'customer:' || c_custkey AS id, c_name AS title FRO
 UNION ALL SELECT 'supplier', 'supplier:' || s_suppkey, s_name FROM supplier
 UNION ALL SELECT 'part', 'part:' || p_partkey, p_name FROM part""")
 def union_sources(spark, sf):
-    from vitrine.schema import conform
-
     def part_of(name, key, title):
         return conform(table(spark, sf, name).select(
             F.lit(name).alias("source"), F.concat(F.lit(f"{name}:"), key).alias("id"), F.col(title).alias("title")

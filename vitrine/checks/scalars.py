@@ -15,17 +15,17 @@ from vitrine.schema import conform, file_struct
 SPACES = r"[\s\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]+"
 
 
-def clean_sql(c: str, n: int = 400) -> str:
+def clean_sql(c: str, n: int | None = None) -> str:
     t = f"regexp_replace({c}, '<[^>]+>', ' ', 'g')"
     for entity, char in (("&amp;", "&"), ("&quot;", '"'), ("&#39;", "''"), ("&apos;", "''"), ("&lt;", "<"), ("&gt;", ">")):
         t = f"replace({t}, '{entity}', '{char}')"
     t = f"nullif(trim(regexp_replace({t}, '{SPACES}', ' ', 'g')), '')"
-    return f"CASE WHEN length({t}) > {n} THEN substring({t}, 1, {n - 1}) || '…' ELSE {t} END"
+    return t if n is None else f"CASE WHEN length({t}) > {n} THEN substring({t}, 1, {n - 1}) || '…' ELSE {t} END"
 
 
-@query("q_clean", f"SELECT page_id, {clean_sql('html', 1000000)} AS whole, {clean_sql('html')} AS cut FROM pages")
+@query("q_clean", f"SELECT page_id, {clean_sql('html')} AS whole, {clean_sql('html', 400)} AS cut FROM pages")
 def clean(spark, sf):
-    return table(spark, sf, "pages").select("page_id", X.clean("html", 1000000).alias("whole"), X.clean("html").alias("cut"))
+    return table(spark, sf, "pages").select("page_id", X.clean("html").alias("whole"), X.clean("html", 400).alias("cut"))
 
 
 @query("q_trim_to", """
@@ -140,14 +140,24 @@ def to_int(spark, sf):
     return part.select("p_partkey", X.to_int("v").alias("n"))
 
 
-@query("q_tokenize_query", r"""
+QUERY_WORDS = r"""
 WITH q AS (SELECT conv_id, turn, list_filter(regexp_split_to_array(regexp_replace(lower(text), '[“”"''‘’`]', ' ', 'g'), '[^\p{L}\p{N}]+'),
   lambda w: length(w) > 0 AND length(w) < 40) AS w FROM conversations)
-SELECT conv_id, turn, array_to_string(w[1:12], ' ') AS words FROM q""")
+SELECT conv_id, turn, array_to_string(w[1:12], ' ') AS words FROM q"""
+
+
+@query("q_tokenize_query", QUERY_WORDS.replace(" AND length(w) < 40", "").replace("w[1:12]", "w"))
 def tokenize(spark, sf):
     return table(spark, sf, "conversations").select("conv_id", "turn", F.array_join(X.query_tokens("text"), " ").alias("words"))
 
 
+@query("q_tokenize_query_limits", QUERY_WORDS)
+def tokenize_limits(spark, sf):
+    """The same with the bounds of a public site."""
+    words = X.query_tokens("text", **X.SITE_QUERY)
+    return table(spark, sf, "conversations").select("conv_id", "turn", F.array_join(words, " ").alias("words"))
+
+
 FORMS = {
     "met": ("https://images.metmuseum.org/CRDImages/ep/web-large/DP{k}.jpg",) * 2 + ("https://images.metmuseum.org/CRDImages/ep/original/DP{k}.jpg", "ep/DP{k}.jpg"),
     "aic": ("https://www.artic.edu/iiif/2/{k}/full/600,/0/default.jpg", "https://www.artic.edu/iiif/2/{k}/full/1686,/0/default.jpg", "https://www.artic.edu/iiif/2/{k}/full/3000,/0/default.jpg", "{k}"),

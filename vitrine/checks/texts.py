@@ -88,7 +88,7 @@ def bm25_and(spark, sf):
 def page_sql(words: list[str], where: str, offset: int, limit: int, order: str = "relevance") -> str:
     """The search rules in SQL: both passes, per-source lists, merge, page."""
     need = offset + limit
-    most = min(1500, need + 50)
+    most = need + 50
     inner = {"relevance": "score DESC, rid", "oldest": "year_start, rid", "newest": "year_start DESC, rid", "random": HASH.format(seed=7) + ", rid"}[order]
     merged = {
         "relevance": "score / (1 + CAST(0.06 AS DOUBLE) * (rank - 1)) DESC, first_tier, source_count DESC, source, rank",
@@ -177,13 +177,20 @@ def search_no_match(spark, sf):
 
 
 @query("q_search_totals", page_sql(["the", "thth"], "TRUE", 0, 250) + """
-, a AS (SELECT source, count(*) FILTER (tier = 0) AS n FROM matched GROUP BY source), o AS (SELECT source, count(*) AS n FROM cands WHERE tier = 1 GROUP BY source)
-SELECT a.source, a.n + coalesce(o.n, 0) AS hits FROM a LEFT JOIN o ON a.source = o.source
-WHERE a.n + coalesce(o.n, 0) > 0""")
+, a AS (SELECT source, count(*) FILTER (tier = 0) AS n, count(*) FILTER (tier = 1) AS rest FROM matched GROUP BY source),
+t AS (SELECT source, n + CASE WHEN (SELECT n FROM have) < 250 THEN rest ELSE 0 END AS hits FROM a)
+SELECT source, hits FROM t WHERE hits > 0""")
 def search_totals(spark, sf):
+    """Exact counts of both passes, also beyond what is listed for the page."""
     return found(spark, sf, q="the thth").per_source
 
 
+@query("q_search_deep_text", searched(["the", "by"], "TRUE", 150, 100))
+def search_deep_text(spark, sf):
+    """A page beyond the first ones continues the same order."""
+    return shown(found(spark, sf, q="the by", offset=150, limit=100))
+
+
 @query("q_search_without_index", searched(["nd", "thth"], "TRUE", 0, 40))
 def search_without_index(spark, sf):
     return shown(search(items_doc(spark, sf), SearchParams(q="nd thth", limit=40)))

@@ -45,17 +45,18 @@ def trim_to(c: Column | str, n: int) -> Column:
     return F.regexp_replace(as_col(c), r"(?s)^(.{%d}).{2,}$" % (n - 1), "$1…")
 
 
-def clean(c: Column | str, max_len: int = 400) -> Column:
-    """Strip tags, decode the basic entities (ampersand first), squeeze, empty to null, cut."""
+def clean(c: Column | str, max_len: int | None = None) -> Column:
+    """Strip tags, decode the basic entities (ampersand first), squeeze, empty to null; cut only where asked."""
     t = F.regexp_replace(as_col(c).cast("string"), r"<[^>]+>", " ")
     for entity, char in (("&amp;", "&"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&lt;", "<"), ("&gt;", ">")):
         t = F.replace(t, F.lit(entity), F.lit(char))
-    return nonblank(trim_to(squeeze(t), max_len))
+    t = squeeze(t)
+    return nonblank(t if max_len is None else trim_to(t, max_len))
 
 
-def join_unique(arr: Column | str, sep: str = "; ", max_len: int = 300) -> Column:
+def join_unique(arr: Column | str, sep: str = "; ", max_len: int | None = None, part_len: int | None = None) -> Column:
     """Clean each element, drop blanks and case-insensitive repeats (first spelling wins), join."""
-    cleaned = F.filter(F.transform(as_col(arr), lambda x: clean(x, 200)), lambda x: x.isNotNull())
+    cleaned = F.filter(F.transform(as_col(arr), lambda x: clean(x, part_len)), lambda x: x.isNotNull())
 
     def distinct(values: Column) -> Column:
         lowered = F.transform(values, F.lower)
@@ -154,13 +155,20 @@ def tokens(c: Column | str) -> Column:
     return F.array_remove(F.split(fold(F.coalesce(as_col(c), F.lit(""))), NON_WORD), "")
 
 
-def query_tokens(c: Column | str) -> Column:
-    """Search words of a query string: at most 12, each shorter than 40 characters."""
+# Bounds of a public site's query string, for callers that want them.
+SITE_QUERY = {"max_words": 12, "shorter_than": 40}
+
+
+def query_tokens(c: Column | str, max_words: int | None = None, shorter_than: int | None = None) -> Column:
+    """Search words of a query string, all of them unless the caller sets bounds (``SITE_QUERY``)."""
     words = F.split(F.regexp_replace(F.lower(as_col(c)), "[“”\"'‘’`]", " "), NON_WORD)
-    return F.slice(F.filter(words, lambda w: (F.length(w) > 0) & (F.length(w) < 40)), 1, 12)
+    words = F.array_remove(words, "")
+    if shorter_than is not None:
+        words = F.filter(words, lambda w: F.length(w) < shorter_than)
+    return words if max_words is None else F.slice(words, 1, max_words)
 
 
-def tokenize_query(q: str | None) -> list[str]:
+def tokenize_query(q: str | None, max_words: int | None = None, shorter_than: int | None = None) -> list[str]:
     """Driver-side twin of :func:`query_tokens` for one query string."""
     out, word = [], []
     for ch in (q or "").lower() + " ":
@@ -169,7 +177,7 @@ def tokenize_query(q: str | None) -> list[str]:
         elif word:
             out.append("".join(word))
             word = []
-    return [w for w in out if len(w) < 40][:12]
+    return [w for w in out if shorter_than is None or len(w) < shorter_than][:max_words]
 
 
 def fold_word(word: str) -> str:

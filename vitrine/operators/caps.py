@@ -89,9 +89,9 @@ def capped_with_exempt(df: DataFrame, key: str, seq: str, cap: Column | int, exe
     return ranked.filter(exempt | (F.col("_rank") <= F.col("_cap"))).drop("_rank", "_cap")
 
 
-def account_cap(df: DataFrame, account: str, seq: str, caps: Mapping[str, int] | None = None, default: int = DEFAULT_ACCOUNT_CAP, width: int = 1 << 20) -> DataFrame:
-    table = ACCOUNT_CAPS if caps is None else caps
-    return capped(df, [account], seq, cap_column(F.col(account), table, default), width).drop("_rank")
+def account_cap(df: DataFrame, account: str, seq: str, caps: Mapping[str, int] | None = None, default: int = NO_CAP, width: int = 1 << 20) -> DataFrame:
+    """First rows of each account; the published numbers are ``ACCOUNT_CAPS`` and ``DEFAULT_ACCOUNT_CAP``."""
+    return capped(df, [account], seq, cap_column(F.col(account), caps or {}, default), width).drop("_rank")
 
 
 def unique_names(df: DataFrame, name: str, seq: str, out: str = "unique_name", width: int = 1 << 20) -> DataFrame:
@@ -101,7 +101,7 @@ def unique_names(df: DataFrame, name: str, seq: str, out: str = "unique_name", w
     return ranked.withColumn(out, F.when(F.col("_use") > 1, numbered).otherwise(F.col(name))).drop("_use")
 
 
-def keep_newest(df: DataFrame, key: str, ts: str, n: int = 4) -> DataFrame:
+def keep_newest(df: DataFrame, key: str, ts: str, n: int) -> DataFrame:
     return top_n(df, [key], [F.col(ts).desc()], n, salt_by=[ts])
 
 

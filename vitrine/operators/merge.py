@@ -12,14 +12,14 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from vitrine.operators.ranking import bucket_rank, first_per_key, top_n
 
-# The diversity discount per item already shown, the shuffle hash, page bounds.
+# The diversity discount per item already shown, the shuffle hash, the page size.
 PENALTY = 0.06
 HASH_FACTOR = 2654435761
 HASH_PRIME = 1000003
 DEFAULT_SEED = 7
 DEFAULT_LIMIT = 250
-MAX_LIMIT = 500
-MAX_CANDIDATES = 1500
+# Page bounds of a public site, for callers that want them.
+SITE_PAGES = {"max_limit": 500, "max_candidates": 1500}
 
 
 def shuffle_hash(rid: Column, seed: int = DEFAULT_SEED) -> Column:
@@ -36,9 +36,17 @@ def clamp_seed(seed: float | None) -> int:
     return abs(int(seed)) % HASH_PRIME
 
 
-def clamp_page(limit: int | None, offset: int | None) -> tuple[int, int]:
-    limit = min(MAX_LIMIT, max(1, limit or DEFAULT_LIMIT))
-    return limit, max(0, min(offset or 0, MAX_CANDIDATES - limit))
+def clamp_page(
+    limit: int | None, offset: int | None, max_limit: int | None = None, max_candidates: int | None = None
+) -> tuple[int, int]:
+    """Limit and offset of a page. Every page can be reached unless the caller sets bounds, as in ``SITE_PAGES``."""
+    limit = max(1, limit or DEFAULT_LIMIT)
+    offset = max(0, offset or 0)
+    if max_limit is not None:
+        limit = min(max_limit, limit)
+    if max_candidates is not None:
+        offset = max(0, min(offset, max_candidates - limit))
+    return limit, offset
 
 
 def page(df: DataFrame, order: Sequence[Column], offset: int, limit: int, pos: str | None = None) -> DataFrame:
@@ -75,8 +83,9 @@ def top_per_source(df: DataFrame, order: Sequence[Column], n: int) -> DataFrame:
     return top_n(df, ["source"], order, n, salt_by=["rid"])
 
 
-def candidates_needed(offset: int, limit: int) -> int:
-    return min(MAX_CANDIDATES, offset + limit + 50)
+def candidates_needed(offset: int, limit: int, max_candidates: int | None = None) -> int:
+    need = offset + limit + 50
+    return need if max_candidates is None else min(max_candidates, need)
 
 
 def diverse_order(df: DataFrame, source_order: Sequence[Column], rank: str = "rank", penalty: float = PENALTY) -> tuple[DataFrame, list[Column]]:
@@ -172,10 +181,13 @@ def difference(df: DataFrame, removed: DataFrame, keys: Sequence[str]) -> DataFr
     return df.join(removed.select(*keys), list(keys), "left_anti")
 
 
-def lookup_items(items: DataFrame, ids: Sequence[str], max_ids: int = 100) -> DataFrame:
-    """Items by id in request order; misses are left out. Requests are bounded, so they ship with the plan."""
-    if len(ids) > max_ids:
-        raise ValueError(f"at most {max_ids} ids per lookup")
+def lookup_items(items: DataFrame, ids: Sequence[str] | DataFrame) -> DataFrame:
+    """Items by id in request order; misses are left out.
+
+    A list ships with the plan. Many ids come as a DataFrame of ``id`` and ``pos`` and are joined.
+    """
+    if isinstance(ids, DataFrame):
+        return items.join(ids.select("id", "pos"), "id")
     wanted = {}
     for i, item_id in enumerate(ids):
         wanted.setdefault(item_id, []).append(i)

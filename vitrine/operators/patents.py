@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -71,16 +71,26 @@ def patent_sort(query: PatentQuery) -> list[Column]:
     return [field.desc_nulls_last(), number] if query.sort == "new" else [number]
 
 
-def clamp_patent_page(num: int | None, page_no: int | None) -> tuple[int, int]:
-    num = 100 if num is None else min(100, max(10, num))
-    return num, min(50, max(0, page_no or 0))
+# Page bounds of a public site, for callers that want them.
+SITE_PATENT_PAGES = {"min_num": 10, "max_num": 100, "max_page": 50}
+
+
+def clamp_patent_page(
+    num: int | None, page_no: int | None, min_num: int = 1, max_num: int | None = None, max_page: int | None = None
+) -> tuple[int, int]:
+    """Page size and number. Every page can be reached unless the caller sets bounds."""
+    num = 100 if num is None else max(min_num, num)
+    page_no = max(0, page_no or 0)
+    return num if max_num is None else min(max_num, num), page_no if max_page is None else min(max_page, page_no)
 
 
 def page_of_offset(offset: int, num: int) -> int:
     return offset // num
 
 
-def search_patents(records: DataFrame, query: PatentQuery, pos: str | None = "pos") -> DataFrame:
-    num, page_no = clamp_patent_page(query.num, query.page)
+def search_patents(
+    records: DataFrame, query: PatentQuery, pos: str | None = "pos", bounds: Mapping[str, int] | None = None
+) -> DataFrame:
+    num, page_no = clamp_patent_page(query.num, query.page, **(bounds or {}))
     hits = records.filter(patent_filter(query, records.columns))
     return page(hits, patent_sort(query), page_no * num, num, pos)

@@ -12,13 +12,13 @@ from vitrine.functions.rights import UNCLEAR
 from vitrine.functions.urls import (
     URL_RULES, compact_images, default_record_url, elide_record_url, expand_images, restore_record_url,
 )
-from vitrine.operators.caps import FEED_CAPS, cap_per_source, dedupe_priority
+from vitrine.operators.caps import cap_per_source, dedupe_priority
 from vitrine.operators.filters import drop_redundant_files, titled_only, validate_items
 from vitrine.operators.ranking import BUCKET_ROWS, bucket_rank, seq_bucket
 from vitrine.schema import FILES, file_struct, no_files
 from vitrine.session import landed
 
-# Longest display text per column.
+# Optional budgets of display text per column. The build keeps whole texts unless asked.
 DISPLAY_BUDGET = {"creator": 140, "object_type": 100, "medium": 160, "culture": 100, "place": 100}
 # Optional budgets of indexed free text. The build indexes whole texts unless asked.
 TEXT_BUDGETS = {"flickr": 120, "europeana": 150, "nypl": 60}
@@ -67,8 +67,8 @@ def restore_rights(items: DataFrame, defaults: DataFrame | None = None) -> DataF
     ).drop("default_pd", "default_label", "default_license")
 
 
-def trim_display(items: DataFrame) -> DataFrame:
-    return items.withColumns({c: trim_to(c, n) for c, n in DISPLAY_BUDGET.items() if c in items.columns})
+def trim_display(items: DataFrame, budgets: Mapping[str, int] = DISPLAY_BUDGET) -> DataFrame:
+    return items.withColumns({c: trim_to(c, n) for c, n in budgets.items() if c in items.columns})
 
 
 def trim_text(items: DataFrame, budgets: Mapping[str, int] = TEXT_BUDGETS, default: int = DEFAULT_TEXT_BUDGET) -> DataFrame:
@@ -98,22 +98,28 @@ def build_catalog(
     caps: Mapping[str, int] | None = None,
     defaults: DataFrame | None = None,
     text_budgets: Mapping[str, int] | None = None,
+    display_budgets: Mapping[str, int] | None = None,
 ) -> DataFrame:
     """Catalog rows from staged items.
 
     ``staged`` has the item columns plus ``feed`` (which ingest a row came from) and ``seq``
     (unique arrival number). Caps count per feed and before the dedupe; on a repeated id the
-    feed named first in ``feed_order`` wins.
+    feed named first in ``feed_order`` wins. Nothing is capped or cut by default: the published
+    numbers are ``caps=FEED_CAPS``, ``text_budgets=TEXT_BUDGETS``, ``display_budgets=DISPLAY_BUDGET``.
+    An index over uncut texts is built before the display texts are cut.
     """
     place = F.coalesce(F.array_position(F.lit(list(feed_order)), F.col("feed")), F.lit(0))
     place = F.when(place == 0, len(feed_order) + 1).otherwise(place)
     valid = titled_only(validate_items(staged))
-    kept = cap_per_source(valid, FEED_CAPS if caps is None else caps, key="feed", seq="seq")
+    kept = cap_per_source(valid, caps, key="feed", seq="seq") if caps else valid
     # without the feed name, feeds outside the list would have no order among themselves
     once = dedupe_priority(kept, "id", [place.asc(), F.col("feed").asc(), F.col("seq").asc()])
     if text_budgets is not None:
         once = trim_text(once, text_budgets)
-    return elide_rights(trim_display(compact(once)), defaults).drop("feed")
+    stored = compact(once)
+    if display_budgets is not None:
+        stored = trim_display(stored, display_budgets)
+    return elide_rights(stored, defaults).drop("feed")
 
 
 def number_rows(catalog: DataFrame, seq: str = "seq") -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -11,7 +11,7 @@ from vitrine.functions.text import tokenize_query
 from vitrine.operators import filters as P
 from vitrine.operators.aggregates import shown_total
 from vitrine.operators.merge import (
-    MAX_CANDIDATES, clamp_page, clamp_seed, diverse_order, order_browse, order_newest,
+    candidates_needed, clamp_page, clamp_seed, diverse_order, order_browse, order_newest,
     order_oldest, order_random, order_score, page, top_per_source,
 )
 from vitrine.operators.ranking import top_n
@@ -47,7 +47,7 @@ class SearchResult:
     hits: DataFrame  # the page without the wide columns: rid, source, score, value, pos
 
     def fetch(self, items: DataFrame) -> DataFrame:
-        """The page read by its row numbers, which are at most 500.
+        """The page read by its row numbers, which are as many as the limit asked for.
 
         They become literals in the plan, so a stored catalog is read in the folders of their
         sources and the row groups around them instead of as a whole.
@@ -96,14 +96,17 @@ def search(
     pd_default: Column | None = None,
     summary: DataFrame | None = None,
     stemmed: bool = False,
+    bounds: Mapping[str, int] | None = None,
 ) -> SearchResult:
     """One plan per answer.
 
     ``items`` needs ``rid`` and the item columns. ``index`` is a prebuilt text index; without
     one the query's own words are indexed first. ``pd_default`` is the source's default
-    public-domain flag as a Column, ``summary`` a prebuilt (source, count) table.
+    public-domain flag as a Column, ``summary`` a prebuilt (source, count) table. ``bounds`` limits
+    the page and the candidates per source (``SITE_PAGES``); without it any page can be reached.
     """
-    limit, offset = clamp_page(params.limit, params.offset)
+    bounds = bounds or {}
+    limit, offset = clamp_page(params.limit, params.offset, **bounds)
     need = offset + limit
     words = tokenize_query(params.q)
     sort = params.sort if params.sort in SORTS else ("relevance" if words else "random")
@@ -111,7 +114,7 @@ def search(
     keep = facet_filter(params, sort, F.lit(False) if pd_default is None else pd_default)
     narrow = items.filter(keep).select("rid", "source", "year_start", F.coalesce("boost", F.lit(0)).alias("boost"))
     inner = _inner_order(sort, seed, browse=not words)
-    most = min(MAX_CANDIDATES, need + 50)
+    most = candidates_needed(offset, limit, bounds.get("max_candidates"))
     sizes = (summary if summary is not None else items.groupBy("source").agg(F.count(F.lit(1)).alias("count"))).select(
         "source", F.col("count").alias("source_count")
     )
@@ -122,7 +125,7 @@ def search(
             "tier", F.lit(0)
         )
         per_source = narrow.groupBy("source").agg(F.count(F.lit(1)).alias("hits"))
-    # candidates are at most 2 x 1500 rows per source from here on
+    # from here on a source has at most twice the rows up to the end of the page
     placed = cands.join(sizes, "source")
     by_source = Window.partitionBy("source")
     placed = placed.withColumn("first_tier", F.min("tier").over(by_source))
@@ -143,7 +146,7 @@ def search(
         # with a single source the discount keeps its order, so no case of its own
         valued, order = diverse_order(ranked, source_order)
     hits = page(valued, order, offset, limit, pos="pos").select("rid", "source", "score", "value", "pos")
-    # the page is at most 500 rows: joined to the wide rows last
+    # the page has no more rows than asked for: joined to the wide rows last
     wide = items.filter(P.source_in(params.sources)).join(F.broadcast(hits.drop("source")), "rid")
     return SearchResult(wide, per_source, cands, hits)
 
@@ -166,18 +169,15 @@ def _text_candidates(items, narrow, words, index, stemmed, inner, most, need):
     if len(words) == 1:
         cands = top_per_source(matched, inner, most)
         return cands, matched.groupBy("source").agg(shown_total(F.count(F.lit(1))).alias("hits"))
-    all_terms = F.count_if(F.col("tier") == 0)
-    counts = matched.groupBy("source").agg(all_terms.alias("n_all"))
-    have = counts.agg(F.coalesce(F.sum(F.least("n_all", F.lit(most).cast("bigint"))), F.lit(0)).alias("n")).scalar()
+    counts = matched.groupBy("source").agg(
+        F.count_if(F.col("tier") == 0).alias("n_all"), F.count_if(F.col("tier") == 1).alias("n_rest")
+    )
+    have = counts.agg(F.coalesce(F.sum("n_all"), F.lit(0)).alias("n")).scalar()
     # enough for both passes: the best rows of either tier, then the second pass ranks both together
     both = top_n(matched, ["source", "tier"], inner, most, salt_by=["rid"], rank="tier_rank")
     either = Window.partitionBy("source").orderBy(*inner)
     both = both.withColumn("or_rank", F.row_number().over(either)).withColumn("thin", have < need)
     cands = both.filter((F.col("tier") == 0) | (F.col("thin") & (F.col("or_rank") <= most)))
-    added = cands.filter(F.col("tier") == 1).groupBy("source").agg(F.count(F.lit(1)).alias("n_added"))
-    per_source = (
-        counts.join(added, "source", "left")
-        .select("source", (shown_total(F.col("n_all")) + F.coalesce("n_added", F.lit(0))).alias("hits"))
-        .filter(F.col("hits") > 0)
-    )
-    return cands, per_source
+    # the second pass counts whole, not only as far as it is listed
+    hits = F.col("n_all") + F.when(have < need, F.col("n_rest")).otherwise(F.lit(0))
+    return cands, counts.select("source", shown_total(hits).alias("hits")).filter(F.col("hits") > 0)
