@@ -139,3 +139,14 @@ def test_translate_terms(spark):
     df = spark.createDataFrame([(1, "Prent, foto's en prent"), (2, "niets")], "id int, t string")
     out = translate_terms(df, "id", F.col("t"), {"prent": "print", "foto's": "photographs", "leeg": ""}, keep_apostrophes=True).collect()
     assert [(r.id, r.english) for r in out] == [(1, "print photographs")]
+
+
+def test_long_page_is_joined_and_equal(corpus, monkeypatch):
+    _, df = corpus
+    index = build_index(df)
+    ask = SearchParams(q="oak", limit=30)
+    short = [r.rid for r in search(df, ask, index=index).page.orderBy("pos").collect()]
+    monkeypatch.setattr("vitrine.plans.search.BROADCAST_ROWS", 5)
+    long = search(df, ask, index=index)
+    assert [r.rid for r in long.page.orderBy("pos").collect()] == short
+    assert [r.rid for r in long.fetch(df).orderBy("pos").collect()] == short

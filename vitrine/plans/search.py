@@ -18,6 +18,8 @@ from vitrine.operators.ranking import top_n
 from vitrine.plans.text_index import TextIndex, bm25_matches, boosted_score, build_index, read_index, write_index
 from vitrine.session import scratch_path
 
+# Pages up to this many narrow rows are broadcast or read by literal row numbers; longer ones are joined.
+BROADCAST_ROWS = 2000
 SORTS = ("relevance", "oldest", "newest", "random")
 
 
@@ -45,13 +47,16 @@ class SearchResult:
     per_source: DataFrame  # source, hits
     candidates: DataFrame
     hits: DataFrame  # the page without the wide columns: rid, source, score, value, pos
+    short: bool = True  # at most BROADCAST_ROWS rows were asked for
 
     def fetch(self, items: DataFrame) -> DataFrame:
         """The page read by its row numbers, which are as many as the limit asked for.
 
         They become literals in the plan, so a stored catalog is read in the folders of their
-        sources and the row groups around them instead of as a whole.
+        sources instead of as a whole. A long page is joined without passing the driver.
         """
+        if not self.short:
+            return items.join(self.hits.drop("source"), "rid")
         found = self.hits.collect()
         hits = items.sparkSession.createDataFrame(found, self.hits.schema)
         near = items.filter(F.col("source").isin(sorted({r.source for r in found})) & F.col("rid").isin([r.rid for r in found]))
@@ -147,8 +152,10 @@ def search(
         valued, order = diverse_order(ranked, source_order)
     hits = page(valued, order, offset, limit, pos="pos").select("rid", "source", "score", "value", "pos")
     # the page has no more rows than asked for: joined to the wide rows last
-    wide = items.filter(P.source_in(params.sources)).join(F.broadcast(hits.drop("source")), "rid")
-    return SearchResult(wide, per_source, cands, hits)
+    short = limit <= BROADCAST_ROWS
+    narrow_page = hits.drop("source")
+    wide = items.filter(P.source_in(params.sources)).join(F.broadcast(narrow_page) if short else narrow_page, "rid")
+    return SearchResult(wide, per_source, cands, hits, short)
 
 
 def _text_candidates(items, narrow, words, index, stemmed, inner, most, need):
