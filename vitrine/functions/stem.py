@@ -1,4 +1,5 @@
-"""Porter stemming (M. F. Porter, "An algorithm for suffix stripping", 1980).
+"""Porter stemming (M. F. Porter, "An algorithm for suffix stripping", 1980), with its author's later
+rules for ``bli`` and ``logi``.
 
 Applied to distinct words only; see ``plans.text_index.stem_words``.
 """
@@ -10,9 +11,10 @@ from functools import lru_cache
 
 # The suffix lists of the published algorithm.
 STEP_2 = {
-    "ational": "ate", "tional": "tion", "enci": "ence", "anci": "ance", "izer": "ize", "abli": "able", "alli": "al",
+    "ational": "ate", "tional": "tion", "enci": "ence", "anci": "ance", "izer": "ize", "bli": "ble", "alli": "al",
     "entli": "ent", "eli": "e", "ousli": "ous", "ization": "ize", "ation": "ate", "ator": "ate", "alism": "al",
     "iveness": "ive", "fulness": "ful", "ousness": "ous", "aliti": "al", "iviti": "ive", "biliti": "ble",
+    "logi": "log",
 }
 STEP_3 = {"icate": "ic", "ative": "", "alize": "al", "iciti": "ic", "ical": "ic", "ful": "", "ness": ""}
 STEP_4 = [
