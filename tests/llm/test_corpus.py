@@ -119,6 +119,25 @@ def test_near_duplicates(docs, rows, empty):
     assert minhash.drop_near_duplicates(docs).columns == docs.columns
 
 
+def test_near_duplicates_behind_central_texts(spark):
+    """A linked pair whose buckets all hold more central texts that are linked with nothing."""
+    rng = random.Random(0)
+    template = [f"t{i}" for i in range(200)]
+    texts = []
+    for i in range(400):
+        gone = set(rng.sample(range(200), 16))
+        texts.append((i, " ".join(f"c{i}x{k}" if k in gone else w for k, w in enumerate(template))))
+    gone = set(rng.sample(range(200), 40))
+    for i in (1000, 1001):
+        texts.append((i, " ".join([w for k, w in enumerate(template) if k not in gone] + [f"p{i}x{k}" for k in range(8)])))
+    sets = {i: set(t.split()) for i, t in texts}
+    linked = [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    assert linked == [(1000, 1001)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    got = minhash.near_duplicates(docs, minhash.NearRules(words=1, bands=64, rows=1)).where("NOT kept").collect()
+    assert [(r.doc_id, r.component_id) for r in got] == [(1001, 1000)]
+
+
 def test_signature_agrees_with_similarity():
     rng = np.random.default_rng(1)
     base = rng.integers(0, 2**63, 400).astype(np.uint64)

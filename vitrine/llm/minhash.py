@@ -6,9 +6,10 @@
 3. Members of a bucket are compared with pivots of the bucket, not with each other: star-shaped candidate
    edges, first from the most central member. Every edge is confirmed on the full sets of both texts.
 4. Buckets whose members belong to several components get another star, from a member outside the largest
-   one, until a round finds no new link. A pair at the limit shares eleven of the 64 buckets on average, so it
-   has many stars to be found by. Pairs that the triangle inequality with the first pivot rules out, or an
-   estimate from one bit of each bin, are not compared.
+   one, while the rounds find many links. Pairs that the triangle inequality with the first pivot rules out, or
+   an estimate from one bit of each bin, are not compared.
+5. What is still open then is closed at once: among the members left, a join over the rarest shingles of each
+   set finds every pair of different components that can reach the limit (prefix and position filter).
 """
 
 from __future__ import annotations
@@ -53,6 +54,9 @@ class NearRules:
 
 RULES = NearRules()
 
+# A star round that links fewer than one in so many of the members left is the last; only time depends on it.
+_FEW = 50
+
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -300,6 +304,49 @@ def components(edges: DataFrame, start: DataFrame | None = None) -> DataFrame:
         )
 
 
+def _closing(members: DataFrame, texts: DataFrame, rules: NearRules) -> DataFrame:
+    """Candidate edges (a, b) that hold every linked pair of ``members`` (class_id, comp) of different components.
+
+    Shingles are ordered by their frequency among the members, rarest first. Of a linked pair the first common
+    shingle lies in the prefix that remains without the overlap each set needs, and from its places on both sets
+    still hold that overlap. Both bounds are exact, so nothing that could be a link is left out.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [_shingles(words, rules.words).view(np.int64) for words in text_words(batch.column("text"))]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("class_id"), batch.column("comp"), pa.array(found, pa.list_(pa.int64()))],
+                names=["class_id", "comp", "shingles"],
+            )
+
+    # a class whose id is repeated has several texts, so each set has a number of its own
+    sets = texts.join(members, "class_id").select("class_id", "comp", "text").mapInArrow(
+        run, "class_id long, comp long, shingles array<long>"
+    )
+    sets = landed(sets.where(F.size("shingles") > 0).withColumn("row", F.monotonically_increasing_id()), "sets")
+    each = sets.select("row", F.explode("shingles").alias("s"))
+    often = each.groupBy("s").agg(F.count(F.lit(1)).alias("often"))
+    n = F.size("ordered").cast("bigint")
+    prefix = n - F.ceil(n * rules.percent / 100 - 1e-9) + 1
+    ordered = each.join(often, "s").groupBy("row").agg(F.sort_array(F.collect_list(F.struct("often", "s"))).alias("ordered"))
+    index = ordered.select(
+        "row", n.alias("n"), F.posexplode(F.slice("ordered", F.lit(1), prefix.cast("int"))).alias("at", "x")
+    ).where("x.often > 1")
+    index = landed(
+        index.join(sets.drop("shingles"), "row").select("class_id", "comp", F.col("x.s").alias("s"), "n", (F.col("n") - F.col("at")).alias("rest")),
+        "prefixes",
+    )
+    other = index.select("s", *[F.col(c).alias(f"{c}_b") for c in ("class_id", "comp", "n", "rest")])
+    reach = (100 + rules.percent) * F.least("rest", "rest_b") >= rules.percent * (F.col("n") + F.col("n_b"))
+    return (
+        index.join(other, "s")
+        .where((F.col("class_id") < F.col("class_id_b")) & (F.col("comp") != F.col("comp_b")) & reach)
+        .select(F.col("class_id").alias("a"), F.col("class_id_b").alias("b"))
+        .distinct()
+    )
+
+
 def _stars(members: DataFrame, first: bool, rules: NearRules) -> tuple[DataFrame, DataFrame]:
     """One pivot for each bucket and the candidate edges from it to the other members.
 
@@ -370,9 +417,8 @@ def near_classes(docs: DataFrame, rules: NearRules = RULES) -> DataFrame:
         compared = landed(_compared(edges, texts, rules), "compared")
         known = compared if known is None else known.unionByName(compared)
         links = compared.where("linked").select("a", "b")
-        if links.isEmpty() and not first:
-            break
-        if not links.isEmpty():
+        n_links = links.count()
+        if n_links:
             labels = components(links, labels)
             new = labels.select(F.col("node").alias("class_id"), F.col("comp").alias("new"))
             members = members.join(new, "class_id", "left").withColumn("comp", F.coalesce("new", "comp")).drop("new")
@@ -402,6 +448,13 @@ def near_classes(docs: DataFrame, rules: NearRules = RULES) -> DataFrame:
         members = landed(members.join(open_, "band", "left_semi"), "members")
         if members.isEmpty():
             break
+        left = members.where(~F.col("retired")).select("class_id", "comp").distinct()
+        if not first and _FEW * n_links < left.count():
+            edges = _closing(left, texts, rules).join(known.select("a", "b"), ["a", "b"], "left_anti")
+            links = landed(_compared(edges, texts, rules), "compared").where("linked").select("a", "b")
+            if not links.isEmpty():
+                labels = components(links, labels)
+            break
         first = False
     found = classes.select("set_hash", "class_id")
     if labels is not None:
