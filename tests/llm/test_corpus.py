@@ -138,6 +138,14 @@ def test_near_duplicates_behind_central_texts(spark):
     assert [(r.doc_id, r.component_id) for r in got] == [(1001, 1000)]
 
 
+def test_near_duplicates_of_short_texts(spark):
+    """Pairs of 8 and 7 words: four of five shingles shared, exactly the limit."""
+    texts = [(2 * i + k, " ".join(f"s{i}x{j}" for j in range(8 - k))) for i in range(80) for k in (0, 1)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    got = minhash.near_duplicates(docs, minhash.NearRules(words=4)).where("NOT kept").collect()
+    assert sorted((r.component_id, r.doc_id) for r in got) == [(2 * i, 2 * i + 1) for i in range(80)]
+
+
 def test_signature_agrees_with_similarity():
     rng = np.random.default_rng(1)
     base = rng.integers(0, 2**63, 400).astype(np.uint64)

@@ -6,19 +6,17 @@
 3. Members of a bucket are compared with pivots of the bucket, not with each other: star-shaped candidate
    edges, first from the most central member. Every edge is confirmed on the full sets of both texts.
 4. Buckets whose members belong to several components get another star, from a member outside the largest
-   one, while the rounds find many links. Pairs that the triangle inequality with the first pivot rules out, or
-   an estimate from one bit of each bin, are not compared.
+   one, while the rounds find many links. Only pairs that their sizes or the triangle inequality with the first
+   pivot rule out are not compared.
 5. What is still open then is closed at once: among the members left, a join over the rarest shingles of each
    set finds every pair of different components that can reach the limit (prefix and position filter).
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache, reduce
-from operator import add
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -45,12 +43,6 @@ class NearRules:
     def bins(self) -> int:
         return self.bands * self.rows
 
-    @property
-    def max_differing_bits(self) -> int:
-        """Bits of a pair at the limit differ in half of the bins that differ: four standard deviations above that."""
-        p = (1 - self.percent / 100) / 2
-        return math.ceil(self.bins * p + 4 * math.sqrt(self.bins * p * (1 - p)))
-
 
 RULES = NearRules()
 
@@ -190,17 +182,13 @@ def band_hashes(sig: np.ndarray, rules: NearRules) -> np.ndarray:
 
 
 def profiles(docs: DataFrame, rules: NearRules = RULES) -> DataFrame:
-    """(doc_id, n_shingles, set_hash, bands, bits) per row of ``docs`` (doc_id, text); empty sets have no bands.
-
-    ``bits`` has one bit of each bin, for the estimate of a pair's similarity.
-    """
+    """(doc_id, n_shingles, set_hash, bands) per row of ``docs`` (doc_id, text); empty sets have no bands."""
     schema = pa.schema(
         [
             ("doc_id", pa.int64()),
             ("n_shingles", pa.int64()),
             ("set_hash", pa.binary()),
             ("bands", pa.list_(pa.int64())),
-            ("bits", pa.list_(pa.int64())),
         ]
     )
 
@@ -208,27 +196,24 @@ def profiles(docs: DataFrame, rules: NearRules = RULES) -> DataFrame:
         import hashlib
 
         for batch in batches:
-            size, digest, bands, bits = [], [], [], []
+            size, digest, bands = [], [], []
             for words in text_words(batch.column("text")):
                 found = _shingles(words, rules.words)
                 size.append(len(found))
                 if len(found):
                     digest.append(hashlib.blake2b(found.tobytes(), digest_size=16).digest())
-                    sig = signature(found, rules.bins)
-                    bands.append(band_hashes(sig, rules))
-                    bits.append(np.packbits((_mix(sig) & np.uint64(1)).astype(np.uint8)).view(np.int64))
+                    bands.append(band_hashes(signature(found, rules.bins), rules))
                 else:
                     digest.append(None)
                     bands.append(None)
-                    bits.append(None)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(size, pa.int64()), pa.array(digest, pa.binary()),
-                 pa.array(bands, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64()))],
+                 pa.array(bands, pa.list_(pa.int64()))],
                 schema=schema,
             )
 
     return docs.select("doc_id", text_of("text").alias("text")).mapInArrow(
-        run, "doc_id long, n_shingles long, set_hash binary, bands array<long>, bits array<long>"
+        run, "doc_id long, n_shingles long, set_hash binary, bands array<long>"
     )
 
 
@@ -354,8 +339,7 @@ def _stars(members: DataFrame, first: bool, rules: NearRules) -> tuple[DataFrame
     usually the text that the others were copied from. Later ones come from members outside the bucket's largest
     component. Left out are edges inside a component, those whose sizes rule out the
     similarity, and those whose distances ``d`` to the first pivot differ by more than a link may have:
-    the Jaccard distance is a metric, so such a pair is farther apart than that. The last test compares one bit
-    of each bin; a pair at the limit fails it with a probability of 3e-5.
+    the Jaccard distance is a metric, so such a pair is farther apart than that.
     """
     able = members.where(~F.col("retired"))
     if not first:
@@ -363,18 +347,17 @@ def _stars(members: DataFrame, first: bool, rules: NearRules) -> tuple[DataFrame
         largest = sizes.groupBy("band").agg(F.max(F.struct("size", "comp")).alias("m"))
         able = able.join(largest.select("band", F.col("m.comp").alias("largest")), "band").where("comp != largest")
     pivots = able.groupBy("band").agg(
-        F.max(F.struct("weight", "class_id", "n", "comp", "d", "bits")).alias("p")
+        F.max(F.struct("weight", "class_id", "n", "comp", "d")).alias("p")
     )
     pivots = landed(
-        pivots.select("band", *[F.col(f"p.{c}").alias(f"pivot_{c}") for c in ("class_id", "n", "comp", "d", "bits")]), "pivots"
+        pivots.select("band", *[F.col(f"p.{c}").alias(f"pivot_{c}") for c in ("class_id", "n", "comp", "d")]), "pivots"
     )
     low, high = F.least("n", "pivot_n"), F.greatest("n", "pivot_n")
     near = F.abs(F.col("d") - F.col("pivot_d")) <= (100 - rules.percent) / 100 + 1e-9
-    differ = reduce(add, [F.bit_count(F.get("bits", i).bitwiseXOR(F.get("pivot_bits", i))) for i in range(rules.bins // 64)])
     edges = (
         members.join(pivots, "band")
         .where("class_id != pivot_class_id AND comp != pivot_comp")
-        .where((100 * low >= rules.percent * high) & F.coalesce(near, F.lit(True)) & (differ <= rules.max_differing_bits))
+        .where((100 * low >= rules.percent * high) & F.coalesce(near, F.lit(True)))
         .select(F.least("class_id", "pivot_class_id").alias("a"), F.greatest("class_id", "pivot_class_id").alias("b"))
         .distinct()
     )
@@ -387,13 +370,12 @@ def near_classes(docs: DataFrame, rules: NearRules = RULES) -> DataFrame:
     sets = rows.where("set_hash IS NOT NULL AND doc_id IS NOT NULL")
     classes = sets.groupBy("set_hash").agg(
         F.min("doc_id").alias("class_id"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"),
-        F.first("bits").alias("bits"),
     )
     banded = classes.select("class_id", "n", F.explode("bands").alias("band"))
     shared = banded.groupBy("band").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     members = landed(banded.join(shared, "band"), "shared")
     weight = members.groupBy("class_id").agg(F.sum("size").alias("weight"))
-    members = members.drop("size").join(weight, "class_id").join(classes.select("class_id", "bits"), "class_id")
+    members = members.drop("size").join(weight, "class_id")
     members = landed(
         members.withColumns(
             {"comp": F.col("class_id"), "d": F.lit(None).cast("double"), "retired": F.lit(False)}
