@@ -55,8 +55,11 @@ _RULES = re.compile(
     re.I | re.A,
 )
 _SPELLED = re.compile(rf"{_DIGIT}|plus", re.I | re.A)
+# matches wherever one of _RULES does, as every form of them holds one of these
 _CHEAP = re.compile(
-    rf"[\[({{<]\s*(?:at|@|dot|\.)\s*[\])}}>]|\sdot\s|\b(?:{_DIGIT})[\s.-]+(?:{_DIGIT})[\s.-]+(?:{_DIGIT})\b", re.I | re.A
+    rf"[\[({{<]\s*(?:at|@|dot|\.)\s*[\])}}>]|\sdot\s|\sat\s+[a-z0-9-]+\.[a-z]{{2}}"
+    rf"|\b(?:{_DIGIT})[\s.-]+(?:{_DIGIT})[\s.-]+(?:{_DIGIT})\b",
+    re.I | re.A,
 )
 
 
