@@ -234,6 +234,21 @@ def test_secrets():
     assert find("token=short") == []
 
 
+def test_secrets_of_letters_only(spark):
+    """Random letters are secrets in any case; words of the corpus are not, however long."""
+    values = ["qmzkxvbtrwplshdg", "Xkqzvbnmwrtypsdfghjk"]
+    contexts = ["pwd: {}", "client_key={}", "the passphrase is {}."]
+    texts = [c.format(v) for c in contexts for v in values]
+    words = [f"the administration wrote about responsibilities {i}" for i in range(4)]
+    plain = ["the secret is Responsibilities", "credentials: administration"]
+    docs = spark.createDataFrame(list(enumerate(texts * 3 + words + plain)), "doc_id long, text string")
+    rows = secrets.secrets(docs).orderBy("doc_id").collect()
+    found = [[r.text[s.start : s.end] for s in r.spans] for r in rows]
+    assert found == [[v] for c in contexts for v in values] * 3 + [[]] * 6
+    assert secrets.frequent_words(docs)[0] == "the"
+    assert not {v.lower() for v in values} & set(secrets.frequent_words(docs))
+
+
 def test_spans_keep_rows_and_columns(docs, empty):
     for f in (pii.personal_data, secrets.secrets):
         assert f(docs).count() == docs.count()

@@ -3,6 +3,7 @@
 A value after a credential word is judged by the number of guesses an informed attacker needs: dynamic
 programming finds the cheapest segmentation into dictionary words, dates, repeats, keyboard walks and
 brute-force characters. Values above the limit are secrets; "changeme2020" or "aaaaaaaaaaaa" are not.
+The dictionary is the list of common password words and, after it, the frequent words of the corpus itself.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ import re
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from vitrine.llm.common import text_of
 from vitrine.llm.spans import Span, span_column
@@ -46,6 +48,7 @@ _DATE = re.compile(r"(?:19|20)\d\d(?:[-/.]?(?:0[1-9]|1[0-2])(?:[-/.]?(?:0[1-9]|[
                    r"|(?:0[1-9]|[12]\d|3[01])[-/.]?(?:0[1-9]|1[0-2])[-/.]?(?:19|20)\d\d", re.A)
 _LEET = str.maketrans("430157$@", "aeoistsa")
 _LONGEST = 24
+LEARNED = 20_000  # words learned from a corpus; beyond, a word saves few bits against brute force
 
 
 def guess_bits(value: str, words: Sequence[str] = COMMON) -> float:
@@ -114,8 +117,6 @@ def secret_finder(min_bits: float = 45.0, words: Sequence[str] = COMMON):
             start, end = m.start(2), m.start(2) + len(value)
             if len(value) < 8 or any(a < end and start < b for _, a, b in base):
                 continue
-            if value.isalpha() and (value.islower() or value[1:].islower()):
-                continue  # an ordinary word after the credential word
             if _guess_bits(value, rank) >= min_bits:
                 spans.append(("guess", start, end, False))
         return sorted(spans, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
@@ -123,6 +124,30 @@ def secret_finder(min_bits: float = 45.0, words: Sequence[str] = COMMON):
     return find
 
 
-def secrets(docs: DataFrame, min_bits: float = 45.0, text_col: str = "text", out: str = "spans") -> DataFrame:
-    """``docs`` with a column of spans; null and empty texts have none, all other columns and rows stay."""
-    return docs.withColumn(out, span_column(secret_finder(min_bits), text_of(text_col)))
+def frequent_words(docs: DataFrame, text_col: str = "text", count: int = LEARNED, min_docs: int = 3) -> list[str]:
+    """The words of three letters or more in most documents, most frequent first, then by the alphabet.
+
+    At most ``count`` words, each in ``min_docs`` documents at least, so the driver holds a bounded list. Values
+    after a credential word are taken out before: a secret that is repeated does not become a word.
+    """
+    bare = F.regexp_replace(text_of(text_col), f"(?i){_CONTEXT.pattern}", " ")
+    words = F.array_distinct(F.regexp_extract_all(F.lower(bare), F.lit(r"\p{L}{3,}"), 0))
+    seen = docs.select(F.explode(words).alias("word")).where(F.length("word") <= _LONGEST)
+    often = seen.groupBy("word").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_docs)
+    return [r.word for r in often.orderBy(F.desc("n"), "word").limit(count).collect()]
+
+
+def secrets(
+    docs: DataFrame,
+    min_bits: float = 45.0,
+    text_col: str = "text",
+    out: str = "spans",
+    words: Sequence[str] | None = None,
+) -> DataFrame:
+    """``docs`` with a column of spans; null and empty texts have none, all other columns and rows stay.
+
+    ``words`` is the dictionary, most common first; without it, COMMON and the frequent words of ``docs``.
+    """
+    if words is None:
+        words = list(dict.fromkeys([*COMMON, *frequent_words(docs, text_col)]))
+    return docs.withColumn(out, span_column(secret_finder(min_bits, words), text_of(text_col)))
