@@ -191,6 +191,19 @@ def test_quality_removes_common_lines(spark):
     assert not any(i in kept for i in (100, 101, 102))
 
 
+def test_quality_counts_documents_that_share_a_passage(spark):
+    """500 texts of 50 shared and 10 own words: each counts, copies of one do not, nor for their host."""
+    passage = " ".join(f"shared{k}" for k in range(50))
+    rows = [(i, passage + "\n" + " ".join(f"own{i}x{k}" for k in range(10)), "h") for i in range(500)]
+    rows += [(1000 + i, "Only  copies here\nof one text", "copies") for i in range(150)]
+    rows += [(2000 + i, f"line of some\nown{i}", "share") for i in range(100)]
+    rows += [(3000 + i, "one text again and again", "share") for i in range(12_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = quality.quality_report(docs, quality.QualityRules(min_words=1)).collect()
+    left = {(r.doc_id // 1000 if r.doc_id < 3000 else 3, r.words_left, r.kept) for r in got}
+    assert left == {(0, 10, False), (1, 6, True), (2, 1, True), (3, 5, True)}
+
+
 def test_personal_data():
     text = "a.b@c.de 1.2.3.4 999.1.1.1, 4539 1488 0343 6467 +1 (650) 555-0100 x@y"
     assert [s[:3] for s in pii.find_personal_data(text)] == [

@@ -2,9 +2,9 @@
 
 Lines are normalised and hashed; for each host (here: ``source``) the distinct documents that hold a line are
 counted. Lines above the limits are boilerplate and removed; a document of which too little is left is
-rejected. Copies of one text count as one document of the line: documents are told apart by the smallest hash
-of their three-word windows, which copies and most near copies share, so a group of copies does not turn its
-own text into boilerplate.
+rejected. Copies of one text count as one document, of the line and of the host: documents are told apart by a
+digest of their whole normalised text, so a group of copies does not turn its own text into boilerplate. Near
+copies differ in their texts and count one by one.
 """
 
 from __future__ import annotations
@@ -109,7 +109,7 @@ def _duplicate_lines(text: Column) -> Column:
 
 
 def profile(docs: DataFrame, keep: list[str], text_col: str = "text", host_col: str = "source") -> DataFrame:
-    """``keep`` columns, the base counts, the lines' hashes and the text's fingerprint, in one pass over the texts."""
+    """``keep`` columns, the base counts, the lines' hashes and the text's digest, in one pass over the texts."""
     text = text_of(text_col)
     # the array is bound by _let, so that no expression is worked out per element
     measured = _let(
@@ -121,9 +121,7 @@ def profile(docs: DataFrame, keep: list[str], text_col: str = "text", host_col:
             ),
             _let(
                 _windows(w),
-                lambda h: F.struct(
-                    _repeat_words(h).alias("n_repeat_words"), F.array_min(h).alias("print")
-                ),
+                lambda h: F.struct(_repeat_words(h).alias("n_repeat_words")),
             ).alias("windows"),
         ),
     )
@@ -135,6 +133,7 @@ def profile(docs: DataFrame, keep: list[str], text_col: str = "text", host_col:
             (F.length(text) - F.length(F.translate(text, "#*$%&|<>", ""))).cast("bigint").alias("n_symbols"),
             _duplicate_lines(text).alias("n_dup_lines"),
             _lines(text).alias("lines"),
+            F.unhex(F.md5(_line_key(text))).alias("print"),
         ).alias("_q"),
     )
 
@@ -142,13 +141,15 @@ def profile(docs: DataFrame, keep: list[str], text_col: str = "text", host_col:
 def boilerplate(profiled: DataFrame, rules: QualityRules = RULES) -> DataFrame:
     """(host, hashes): the lines of each host that reach both limits.
 
-    A host has at most ``lines per document / line_share`` such lines, so the array is bounded.
+    Both limits count distinct texts. On a host of more than ``line_docs / line_share`` of them the share decides,
+    below the count. A host has at most ``lines per document / line_share`` such lines, so the array is bounded.
     """
     lines = profiled.select(
-        "_host", F.col("_q.m.windows.print").alias("print"), F.explode(F.array_distinct("_q.lines.h")).alias("h")
+        "_host", F.col("_q.print").alias("print"), F.explode(F.array_distinct("_q.lines.h")).alias("h")
     )
     counts = lines.distinct().groupBy("_host", "h").agg(F.count(F.lit(1)).alias("docs"))
-    hosts = profiled.groupBy("_host").agg(F.count(F.lit(1)).alias("host_docs"))
+    texts = profiled.select("_host", F.col("_q.print").alias("print")).distinct()
+    hosts = texts.groupBy("_host").agg(F.count(F.lit(1)).alias("host_docs"))
     common = counts.where(F.col("docs") >= rules.line_docs)
     kept = common.join(hosts, common["_host"].eqNullSafe(hosts["_host"])).where(
         F.col("docs") >= F.lit(rules.line_share) * F.col("host_docs")
