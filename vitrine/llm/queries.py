@@ -10,14 +10,17 @@ from pyspark.sql import functions as F
 from vitrine.llm import (
     exact_dedup,
     extraction,
+    hard_negatives,
     minhash,
     packing,
     pii,
     quality,
     secrets,
     sentencepieces,
+    token_counts,
     toxicity,
     warc,
+    whitening,
 )
 from vitrine.llm.common import table
 from vitrine.llm.spans import count_base, joined
@@ -107,3 +110,45 @@ def op4_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op5_sentencepiece_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepieces.encoding_report(table(spark, sf_dir, "documents"))
+
+
+@query(r"""
+WITH usable AS (
+  SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, c -> floor(256 * CAST(c AS DOUBLE))) AS x
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, c -> c IS NOT NULL AND isfinite(c))) = len(embedding)
+), scored AS (
+  SELECT a.id AS anchor_id, r.id, r.label = a.label AS same, CAST(list_dot_product(a.x, r.x) AS BIGINT) AS score
+  FROM usable a JOIN usable r ON a.id % 100 = 0 AND a.id <> r.id
+), positives AS (
+  SELECT anchor_id, id AS positive_id, score AS positive_score FROM scored WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5
+), inside AS (
+  SELECT p.anchor_id, positive_id, id AS negative_id, positive_score, score AS negative_score,
+         row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, id) AS rank
+  FROM positives p JOIN scored s ON s.anchor_id = p.anchor_id AND NOT same
+    AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+)
+SELECT anchor_id, positive_id, CAST(rank AS INT) AS rank, negative_id, positive_score, negative_score
+FROM inside WHERE rank <= 10
+""")
+def op11_secondary_sort_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    seven = F.col("vec_id") % 7 == 0
+    label = F.when(seven, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = table(spark, sf_dir, "embeddings")
+    return hard_negatives.hard_negatives(rows, F.col("vec_id") % 100 == 0, label=label)
+
+
+@query()
+def op12_bidiagonal_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+@query()
+def op13_transducer_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    model = public_tokenizers.path(token_counts.MODEL)
+    return token_counts.token_counts(table(spark, sf_dir, "documents"), model)
