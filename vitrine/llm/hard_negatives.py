@@ -254,13 +254,13 @@ def hard_negatives(
 
     def placed(df: DataFrame) -> DataFrame:
         """Anchors with the block they are in, once for each block of rows."""
-        block = F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("a")
+        block = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("a")
         return df.select("*", block, F.explode(F.sequence(F.lit(0), F.lit(cells - 1))).alias("r"))
 
     # by place in the landed table, so that no id or vector, however frequent, fills one block
     block_of_row = F.pmod(F.monotonically_increasing_id(), F.lit(cells)).cast("int").alias("r")
     each = kept.select("id", "label", "vector", block_of_row)
-    each = each.select("*", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("bigint").alias("a"))
+    each = each.select("*", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("a"))
     found = landed(_first_positives(_cells(placed(anchors), each, rules, width, False), rules.positives), "positives")
     # at most rules.positives structs an anchor
     windows = found.groupBy("anchor_id").agg(F.collect_list(F.struct("score", "id")).alias("positives"))

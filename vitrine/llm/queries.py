@@ -115,10 +115,10 @@ def op5_sentencepiece_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(r"""
 WITH usable AS (
   SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
-         list_transform(embedding, c -> floor(256 * CAST(c AS DOUBLE))) AS x
+         list_transform(embedding, lambda c: floor(256 * CAST(c AS DOUBLE))) AS x
   FROM embeddings
   WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
-    AND len(list_filter(embedding, c -> c IS NOT NULL AND isfinite(c))) = len(embedding)
+    AND len(list_filter(embedding, lambda c: c IS NOT NULL AND isfinite(c))) = len(embedding)
 ), scored AS (
   SELECT a.id AS anchor_id, r.id, r.label = a.label AS same, CAST(list_dot_product(a.x, r.x) AS BIGINT) AS score
   FROM usable a JOIN usable r ON a.id % 100 = 0 AND a.id <> r.id
