@@ -31,6 +31,7 @@ SPACE = "▁"
 CHUNK = 65_536
 FAN_IN = 64
 LIMIT = 4096
+_NONE = float("-inf")
 
 
 def _fields(raw: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -97,25 +98,40 @@ class PieceModel:
             raise ValueError(f"{path}: not supported without: {', '.join(missing)}")
         self.dummy_prefix = normal.get(3, 1) == 1
 
-    def merged(self, text: str) -> list[str]:
-        """The encoding of a short text by merging the best neighbours, the first of equals, until none is left."""
-        out = list(text)
-        while True:
-            best = None
-            for i in range(len(out) - 1):
-                score = self.score.get(out[i] + out[i + 1])
-                if score is not None and (best is None or score > best[0]):
-                    best = (score, i)
-            if best is None:
-                return out
-            i = best[1]
+    def merges_to(self, left: str, right: str) -> bool:
+        """Whether the encoding of left + right is these two pieces; with an empty left, whether it is the right one.
+
+        The best neighbours merge first, of equals those on the left. A merge over the seam ends the matter.
+        """
+        out, get = list(left + right), self.score.get
+        scores = [get(a + b, _NONE) for a, b in zip(out, out[1:], strict=False)]
+        seam = len(left)
+        while scores:
+            best = max(scores)
+            if best == _NONE:
+                break
+            i = scores.index(best)
+            if seam and i == seam - 1:
+                return False
+            if i < seam:
+                seam -= 1
             out[i : i + 2] = [out[i] + out[i + 1]]
+            del scores[i]
+            if i:
+                scores[i - 1] = get(out[i - 1] + out[i], _NONE)
+            if i < len(scores):
+                scores[i] = get(out[i] + out[i + 1], _NONE)
+        return len(out) == (2 if left else 1)
 
 
 class Transducer:
-    """Counts tokens of texts whose spaces are ``▁``; ``keep`` bounds the states and words that are remembered."""
+    """Counts tokens of texts whose spaces are ``▁``.
 
-    def __init__(self, model: PieceModel, keep: int = 400_000):
+    ``keep`` bounds the states that are remembered (about 1 kB each), and with factors of its own the pairs of pieces
+    and the words. What is forgotten is built again when met; counts do not depend on it.
+    """
+
+    def __init__(self, model: PieceModel, keep: int = 80_000):
         self.model, self.keep = model, keep
         self.alphabet = set().union(*model.score) if model.score else set()
         # all states meet at a space behind another character if no piece reaches over such a place
@@ -145,6 +161,7 @@ class Transducer:
                 node = child
             self.piece[node] = p
         self.apart: dict[tuple[str | None, str], bool] = {}
+        self.words: dict[str, int] = {}
         self._forget()
 
     def _forget(self) -> None:
@@ -152,17 +169,15 @@ class Transducer:
         self.states = {start: 0}
         self.opened = [start]
         self.next: list[dict[str, tuple[int, int]]] = [{}]
-        self.words: dict[str, int] = {}
 
     def _follows(self, last: str | None, piece: str) -> bool:
         """Whether ``piece`` can stand behind ``last`` in an encoding."""
         key = (last, piece)
         found = self.apart.get(key)
         if found is None:
-            if len(self.apart) >= 4 * self.keep:
+            if len(self.apart) >= 3 * self.keep:
                 self.apart.clear()
-            whole = [piece] if last is None else [last, piece]
-            found = self.apart[key] = self.model.merged("".join(whole)) == whole
+            found = self.apart[key] = self.model.merges_to(last or "", piece)
         return found
 
     def _state(self, opened: tuple) -> int:
@@ -216,8 +231,7 @@ class Transducer:
             if n is None:
                 n = self.read(unit)
                 if len(unit) <= 64:
-                    words = self.words  # reading may have started anew
-                    if len(words) >= self.keep:
+                    if len(words) >= 6 * self.keep:
                         words.clear()
                     words[unit] = n
             total += n
