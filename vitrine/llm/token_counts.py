@@ -127,11 +127,11 @@ class PieceModel:
 class Transducer:
     """Counts tokens of texts whose spaces are ``▁``.
 
-    ``keep`` bounds the states that are remembered (about 1 kB each), and with factors of its own the pairs of pieces
+    ``keep`` bounds the states that are remembered (about half a kB each), and with factors of its own the pairs of pieces
     and the words. What is forgotten is built again when met; counts do not depend on it.
     """
 
-    def __init__(self, model: PieceModel, keep: int = 80_000):
+    def __init__(self, model: PieceModel, keep: int = 180_000):
         self.model, self.keep = model, keep
         self.alphabet = set().union(*model.score) if model.score else set()
         # all states meet at a space behind another character if no piece reaches over such a place
@@ -165,7 +165,7 @@ class Transducer:
         self._forget()
 
     def _forget(self) -> None:
-        start = ((0, None, 0),)
+        start = (0, None, 0)  # node, piece, tokens; one such triple for each open place
         self.states = {start: 0}
         self.opened = [start]
         self.next: list[dict[str, tuple[int, int]]] = [{}]
@@ -175,7 +175,7 @@ class Transducer:
         key = (last, piece)
         found = self.apart.get(key)
         if found is None:
-            if len(self.apart) >= 3 * self.keep:
+            if len(self.apart) >= 2 * self.keep:
                 self.apart.clear()
             found = self.apart[key] = self.model.merges_to(last or "", piece)
         return found
@@ -193,10 +193,11 @@ class Transducer:
         if char not in self.alphabet:
             return 0, len(char.encode("utf-8", "replace"))
         opened = self.opened[state]
-        if self.meets and char == SPACE and opened[-1][1] is not None and not opened[-1][1].endswith(SPACE):
+        if self.meets and char == SPACE and opened[-2] is not None and not opened[-2].endswith(SPACE):
             opened = self.opened[0]
         token, count, left = None, 0, []
-        for node, last, n in opened:
+        for at in range(0, len(opened), 3):
+            node, last, n = opened[at : at + 3]
             child = self.tree[node].get(char)
             if child is None:
                 continue
@@ -207,8 +208,8 @@ class Transducer:
                 left.append((child, last, n))
         if token is None:  # a character that only longer pieces hold: its bytes
             token, count = char, len(char.encode("utf-8", "replace"))
-        after = (*((node, last, n - count) for node, last, n in left), (0, token, 0))
-        return self._state(after), count
+        after = [x for node, last, n in left for x in (node, last, n - count)]
+        return self._state((*after, 0, token, 0)), count
 
     def read(self, text: str) -> int:
         """Tokens of a text read from the start state, character by character."""
@@ -231,7 +232,7 @@ class Transducer:
             if n is None:
                 n = self.read(unit)
                 if len(unit) <= 64:
-                    if len(words) >= 6 * self.keep:
+                    if len(words) >= 3 * self.keep:
                         words.clear()
                     words[unit] = n
             total += n
