@@ -58,7 +58,7 @@ def doc_stats(spark, sf):
 
 @query("q_postings", with_docs(INDEX_SQL + "SELECT rid, term, f, CAST(len AS INT) AS len FROM posts JOIN lens USING (rid)"))
 def posting_list(spark, sf):
-    return T.postings(T.index_tokens(items_doc(spark, sf))).select("rid", "term", "f", "len")
+    return T.postings(T.row_terms(items_doc(spark, sf))).select("rid", "term", "f", "len")
 
 
 @query("q_vocabulary", with_docs(INDEX_SQL + "SELECT term, df FROM vocab"))
@@ -81,7 +81,7 @@ AND_WORDS = ["the", "and", "for", "the"]
 
 @query("q_bm25_and", with_docs(bm25_sql(AND_WORDS) + "SELECT rid, round(bm25, 6) AS bm25, round(bm25 + 0.4 * boost, 6) AS score FROM hits JOIN items USING (rid) WHERE n_terms = 3"))
 def bm25_and(spark, sf):
-    hits = T.bm25_matches(doc_index(spark, sf), AND_WORDS).filter("n_terms = 3").join(items_doc(spark, sf).select("rid", "boost"), "rid")
+    hits = T.bm25_matches(doc_index(spark, sf), AND_WORDS).filter("n_terms = 3")
     return hits.select("rid", F.round("bm25", 6).alias("bm25"), T.boosted_score(F.col("bm25"), F.col("boost")).alias("score"))
 
 

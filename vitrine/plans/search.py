@@ -16,10 +16,14 @@ from vitrine.operators.merge import (
 )
 from vitrine.operators.ranking import top_n
 from vitrine.plans.text_index import TextIndex, bm25_matches, boosted_score, build_index, read_index, write_index
-from vitrine.session import scratch_path
+from vitrine.session import scratch_path, shuffle_width
 
 # Pages up to this many narrow rows are broadcast or read by literal row numbers; longer ones are joined.
 BROADCAST_ROWS = 2000
+# Rows of one source that may meet in a task before the last ranking; beyond that they are ranked in parts first.
+RANKED_ROWS = 2_000_000
+# Filters by a part of a text: no posting carries these columns, the catalog is asked for the matching rows.
+TEXT_FACETS = ("object_type", "medium", "creator", "place")
 SORTS = ("relevance", "oldest", "newest", "random")
 
 
@@ -67,16 +71,9 @@ class SearchResult:
         return self.per_source.agg(F.coalesce(F.sum("hits"), F.lit(0)).alias("total"))
 
 
-def facet_filter(params: SearchParams, sort: str, pd_default: Column) -> Column:
-    cond = (
-        P.source_in(params.sources)
-        & P.content_is(params.content)
-        & P.year_within(params.year_from, params.year_to)
-        & P.contains_ci("object_type", params.object_type)
-        & P.contains_ci("medium", params.medium)
-        & P.contains_ci("creator", params.creator)
-        & P.place_or_culture(params.place)
-    )
+def carried_filter(params: SearchParams, sort: str, pd_default: Column) -> Column:
+    """The filters on facets that the postings carry."""
+    cond = P.source_in(params.sources) & P.content_is(params.content) & P.year_within(params.year_from, params.year_to)
     if params.public_domain_only:
         cond = cond & P.public_domain_only(pd_default)
     if sort in ("oldest", "newest"):
@@ -84,6 +81,18 @@ def facet_filter(params: SearchParams, sort: str, pd_default: Column) -> Column:
     return cond
 
 
+def text_filter(params: SearchParams) -> Column | None:
+    """The filters by a part of a text, or None where none is asked for."""
+    if not any((getattr(params, c) or "").strip() for c in TEXT_FACETS):
+        return None
+    return (
+        P.contains_ci("object_type", params.object_type)
+        & P.contains_ci("medium", params.medium)
+        & P.contains_ci("creator", params.creator)
+        & P.place_or_culture(params.place)
+    )
+
+
 def _inner_order(sort: str, seed: int, browse: bool) -> list[Column]:
     if sort == "oldest":
         return order_oldest()
@@ -107,8 +116,10 @@ def search(
 
     ``items`` needs ``rid`` and the item columns. ``index`` is a prebuilt text index; without
     one the query's own words are indexed first. ``pd_default`` is the source's default
-    public-domain flag as a Column, ``summary`` a prebuilt (source, count) table. ``bounds`` limits
-    the page and the candidates per source (``SITE_PAGES``); without it any page can be reached.
+    public-domain flag as a Column of ``source``, ``summary`` a prebuilt (source, count) table; the index has
+    one of its own. ``bounds`` limits the page and the candidates per source (``SITE_PAGES``); without it any
+    page can be reached. A search for words is answered from the index alone: of the catalog only the rows of the
+    page are read, and with a filter by a part of a text (``TEXT_FACETS``) the filtered columns.
     """
     bounds = bounds or {}
     limit, offset = clamp_page(params.limit, params.offset, **bounds)
@@ -116,16 +127,26 @@ def search(
     words = tokenize_query(params.q)
     sort = params.sort if params.sort in SORTS else ("relevance" if words else "random")
     seed = clamp_seed(params.seed)
-    keep = facet_filter(params, sort, F.lit(False) if pd_default is None else pd_default)
-    narrow = items.filter(keep).select("rid", "source", "year_start", F.coalesce("boost", F.lit(0)).alias("boost"))
+    keep = carried_filter(params, sort, F.lit(False) if pd_default is None else pd_default)
+    contains = text_filter(params)
     inner = _inner_order(sort, seed, browse=not words)
     most = candidates_needed(offset, limit, bounds.get("max_candidates"))
-    sizes = (summary if summary is not None else items.groupBy("source").agg(F.count(F.lit(1)).alias("count"))).select(
-        "source", F.col("count").alias("source_count")
-    )
+    if words and index is None:
+        # only the query's words, written once because the plan reads them several times
+        wanted = sorted(set(TextIndex(None, None, stemmed).query_terms(words)))
+        path = scratch_path(items.sparkSession, "query-index")
+        write_index(build_index(items, stemmed=stemmed, terms=wanted), path)
+        index = read_index(items.sparkSession, path, stemmed)
+    if summary is None:
+        known = index.sources if index is not None else None
+        summary = known if known is not None else items.groupBy("source").agg(F.count(F.lit(1)).alias("count"))
+    sizes = summary.select("source", F.col("count").alias("source_count"))
     if words:
-        cands, per_source = _text_candidates(items, narrow, words, index, stemmed, inner, most, need)
+        cands, per_source = _text_candidates(items, keep, contains, words, index, inner, most, need)
     else:
+        narrow = items.filter(keep if contains is None else keep & contains).select(
+            "rid", "source", "year_start", F.coalesce("boost", F.lit(0)).alias("boost")
+        )
         cands = top_per_source(narrow.withColumn("score", F.col("boost").cast("double")), inner, most).withColumn(
             "tier", F.lit(0)
         )
@@ -158,33 +179,41 @@ def search(
     return SearchResult(wide, per_source, cands, hits, short)
 
 
-def _text_candidates(items, narrow, words, index, stemmed, inner, most, need):
-    if index is None:
-        # only the query's words, written once because the plan reads them several times
-        wanted = sorted(set(TextIndex(None, None, stemmed).query_terms(words)))
-        path = scratch_path(items.sparkSession, "query-index")
-        write_index(build_index(items, stemmed=stemmed, terms=wanted), path)
-        index = read_index(items.sparkSession, path, stemmed)
+def _first_per_source(df: DataFrame, keys: list[str], order: list[Column], n: int, rank: str) -> DataFrame:
+    """First ``n`` rows of each group with their rank. Every task keeps its own first rows before they are brought
+    together; where even those could be too many for a task, they are ranked in parts once more."""
+    if n * shuffle_width(df.sparkSession) > RANKED_ROWS:
+        return top_n(df, keys, order, n, salt_by=["rid"], rank=rank)
+    return df.withColumn(rank, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter(F.col(rank) <= n)
+
+
+def _text_candidates(items, keep, contains, words, index, inner, most, need):
     terms = index.query_terms(words)
     distinct = len(set(terms))
-    matched = (
-        bm25_matches(index, terms)
-        .join(narrow, "rid")
-        .withColumn("score", boosted_score(F.col("bm25"), F.col("boost")))
-        .withColumn("tier", F.when(F.col("n_terms") == distinct, F.lit(0)).otherwise(F.lit(1)))
-    )
+    carried = index.has_facets
+    matched = bm25_matches(index, terms, keep if carried else None)
+    if not carried:
+        narrow = items.filter(keep if contains is None else keep & contains).select("rid", "source", "year_start", "boost")
+        matched = matched.join(narrow, "rid")
+    elif contains is not None:
+        matched = matched.join(items.filter(keep & contains).select("rid"), "rid", "left_semi")
+    matched = matched.select(
+        "rid", "source", "year_start", F.coalesce("boost", F.lit(0)).alias("boost"),
+        boosted_score(F.col("bm25"), F.col("boost")).alias("score"),
+        F.when(F.col("n_terms") == distinct, F.lit(0)).otherwise(F.lit(1)).alias("tier"),
+    )
     if len(words) == 1:
-        cands = top_per_source(matched, inner, most)
+        cands = _first_per_source(matched, ["source"], inner, most, "or_rank").drop("or_rank")
         return cands, matched.groupBy("source").agg(shown_total(F.count(F.lit(1))).alias("hits"))
-    counts = matched.groupBy("source").agg(
-        F.count_if(F.col("tier") == 0).alias("n_all"), F.count_if(F.col("tier") == 1).alias("n_rest")
-    )
-    have = counts.agg(F.coalesce(F.sum("n_all"), F.lit(0)).alias("n")).scalar()
+    have = matched.agg(F.count_if(F.col("tier") == 0)).scalar()
     # enough for both passes: the best rows of either tier, then the second pass ranks both together
-    both = top_n(matched, ["source", "tier"], inner, most, salt_by=["rid"], rank="tier_rank")
+    both = _first_per_source(matched, ["source", "tier"], inner, most, "tier_rank")
     either = Window.partitionBy("source").orderBy(*inner)
     both = both.withColumn("or_rank", F.row_number().over(either)).withColumn("thin", have < need)
     cands = both.filter((F.col("tier") == 0) | (F.col("thin") & (F.col("or_rank") <= most)))
     # the second pass counts whole, not only as far as it is listed
+    counts = matched.groupBy("source").agg(
+        F.count_if(F.col("tier") == 0).alias("n_all"), F.count_if(F.col("tier") == 1).alias("n_rest")
+    )
     hits = F.col("n_all") + F.when(have < need, F.col("n_rest")).otherwise(F.lit(0))
     return cands, counts.select("source", shown_total(hits).alias("hits")).filter(F.col("hits") > 0)

@@ -7,11 +7,13 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from vitrine.functions.stem import stem
 from vitrine.functions.text import english_terms, fold_word, tokens
 from vitrine.schema import TEXT_COLUMNS
+from vitrine.session import landed
 
 # Column weights and BM25 constants.
 WEIGHTS = {
@@ -21,6 +23,10 @@ K1 = 1.2
 B = 0.75
 IDF_FLOOR = 1e-6
 BOOST_WEIGHT = 0.4
+POSTINGS = (
+    "rid bigint, term string, f double, len int, source string, boost int, year_start int, year_end int, content_type string, "
+    "public_domain boolean"
+)
 # sums of doubles depend on the order tasks finish; rounding makes ranks repeatable
 SCORE_DIGITS = 6
 
@@ -36,8 +42,38 @@ def index_tokens(items: DataFrame, columns: Sequence[str] = TEXT_COLUMNS) -> Dat
     return per_column.select("rid", "len", "f.column", "f.weight", F.explode("f.words").alias("term"))
 
 
-def doc_lengths(items: DataFrame, columns: Sequence[str] = TEXT_COLUMNS) -> DataFrame:
-    return items.select("rid", sum((F.size(tokens(c)) for c in columns), F.lit(0)).alias("len"))
+# What a search filters, ranks and merges by; a posting carries them, so that no catalog row is read for them.
+FACETS = ("source", "boost", "year_start", "year_end", "content_type", "public_domain")
+
+
+def row_terms(items: DataFrame, columns: Sequence[str] = TEXT_COLUMNS, terms: Sequence[str] | None = None) -> DataFrame:
+    """One row per document: rid, its facets, its length and its distinct terms with their weighted frequency.
+
+    The words of a row are counted where they are, in Arrow batches: no shuffle, and each text is split once.
+    With ``terms`` only those are kept; the length still counts all.
+    """
+    facets = [c for c in FACETS if c in items.columns]
+    split = items.select("rid", *facets, *[tokens(c).alias(f"w_{c}") for c in columns])
+    length = sum((F.size(f"w_{c}") for c in columns), F.lit(0))
+    weights = [WEIGHTS[c] for c in columns]
+    kept = None if terms is None else frozenset(terms)
+
+    @F.arrow_udf("array<struct<term:string,f:double>>")
+    def counted(*fields: pa.Array) -> pa.Array:
+        names, sums, offsets = [], [], [0]
+        for words in zip(*[f.to_pylist() for f in fields], strict=True):
+            found: dict[str, float] = {}
+            for weight, some in zip(weights, words, strict=True):
+                for word, n in Counter(some).items():
+                    if kept is None or word in kept:
+                        found[word] = found.get(word, 0.0) + weight * n
+            names.extend(found)
+            sums.extend(found.values())
+            offsets.append(len(names))
+        pairs = pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(sums, pa.float64())], ["term", "f"])
+        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pairs)
+
+    return split.select("rid", *facets, length.alias("len"), counted(*[f"w_{c}" for c in columns]).alias("terms"))
 
 
 @F.pandas_udf(T.StringType())
@@ -45,20 +81,23 @@ def _stems(words: pd.Series) -> pd.Series:
     return words.map(stem)
 
 
-def stem_words(tokens_df: DataFrame) -> DataFrame:
-    """Replace terms by their stems. Python sees each distinct word once."""
-    vocabulary = tokens_df.select("term").distinct().withColumn("stem", _stems("term"))
-    return tokens_df.join(vocabulary, "term").drop("term").withColumnRenamed("stem", "term")
+def postings(rows: DataFrame) -> DataFrame:
+    """Weighted term frequency per document from its ``row_terms``: term, f, and what the row carries."""
+    one = rows.withColumn("_t", F.explode("terms"))
+    return one.select("rid", "_t.term", "_t.f", "len", *[c for c in FACETS if c in rows.columns])
 
 
-def postings(tokens_df: DataFrame) -> DataFrame:
-    """Weighted term frequency per document; repeats inside a document merge before the shuffle."""
-    return tokens_df.groupBy("rid", "term").agg(F.sum("weight").alias("f"), F.max("len").alias("len"))
+def stem_postings(posts: DataFrame) -> DataFrame:
+    """Postings of stems. Python sees each distinct word once; words of a document with one stem add up."""
+    stems = posts.select("term").distinct().withColumn("stem", _stems("term"))
+    keys = [c for c in posts.columns if c not in ("term", "f")]
+    joined = posts.join(stems, "term").groupBy(*keys, F.col("stem").alias("term")).agg(F.sum("f").alias("f"))
+    return joined.select(*posts.columns)
 
 
-def corpus_stats(items: DataFrame, columns: Sequence[str] = TEXT_COLUMNS) -> DataFrame:
-    """One row: number of documents and average length."""
-    return doc_lengths(items, columns).agg(F.count(F.lit(1)).alias("n_docs"), F.avg("len").alias("avg_len"))
+def corpus_stats(rows: DataFrame) -> DataFrame:
+    """One row from the ``row_terms`` of a corpus: number of documents and average length."""
+    return rows.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("len").alias("avg_len"))
 
 
 def vocabulary(postings_df: DataFrame, stats: DataFrame) -> DataFrame:
@@ -70,28 +109,37 @@ def vocabulary(postings_df: DataFrame, stats: DataFrame) -> DataFrame:
 
 @dataclass
 class TextIndex:
+    """Postings that carry the facets, document frequencies, and the number of documents per source."""
+
     postings: DataFrame
     vocabulary: DataFrame
     stemmed: bool = False
     stats: DataFrame | None = None  # set on a freshly built index, needed to write it
+    sources: DataFrame | None = None  # source, count
 
     def query_terms(self, words: Sequence[str]) -> list[str]:
         folded = [fold_word(w) for w in words]
         return [stem(w) for w in folded] if self.stemmed else folded
 
+    @property
+    def has_facets(self) -> bool:
+        return set(FACETS) <= set(self.postings.columns)
+
 
 def build_index(items: DataFrame, stemmed: bool = False, terms: Sequence[str] | None = None, columns: Sequence[str] = TEXT_COLUMNS) -> TextIndex:
-    """Index of ``items``. With ``terms`` only those are kept, which is enough to answer one query."""
-    toks = index_tokens(items, columns)
-    if terms is not None and not stemmed:
-        toks = toks.filter(F.col("term").isin(list(terms)))
+    """Index of ``items``. With ``terms`` only those are kept, which is enough to answer one query.
+
+    The terms of all rows are landed once; postings, lengths, corpus sums and source counts are read from there.
+    """
+    rows = landed(row_terms(items, columns, None if stemmed else terms), "row-terms")
+    posts = postings(rows)
     if stemmed:
-        toks = stem_words(toks)
+        posts = stem_postings(posts)
         if terms is not None:
-            toks = toks.filter(F.col("term").isin(list(terms)))
-    posts = postings(toks)
-    stats = corpus_stats(items, columns)
-    return TextIndex(posts, vocabulary(posts, stats), stemmed, stats)
+            posts = posts.filter(F.col("term").isin(list(terms)))
+    stats = corpus_stats(rows)
+    sources = rows.groupBy("source").agg(F.count(F.lit(1)).alias("count")) if "source" in rows.columns else None
+    return TextIndex(posts, vocabulary(posts, stats), stemmed, stats, sources)
 
 
 def write_index(index: TextIndex, path: str) -> None:
@@ -99,17 +147,29 @@ def write_index(index: TextIndex, path: str) -> None:
 
     Range partitioning cuts a word that is in a third of all documents over many files.
     """
-    index.postings.repartitionByRange("term", "rid").sortWithinPartitions("term", "rid").write.mode("overwrite").parquet(
+    if not index.has_facets:
+        raise ValueError(f"the postings need all of {FACETS}; conform the items first")
+    posts = index.postings.selectExpr(*[f"cast({c} as {t}) as {c}" for c, t in (x.split() for x in POSTINGS.split(", "))])
+    posts.repartitionByRange("term", "rid").sortWithinPartitions("term", "rid").write.mode("overwrite").parquet(
         f"{path}/postings"
     )
     # document frequencies come from the written table, the tokens are not split again
     posts = index.postings.sparkSession.read.parquet(f"{path}/postings")
     vocab = vocabulary(posts, index.stats)
     vocab.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/vocabulary")
+    if index.sources is not None:
+        index.sources.write.mode("overwrite").parquet(f"{path}/sources")
 
 
 def read_index(spark: SparkSession, path: str, stemmed: bool = False) -> TextIndex:
-    return TextIndex(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/vocabulary"), stemmed)
+    """A written index. Its schema is known, so no file footer is read to find it."""
+    def part(name: str, schema: str) -> DataFrame:
+        return spark.read.schema(schema).parquet(f"{path}/{name}")
+
+    return TextIndex(
+        part("postings", POSTINGS), part("vocabulary", "term string, df bigint, n_docs bigint, avg_len double"), stemmed,
+        sources=part("sources", "source string, count bigint"),
+    )
 
 
 def idf(df: Column, n_docs: Column) -> Column:
@@ -117,14 +177,15 @@ def idf(df: Column, n_docs: Column) -> Column:
     return F.when(raw > 0, raw).otherwise(F.lit(IDF_FLOOR))
 
 
-def bm25_matches(index: TextIndex, terms: Sequence[str]) -> DataFrame:
-    """Documents with any of the terms: rid, bm25, n_terms (distinct terms found).
+def bm25_matches(index: TextIndex, terms: Sequence[str], keep: Column | None = None) -> DataFrame:
+    """Documents with any of the terms: rid, the facets of the index, bm25, n_terms (distinct terms found).
 
-    A term that is repeated in the query counts as often as it is repeated.
+    A term that is repeated in the query counts as often as it is repeated. ``keep`` is a filter on the facets; it is
+    applied to the postings as they are read and changes no score.
     """
     times = Counter(terms)
     wanted = list(times)
-    # at most 12 rows, one per query word
+    # at most one row per query word
     vocab = F.broadcast(index.vocabulary.filter(F.col("term").isin(wanted)))
     weight = F.create_map(*[F.lit(x) for t, n in times.items() for x in (t, float(n))])
     f, length = F.col("f"), F.col("len")
@@ -134,8 +195,16 @@ def bm25_matches(index: TextIndex, terms: Sequence[str]) -> DataFrame:
         * (f * (K1 + 1))
         / (f + K1 * (1 - B + B * length / F.col("avg_len")))
     )
-    hits = index.postings.filter(F.col("term").isin(wanted)).join(vocab, "term")
-    return hits.groupBy("rid").agg(F.sum(part).alias("bm25"), F.count(F.lit(1)).alias("n_terms"))
+    hits = index.postings.filter(F.col("term").isin(wanted))
+    if keep is not None:
+        hits = hits.filter(keep)
+    hits = hits.join(vocab, "term")
+    carried = [c for c in FACETS if c in index.postings.columns]
+    if len(wanted) == 1:
+        # a document has one posting of a term: nothing to bring together
+        return hits.select("rid", *carried, part.alias("bm25"), F.lit(1).cast("bigint").alias("n_terms"))
+    same = [F.first(c).alias(c) for c in carried]  # equal in all postings of a document
+    return hits.groupBy("rid").agg(*same, F.sum(part).alias("bm25"), F.count(F.lit(1)).alias("n_terms"))
 
 
 def boosted_score(bm25: Column, boost: Column) -> Column:
