@@ -150,3 +150,46 @@ def test_long_page_is_joined_and_equal(corpus, monkeypatch):
     long = search(df, ask, index=index)
     assert [r.rid for r in long.page.orderBy("pos").collect()] == short
     assert [r.rid for r in long.fetch(df).orderBy("pos").collect()] == short
+
+
+def test_search_reads_no_catalog_row_but_the_page(spark, corpus, tmp_path):
+    """The answer comes from the index; the page then reads its rows by their numbers."""
+    from vitrine.plans.build import read_catalog, write_catalog
+
+    rows, df = corpus
+    write_catalog(df, str(tmp_path / "catalog"))
+    write_index(build_index(df), str(tmp_path / "index"))
+    catalog = read_catalog(spark, str(tmp_path / "catalog"))
+    index = read_index(spark, str(tmp_path / "index"))
+    ask = SearchParams(q="red boat", limit=30, year_from=1510, content="image", sources=["hot", "s1"])
+    found = search(catalog, ask, index=index)
+    for part in (found.hits, found.per_source):
+        assert "/catalog" not in part._jdf.queryExecution().executedPlan().toString()
+    page = found.fetch(catalog)
+    assert "In(rid" in page._jdf.queryExecution().executedPlan().toString()
+    got = [(r.rid, r.pos) for r in page.orderBy("pos").collect()]
+    assert got == [(r.rid, r.pos) for r in found.page.orderBy("pos").collect()]
+    years = {r["rid"]: (r["year_start"], r["source"]) for r in rows}
+    assert got and all(years[k][0] >= 1510 and years[k][1] in ("hot", "s1") for k, _ in got)
+    # a filter by a part of a text asks the catalog for that column alone
+    some = search(catalog, SearchParams(q="red boat", limit=30, creator="oak"), index=index)
+    assert {r.rid for r in some.hits.collect()} <= {r["rid"] for r in rows if "oak" in (r["creator"] or "")}
+
+
+def test_terms_are_counted_inside_the_row(spark, corpus):
+    from vitrine.plans.text_index import postings, row_terms
+
+    rows, df = corpus
+    posts = postings(row_terms(df))
+    assert "Exchange" not in posts._jdf.queryExecution().executedPlan().toString()
+    got = {(r.rid, r.term): (r.f, r.len, r.source) for r in posts.collect()}
+    want = {}
+    for r in rows:
+        words = [(c, fold_word(w)) for c in TEXT_COLUMNS for w in tokenize_all(r[c])]
+        for c, w in words:
+            f, _, _ = want.get((r["rid"], w), (0.0, 0, ""))
+            want[r["rid"], w] = (f + WEIGHTS[c], len(words), r["source"])
+    assert got == want
+    assert postings(row_terms(df.limit(0))).count() == 0
+    some = postings(row_terms(df, terms=["oak"]))
+    assert {(r.rid, r.f) for r in some.collect()} == {(k, f) for (k, w), (f, _, _) in want.items() if w == "oak"}

@@ -58,7 +58,7 @@ def doc_stats(spark, sf):
 
 @query("q_postings", with_docs(INDEX_SQL + "SELECT rid, term, f, CAST(len AS INT) AS len FROM posts JOIN lens USING (rid)"))
 def posting_list(spark, sf):
-    return T.postings(T.row_terms(items_doc(spark, sf))).select("rid", "term", "f", "len")
+    return T.postings(T.row_terms(T.spread(items_doc(spark, sf)))).select("rid", "term", "f", "len")
 
 
 @query("q_vocabulary", with_docs(INDEX_SQL + "SELECT term, df FROM vocab"))
@@ -127,7 +127,8 @@ def found(spark, sf, **params):
 
 
 def shown(result):
-    return result.page.select("rid", "source", "score", F.col("pos").cast("bigint").alias("pos"))
+    """The answer as the index gives it."""
+    return result.hits.select("rid", "source", "score", F.col("pos").cast("bigint").alias("pos"))
 
 
 @query("q_search_full", searched(["the", "thth"], "TRUE", 0, 250))
@@ -187,8 +188,9 @@ def search_totals(spark, sf):
 
 @query("q_search_deep_text", searched(["the", "by"], "TRUE", 150, 100))
 def search_deep_text(spark, sf):
-    """A page beyond the first ones continues the same order."""
-    return shown(found(spark, sf, q="the by", offset=150, limit=100))
+    """A page beyond the first ones continues the same order; its rows come out of the catalog."""
+    page = found(spark, sf, q="the by", offset=150, limit=100).page
+    return page.select("rid", "source", "score", F.col("pos").cast("bigint").alias("pos"))
 
 
 @query("q_search_without_index", searched(["nd", "thth"], "TRUE", 0, 40))

@@ -15,7 +15,7 @@ from vitrine.operators.merge import (
     order_oldest, order_random, order_score, page, top_per_source,
 )
 from vitrine.operators.ranking import top_n
-from vitrine.plans.text_index import TextIndex, bm25_matches, boosted_score, build_index, read_index, write_index
+from vitrine.plans.text_index import TextIndex, bm25_matches, boosted_score, build_index, look_up, read_index, write_index
 from vitrine.session import scratch_path, shuffle_width
 
 # Pages up to this many narrow rows are broadcast or read by literal row numbers; longer ones are joined.
@@ -191,7 +191,8 @@ def _text_candidates(items, keep, contains, words, index, inner, most, need):
     terms = index.query_terms(words)
     distinct = len(set(terms))
     carried = index.has_facets
-    matched = bm25_matches(index, terms, keep if carried else None)
+    known = look_up(index, terms)
+    matched = bm25_matches(index, terms, keep if carried else None, known)
     if not carried:
         narrow = items.filter(keep if contains is None else keep & contains).select("rid", "source", "year_start", "boost")
         matched = matched.join(narrow, "rid")
@@ -205,7 +206,9 @@ def _text_candidates(items, keep, contains, words, index, inner, most, need):
     if len(words) == 1:
         cands = _first_per_source(matched, ["source"], inner, most, "or_rank").drop("or_rank")
         return cands, matched.groupBy("source").agg(shown_total(F.count(F.lit(1))).alias("hits"))
-    have = matched.agg(F.count_if(F.col("tier") == 0)).scalar()
+    # no more documents can have all words than have the rarest; only beyond that they need counting
+    rarest = min((known[t]["df"] if t in known else 0 for t in terms), default=0)
+    have = F.lit(rarest) if rarest < need else matched.agg(F.count_if(F.col("tier") == 0)).scalar()
     # enough for both passes: the best rows of either tier, then the second pass ranks both together
     both = _first_per_source(matched, ["source", "tier"], inner, most, "tier_rank")
     either = Window.partitionBy("source").orderBy(*inner)

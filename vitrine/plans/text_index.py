@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 import pandas as pd
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Row, SparkSession, functions as F, types as T
 
 from vitrine.functions.stem import stem
-from vitrine.functions.text import english_terms, fold_word, tokens
+from vitrine.functions.text import english_terms, fold_word, let, tokens
 from vitrine.schema import TEXT_COLUMNS
 from vitrine.session import landed
 
@@ -46,34 +46,45 @@ def index_tokens(items: DataFrame, columns: Sequence[str] = TEXT_COLUMNS) -> Dat
 FACETS = ("source", "boost", "year_start", "year_end", "content_type", "public_domain")
 
 
+def spread(items: DataFrame) -> DataFrame:
+    """Rows of fewer files than there are cores are dealt over all cores; a table of many files is left as it is."""
+    cores = items.sparkSession.sparkContext.defaultParallelism
+    return items.repartition(cores) if len(items.inputFiles()) < cores else items
+
+
+def _runs(words: Column) -> Column:
+    """Distinct terms of an array of (term, f) with the sum of f: runs of the sorted array, inside the row."""
+
+    def of_sorted(w: Column) -> Column:
+        starts = F.filter(
+            F.sequence(F.lit(1), F.size(w)), lambda i: F.coalesce(F.get(w, i - 1)["term"] != F.get(w, i - 2)["term"], F.lit(True))
+        )
+        return let(starts, lambda at: F.transform(at, lambda start, j: summed(w, start, F.coalesce(F.get(at, j + 1), F.size(w) + 1))))
+
+    def summed(w: Column, start: Column, end: Column) -> Column:
+        f = F.aggregate(F.slice(w, start, end - start), F.lit(0.0), lambda n, x: n + x["f"])
+        return F.struct(F.get(w, start - 1)["term"].alias("term"), f.alias("f"))
+
+    return F.when(F.size(words) > 0, let(F.sort_array(words), of_sorted))
+
+
 def row_terms(items: DataFrame, columns: Sequence[str] = TEXT_COLUMNS, terms: Sequence[str] | None = None) -> DataFrame:
     """One row per document: rid, its facets, its length and its distinct terms with their weighted frequency.
 
-    The words of a row are counted where they are, in Arrow batches: no shuffle, and each text is split once.
-    With ``terms`` only those are kept; the length still counts all.
+    The words of a row are sorted and summed where they are: no shuffle, and each text is split once. A row without
+    words has null for its terms. With ``terms`` only those are kept; the length still counts all.
     """
     facets = [c for c in FACETS if c in items.columns]
     split = items.select("rid", *facets, *[tokens(c).alias(f"w_{c}") for c in columns])
+
+    def weighted(column: str) -> Column:
+        words = F.col(f"w_{column}")
+        if terms is not None:
+            words = F.filter(words, lambda w: w.isin(list(terms)))
+        return F.transform(words, lambda w: F.struct(w.alias("term"), F.lit(WEIGHTS[column]).alias("f")))
+
     length = sum((F.size(f"w_{c}") for c in columns), F.lit(0))
-    weights = [WEIGHTS[c] for c in columns]
-    kept = None if terms is None else frozenset(terms)
-
-    @F.arrow_udf("array<struct<term:string,f:double>>")
-    def counted(*fields: pa.Array) -> pa.Array:
-        names, sums, offsets = [], [], [0]
-        for words in zip(*[f.to_pylist() for f in fields], strict=True):
-            found: dict[str, float] = {}
-            for weight, some in zip(weights, words, strict=True):
-                for word, n in Counter(some).items():
-                    if kept is None or word in kept:
-                        found[word] = found.get(word, 0.0) + weight * n
-            names.extend(found)
-            sums.extend(found.values())
-            offsets.append(len(names))
-        pairs = pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(sums, pa.float64())], ["term", "f"])
-        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pairs)
-
-    return split.select("rid", *facets, length.alias("len"), counted(*[f"w_{c}" for c in columns]).alias("terms"))
+    return split.select("rid", *facets, length.alias("len"), let(F.concat(*[weighted(c) for c in columns]), _runs).alias("terms"))
 
 
 @F.pandas_udf(T.StringType())
@@ -83,8 +94,9 @@ def _stems(words: pd.Series) -> pd.Series:
 
 def postings(rows: DataFrame) -> DataFrame:
     """Weighted term frequency per document from its ``row_terms``: term, f, and what the row carries."""
-    one = rows.withColumn("_t", F.explode("terms"))
-    return one.select("rid", "_t.term", "_t.f", "len", *[c for c in FACETS if c in rows.columns])
+    # the outer form: for the plain one Spark would add a filter on the terms below, and work them out twice
+    one = rows.select("rid", F.inline_outer("terms"), "len", *[c for c in FACETS if c in rows.columns])
+    return one.where(F.col("term").isNotNull())
 
 
 def stem_postings(posts: DataFrame) -> DataFrame:
@@ -131,7 +143,7 @@ def build_index(items: DataFrame, stemmed: bool = False, terms: Sequence[str] |
 
     The terms of all rows are landed once; postings, lengths, corpus sums and source counts are read from there.
     """
-    rows = landed(row_terms(items, columns, None if stemmed else terms), "row-terms")
+    rows = landed(row_terms(spread(items), columns, None if stemmed else terms), "row-terms")
     posts = postings(rows)
     if stemmed:
         posts = stem_postings(posts)
@@ -172,39 +184,41 @@ def read_index(spark: SparkSession, path: str, stemmed: bool = False) -> TextInd
     )
 
 
-def idf(df: Column, n_docs: Column) -> Column:
-    raw = F.log((n_docs - df + 0.5) / (df + 0.5))
-    return F.when(raw > 0, raw).otherwise(F.lit(IDF_FLOOR))
+def idf(df: int, n_docs: int) -> float:
+    raw = math.log((n_docs - df + 0.5) / (df + 0.5))
+    return raw if raw > 0 else IDF_FLOOR
+
 
+def look_up(index: TextIndex, terms: Sequence[str]) -> dict[str, Row]:
+    """Vocabulary rows of the query's words, at most one for each; words of no document are missing."""
+    return {r["term"]: r for r in index.vocabulary.filter(F.col("term").isin(sorted(set(terms)))).collect()}
 
-def bm25_matches(index: TextIndex, terms: Sequence[str], keep: Column | None = None) -> DataFrame:
+
+def bm25_matches(
+    index: TextIndex, terms: Sequence[str], keep: Column | None = None, known: Mapping[str, Row] | None = None
+) -> DataFrame:
     """Documents with any of the terms: rid, the facets of the index, bm25, n_terms (distinct terms found).
 
     A term that is repeated in the query counts as often as it is repeated. ``keep`` is a filter on the facets; it is
-    applied to the postings as they are read and changes no score.
+    applied to the postings as they are read and changes no score. ``known`` is the result of ``look_up``; its few numbers
+    become literals of the plan.
     """
-    times = Counter(terms)
-    wanted = list(times)
-    # at most one row per query word
-    vocab = F.broadcast(index.vocabulary.filter(F.col("term").isin(wanted)))
-    weight = F.create_map(*[F.lit(x) for t, n in times.items() for x in (t, float(n))])
+    known = look_up(index, terms) if known is None else known
+    times = {t: n for t, n in Counter(terms).items() if t in known}
+    weights = [F.lit(x) for t, n in times.items() for x in (t, n * idf(known[t]["df"], known[t]["n_docs"]))]
+    avg_len = next((r["avg_len"] for r in known.values()), None) or 1.0
     f, length = F.col("f"), F.col("len")
-    part = (
-        F.element_at(weight, F.col("term"))
-        * idf(F.col("df"), F.col("n_docs"))
-        * (f * (K1 + 1))
-        / (f + K1 * (1 - B + B * length / F.col("avg_len")))
-    )
-    hits = index.postings.filter(F.col("term").isin(wanted))
+    weight = F.element_at(F.create_map(*weights), F.col("term")) if weights else F.lit(0.0)
+    part = weight * (f * (K1 + 1)) / (f + K1 * (1 - B + B * length / F.lit(avg_len)))
+    hits = index.postings.filter(F.col("term").isin(list(times)) if times else F.lit(False))
     if keep is not None:
         hits = hits.filter(keep)
-    hits = hits.join(vocab, "term")
     carried = [c for c in FACETS if c in index.postings.columns]
-    if len(wanted) == 1:
+    if len(times) == 1:
         # a document has one posting of a term: nothing to bring together
         return hits.select("rid", *carried, part.alias("bm25"), F.lit(1).cast("bigint").alias("n_terms"))
-    same = [F.first(c).alias(c) for c in carried]  # equal in all postings of a document
-    return hits.groupBy("rid").agg(*same, F.sum(part).alias("bm25"), F.count(F.lit(1)).alias("n_terms"))
+    # the facets are the same in all postings of a document
+    return hits.groupBy("rid", *carried).agg(F.sum(part).alias("bm25"), F.count(F.lit(1)).alias("n_terms"))
 
 
 def boosted_score(bm25: Column, boost: Column) -> Column:
