@@ -538,8 +538,10 @@ WITH u AS ({IMAGE_ROWS.replace(" FROM part", ", p_size FROM part")})
 SELECT source, count(*) AS seen, count(*) FILTER (p_size <> 9) AS kept, count(*) FILTER (p_size <> 9) AS stored, count(*) FILTER (p_size <> 9 AND rid % 7 <> 0) AS compacted FROM u GROUP BY source""")
 def ingest_report(spark, sf):
     rows = staged(spark, sf).filter("feed <> 'extra'")
-    kept = rows.filter("title <> ''")
-    return A.ingest_report(rows, kept, B.compact(kept))
+    report = A.IngestReport(FEEDS)
+    kept = report.kept(report.seen(rows).filter("title <> ''"))
+    report.stored(B.compact(kept)).write.parquet(scratch_path(spark, "ingested"))
+    return report.rows(spark)
 
 
 @query("q_number_rows", "SELECT o_orderkey, row_number() OVER (ORDER BY o_orderdate, o_orderkey) AS rid FROM orders")

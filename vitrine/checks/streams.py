@@ -62,19 +62,29 @@ def stream_throttle_batches(spark, sf):
 @query("q_stream_daily_quota", """
 SELECT user_id, CAST(CAST(ts AS DATE) AS VARCHAR) AS day, count(*) AS used, greatest(count(*) - 3, 0) AS refused FROM events GROUP BY 1, 2""")
 def stream_quota(spark, sf):
-    path = scratch_path(spark, "quota")
-    timed = event_stream(spark, sf).withColumn("ts", F.col("ts").cast("timestamp"))
-    counts = J.stream_daily_quota(timed, "user_id", "ts", 3)
+    """Sums of the verdicts given event by event."""
+    out = quota_verdicts(spark, sf)
+    day = F.col("day").cast("string").alias("day")
+    sums = out.groupBy(F.col("key").alias("user_id"), day).agg(F.count(F.lit(1)).alias("used"), F.count_if(~F.col("allowed")).alias("refused"))
+    return sums.select("user_id", "day", "used", "refused")
 
-    def each(batch, batch_id):
-        batch.write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(f"{path}/out/batch={batch_id}")
 
-    # complete mode: the last batch holds every day, also those the watermark has not closed
-    writer = counts.writeStream.outputMode("complete").foreachBatch(each).option("checkpointLocation", f"{path}/checkpoint")
-    writer.trigger(availableNow=True).start().awaitTermination()
-    out = spark.read.parquet(f"{path}/out")
-    last = out.agg(F.max("batch").alias("b")).scalar()
-    return out.filter(F.col("batch") == last).select("user_id", F.col("day").cast("string").alias("day"), "used", "refused")
+@query("q_stream_quota_verdicts", """
+SELECT user_id, event_id, CAST(CAST(ts AS DATE) AS VARCHAR) AS day, used, used <= 3 AS allowed
+FROM (SELECT *, row_number() OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY epoch_us(ts) // 1000, event_id) AS used FROM events)""")
+def stream_quota_verdicts(spark, sf):
+    out = quota_verdicts(spark, sf)
+    return out.select(F.col("key").alias("user_id"), F.col("tie").alias("event_id"), F.col("day").cast("string").alias("day"), "used", "allowed")
+
+
+def quota_verdicts(spark, sf):
+    previous = spark.conf.get(J.STATE_PROVIDER)
+    path = scratch_path(spark, "quota")
+    try:
+        J.append_to(J.stream_quota_verdicts(event_stream(spark, sf), "user_id", "ts", "event_id", 3), f"{path}/out", f"{path}/checkpoint")
+    finally:
+        spark.conf.set(J.STATE_PROVIDER, previous)
+    return spark.read.parquet(f"{path}/out")
 
 
 @query("q_stream_dedupe", "SELECT user_id, count(*) AS n FROM (SELECT DISTINCT user_id, event_type, epoch_us(ts) // 60000000 AS minute FROM events) GROUP BY user_id")

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
 from vitrine.operators.ranking import first_per_key
 
@@ -86,8 +87,49 @@ def terms_by_object(terms: DataFrame, key: str, kinds: Sequence[str], order: str
     return listed.select(key, F.transform("_t", lambda t: t["term"]).alias("terms"))
 
 
+class IngestReport:
+    """Rows seen, kept and stored with a compact image key, per source, counted while the catalog is written.
+
+    ``seen``, ``kept`` and ``stored`` mark the steps of one plan; the counts come with its write as observed metrics, so
+    there is no job for them. The sources of an ingest are known by name; rows of any other count under null.
+    """
+
+    STEPS = ("seen", "kept", "stored", "compacted")
+
+    def __init__(self, sources: Sequence[str]):
+        self.sources = sorted(set(sources))
+        self._marked: list[Observation] = []
+
+    def _counts(self, step: str, cond: Column) -> list[Column]:
+        named = F.col("source").isin(self.sources)
+        each = [count_if(cond & (F.col("source") == s)).alias(f"{step}_{i}") for i, s in enumerate(self.sources)]
+        return [*each, count_if(cond & ~F.coalesce(named, F.lit(False))).alias(f"{step}_other")]
+
+    def _mark(self, df: DataFrame, counts: list[Column]) -> DataFrame:
+        self._marked.append(Observation(f"ingest-{uuid.uuid4().hex}"))
+        return df.observe(self._marked[-1], *counts)
+
+    def seen(self, df: DataFrame) -> DataFrame:
+        return self._mark(df, self._counts("seen", F.lit(True)))
+
+    def kept(self, df: DataFrame) -> DataFrame:
+        return self._mark(df, self._counts("kept", F.lit(True)))
+
+    def stored(self, df: DataFrame) -> DataFrame:
+        return self._mark(df, self._counts("stored", F.lit(True)) + self._counts("compacted", F.col("img").isNotNull()))
+
+    def rows(self, spark: SparkSession) -> DataFrame:
+        """The report, once the marked plan has been written (it waits for that); steps that were not marked count 0."""
+        got: dict[str, int] = {}
+        for step in self._marked:
+            got |= step.get
+        places = [*((str(i), s) for i, s in enumerate(self.sources)), ("other", None)]
+        out = [(s, *(int(got.get(f"{step}_{i}", 0)) for step in self.STEPS)) for i, s in places]
+        return spark.createDataFrame([r for r in out if any(r[1:])], "source string, " + ", ".join(f"{x} bigint" for x in self.STEPS))
+
+
 def ingest_report(raw: DataFrame, kept: DataFrame, catalog: DataFrame) -> DataFrame:
-    """Rows seen, kept and stored with a compact image key, per source."""
+    """The same counts from stored tables, where no write of theirs can be observed."""
     seen = raw.groupBy("source").agg(F.count(F.lit(1)).alias("seen"))
     keep = kept.groupBy("source").agg(F.count(F.lit(1)).alias("kept"))
     compacted = catalog.groupBy("source").agg(

@@ -1,11 +1,13 @@
 """Fixed-window throttle over a log of events, without walking a key in one task.
 
 A window opens at the first event of a key after the previous window has run out, so
-windows follow from each other. The log is cut into hours: each hour is first reduced to
-"when the running window ends here, it ends there afterwards", those small tables are
-chained per key, and then every hour finds its own windows from the known start.
+windows follow from each other. The log is cut into hours: each hour is first reduced to a
+function, "when the running window ends here, it ends there afterwards". Functions of
+neighbouring hours compose, so a parallel prefix scan finds the window that runs into each
+hour: up a tree of ``FAN_IN`` hours a node, and down again. Then every hour finds its own windows.
 Times are milliseconds, and equal times of a key count once, so an hour holds at most
-3.6 million numbers however many events a key has.
+3.6 million numbers however many events a key has. A function only has to know windows that
+were open when its hours began, so its size is bounded by the window, not by the log.
 """
 
 from __future__ import annotations
@@ -15,8 +17,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from vitrine.operators.ranking import bucket_rank
+from vitrine.session import landed
 
 CHUNK_MS = 3_600_000
+FAN_IN = 512
 NEVER = -(1 << 62)
 
 
@@ -43,13 +47,40 @@ def _transitions(times: np.ndarray, window_ms: int) -> tuple[np.ndarray, np.ndar
     return starts[keep], ends[keep]
 
 
+def _reachable(f: tuple[np.ndarray, np.ndarray], start_ms: int, window_ms: int) -> tuple[np.ndarray, np.ndarray]:
+    """The part of a function that windows opened before ``start_ms`` can reach."""
+    n = int(np.searchsorted(f[0], start_ms + window_ms, side="right"))
+    return f[0][:n], f[1][:n]
+
+
+def _after(f: tuple[np.ndarray, np.ndarray], ends: np.ndarray) -> np.ndarray:
+    """End of the window behind the hours of ``f``, for each end before them."""
+    found = f[1][np.searchsorted(f[0], ends, side="right") - 1]
+    return np.where(found == -1, ends, found)
+
+
+def _then(f: tuple[np.ndarray, np.ndarray], g: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The function of the hours of ``f`` followed by those of ``g``."""
+    starts, ends = f[0], np.where(f[1] == -1, -1, _after(g, f[1]))
+    if f[1][-1] == -1:
+        # what f leaves as it is meets g as it came
+        k = int(np.searchsorted(g[0], starts[-1], side="right")) - 1
+        starts = np.concatenate([starts, g[0][k + 1 :]])
+        ends = np.concatenate([ends[:-1], g[1][k:]])
+    keep = np.append(True, ends[1:] != ends[:-1])
+    return starts[keep], ends[keep]
+
+
+def _function(hour) -> tuple[np.ndarray, np.ndarray]:
+    return np.asarray(hour["_from"], dtype=np.int64), np.asarray(hour["_end"], dtype=np.int64)
+
+
 def _chain(hours, end: int) -> list[int]:
-    """End of the running window at the start of each hour, from the end of the window before the log."""
+    """End of the running window at the start of each hour, from the end of the window before the first."""
     carried = []
     for hour in hours:
         carried.append(int(end))
-        after = hour["_end"][np.searchsorted(np.asarray(hour["_from"]), end, side="right") - 1]
-        end = end if after == -1 else after
+        end = int(_after(_function(hour), np.array([end]))[0])
     return carried
 
 
@@ -77,35 +108,16 @@ def fixed_window_throttle(
     times = rows.select(key, "_chunk", "_ms").distinct()
     key_type = events.schema[key].dataType.simpleString()
 
-    def summarize(batches):
-        for pdf in batches:
-            tables = [_transitions(np.asarray(t), window_ms) for t in pdf["_times"]]
-            yield pd.DataFrame({key: pdf[key], "_chunk": pdf["_chunk"], "_from": [t[0] for t in tables], "_end": [t[1] for t in tables]})
-
-    def chain(batches):
-        for pdf in batches:
-            yield pd.DataFrame({key: pdf[key], "_chunks": [[h["_chunk"] for h in hs] for hs in pdf["_hours"]], "_carries": [_chain(hs, e) for hs, e in zip(pdf["_hours"], pdf["_before"])]})
-
     def openings(batches):
         for pdf in batches:
             found = [_openings(np.asarray(t), c, window_ms) for t, c in zip(pdf["_times"], pdf["_carry"])]
             yield pd.DataFrame({key: pdf[key], "_chunk": pdf["_chunk"], "_opens": found})
 
     # one row per key and hour; the list is bounded by the milliseconds of an hour
-    hours = times.groupBy(key, "_chunk").agg(F.sort_array(F.collect_list("_ms")).alias("_times"))
-    table = hours.mapInPandas(summarize, f"{key} {key_type}, _chunk bigint, _from array<bigint>, _end array<bigint>")
-    # one row per key; the list is bounded by the hours of the log, whatever the number of events
-    chained = table.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("_chunk", "_from", "_end"))).alias("_hours"))
-    if state is None:
-        chained = chained.withColumn("_before", F.lit(NEVER))
-    else:
-        running = state.select(key, (F.col("window_start") + window_ms).alias("_before"))
-        chained = chained.join(running, key, "left").withColumn("_before", F.coalesce("_before", F.lit(NEVER)))
-    carries = chained.mapInPandas(chain, f"{key} {key_type}, _chunks array<bigint>, _carries array<bigint>")
-    carries = carries.select(key, F.explode(F.arrays_zip("_chunks", "_carries")).alias("h")).select(
-        key, F.col("h._chunks").alias("_chunk"), F.col("h._carries").alias("_carry")
-    )
+    hours = landed(times.groupBy(key, "_chunk").agg(F.sort_array(F.collect_list("_ms")).alias("_times")), "hours")
+    carries = _running_windows(hours, key, key_type, window_ms, state)
     opened = hours.join(carries, [key, "_chunk"]).mapInPandas(openings, f"{key} {key_type}, _chunk bigint, _opens array<bigint>")
+    opened = landed(opened, "windows")  # read twice by the ranking
     opens = F.col("_opens")
     placed = rows.join(opened, [key, "_chunk"]).withColumn(
         "window_start", F.coalesce(F.array_max(F.filter(opens, lambda o: o <= F.col("_ms"))), F.array_min(opens))
@@ -119,6 +131,61 @@ def fixed_window_throttle(
     return ranked.withColumn("allowed", F.col("used") <= max_uses).drop("_ms")
 
 
+def _running_windows(hours: DataFrame, key: str, key_type: str, window_ms: int, state: DataFrame | None) -> DataFrame:
+    """End of the window that runs into each hour: key, _chunk, _carry. A prefix scan over the hours of each key."""
+    node = f"{key} {key_type}, _c bigint, _from array<bigint>, _end array<bigint>"
+    first, last = hours.agg(F.min("_chunk"), F.max("_chunk")).first()
+    first, width = first or 0, (last or 0) - (first or 0) + 1
+
+    def summarize(batches):
+        for pdf in batches:
+            found = [
+                _reachable(_transitions(np.asarray(t), window_ms), (first + c) * CHUNK_MS, window_ms) for t, c in zip(pdf["_times"], pdf["_c"])
+            ]
+            yield pd.DataFrame({key: pdf[key], "_c": pdf["_c"], "_from": [f[0] for f in found], "_end": [f[1] for f in found]})
+
+    def compose(hours_each: int):
+        def run(batches):
+            for pdf in batches:
+                found = []
+                for c, kids in zip(pdf["_c"], pdf["_kids"]):
+                    whole = _function(kids[0])
+                    for kid in kids[1:]:
+                        whole = _then(whole, _function(kid))
+                    found.append(_reachable(whole, (first + c * hours_each) * CHUNK_MS, window_ms))
+                yield pd.DataFrame({key: pdf[key], "_c": pdf["_c"], "_from": [f[0] for f in found], "_end": [f[1] for f in found]})
+
+        return run
+
+    def chain(batches):
+        for pdf in batches:
+            kids = [[k["_c"] for k in ks] for ks in pdf["_kids"]]
+            yield pd.DataFrame({key: pdf[key], "_cs": kids, "_carries": [_chain(ks, e) for ks, e in zip(pdf["_kids"], pdf["_carry"])]})
+
+    def together(nodes: DataFrame) -> DataFrame:
+        """Up to FAN_IN neighbours of a key in one row."""
+        listed = F.sort_array(F.collect_list(F.struct("_c", "_from", "_end"))).alias("_kids")
+        return nodes.groupBy(key, F.floor(F.col("_c") / FAN_IN).cast("bigint").alias("_g")).agg(listed).withColumnRenamed("_g", "_c")
+
+    nodes = hours.select(key, (F.col("_chunk") - first).alias("_c"), "_times").mapInPandas(summarize, node)
+    levels, hours_each = [landed(together(nodes), "hours-tree")], 1
+    while width > FAN_IN:
+        hours_each *= FAN_IN
+        width = -(-width // FAN_IN)
+        nodes = levels[-1].mapInPandas(compose(hours_each), node)
+        levels.append(landed(together(nodes), "hours-tree"))
+    # the top has one row per key; its window comes from before the log
+    carries = levels[-1].select(key, "_c").withColumn("_carry", F.lit(NEVER))
+    if state is not None:
+        running = state.select(key, (F.col("window_start") + window_ms).alias("_before"))
+        carries = levels[-1].select(key, "_c").join(running, key, "left").select(key, "_c", F.coalesce("_before", F.lit(NEVER)).alias("_carry"))
+    for level in reversed(levels):
+        down = level.join(carries, [key, "_c"]).mapInPandas(chain, f"{key} {key_type}, _cs array<bigint>, _carries array<bigint>")
+        pairs = down.select(key, F.explode(F.arrays_zip("_cs", "_carries")).alias("h"))
+        carries = pairs.select(key, F.col("h._cs").alias("_c"), F.col("h._carries").alias("_carry"))
+    return carries.select(key, (F.col("_c") + first).alias("_chunk"), "_carry")
+
+
 def window_state(judged: DataFrame, key: str, before: DataFrame | None = None) -> DataFrame:
     """Last window of every key with its uses, from judged events and the state before them."""
     last = judged.groupBy(key).agg(F.max(F.struct("window_start", "used")).alias("w")).select(key, "w.window_start", "w.used")

@@ -80,6 +80,69 @@ def stream_daily_quota(stream: DataFrame, key: str, ts: str, cap: int, delay: st
     )
 
 
+class DailyQuota(StatefulProcessor):
+    """Per key: the uses of each UTC day that can still get events, and a timer that forgets the day."""
+
+    DAY_MS = 86_400_000
+
+    def __init__(self, cap: int):
+        self.cap = cap
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.used = handle.getMapState("used", "day bigint", "n bigint")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        # the rows of one key in one trigger, whose size maxFilesPerTrigger bounds
+        pdf = pd.concat(list(rows)).sort_values(["event_ms", "event_tie"])
+        days = pdf["event_ms"] // self.DAY_MS
+        used = pdf.groupby(days).cumcount() + 1
+        for day in days.unique().tolist():
+            before = self.used.getValue((day,))[0] if self.used.containsKey((day,)) else 0
+            here = days == day
+            used[here] += before
+            self.used.updateValue((day,), (int(used[here].max()),))
+            if not before:
+                self.handle.registerTimer((day + 1) * self.DAY_MS)
+        yield pd.DataFrame(
+            {"key": key[0], "tie": pdf["event_tie"].to_numpy(), "day_ms": (days * self.DAY_MS).to_numpy(), "used": used.to_numpy(),
+             "allowed": (used <= self.cap).to_numpy()}
+        )
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        day = (expiredTimerInfo.getExpiryTimeInMs() // self.DAY_MS - 1,)
+        if self.used.containsKey(day):
+            self.used.removeKey(day)
+        return iter([])
+
+    def close(self) -> None:
+        pass
+
+
+def stream_quota_verdicts(stream: DataFrame, key: str, ts: str, tie: str, cap: int, delay: str = "1 day") -> DataFrame:
+    """A verdict for every event as it arrives: key, tie, day, used (uses of the UTC day so far) and allowed.
+
+    Append mode: an event is judged once, by the events of its day that came before it; within a trigger they are taken by
+    time and tie. Events up to ``delay`` late count into their own day, later ones are dropped by the watermark and get no
+    verdict. The state of a day goes when the watermark has passed its end. Needs the RocksDB state store.
+    """
+    spark = stream.sparkSession
+    spark.conf.set(STATE_PROVIDER, ROCKSDB)
+    key_type = stream.schema[key].dataType.simpleString()
+    tie_type = stream.schema[tie].dataType.simpleString()
+    at = F.col(ts).cast("timestamp")
+    ms = F.floor(F.unix_micros(at) / 1000).cast("bigint")
+    timed = stream.select(F.col(key), at.alias("event_at"), ms.alias("event_ms"), F.col(tie).alias("event_tie"))
+    judged = timed.withWatermark("event_at", delay).groupBy(key).transformWithStateInPandas(
+        statefulProcessor=DailyQuota(cap),
+        outputStructType=f"key {key_type}, tie {tie_type}, day_ms bigint, used bigint, allowed boolean",
+        outputMode="Append",
+        timeMode="EventTime",
+    )
+    day = F.date_add(F.lit("1970-01-01").cast("date"), F.floor(F.col("day_ms") / DailyQuota.DAY_MS).cast("int"))
+    return judged.select("key", "tie", day.alias("day"), "used", "allowed")
+
+
 class WindowThrottle(StatefulProcessor):
     """Per key: end of the running window and uses in it."""
 
