@@ -110,10 +110,10 @@ def join_unique(spark, sf):
 
 
 @query("q_slug", """
-WITH s AS (SELECT doc_id, regexp_replace(lower(strip_accents(split_part(text, chr(10), 1))), '[^a-z0-9]+', '-', 'g') AS t FROM documents)
+WITH s AS (SELECT doc_id, regexp_replace(lower(strip_accents(text)), '[^a-z0-9]+', '-', 'g') AS t FROM documents)
 SELECT doc_id, coalesce(nullif(substring(regexp_replace(t, '^-+|-+$', '', 'g'), 1, 60), ''), 'untitled') AS slug FROM s""")
 def slug(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", X.slug(F.split_part("text", F.lit("\n"), F.lit(1))).alias("slug"))
+    return table(spark, sf, "documents").select("doc_id", X.slug("text").alias("slug"))
 
 
 @query("q_ext", r"""

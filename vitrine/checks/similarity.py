@@ -64,7 +64,7 @@ BASES = "SELECT min(vec_id) FROM embeddings GROUP BY label"
 WITH {EMB.format(bases=BASES)} SELECT base, vec_id, round(d, 6) AS d, rank FROM (SELECT *, row_number() OVER (PARTITION BY base ORDER BY d.d, vec_id) AS rank FROM d) WHERE rank <= 15""")
 def similar_many(spark, sf):
     sig = embedded(spark, sf)
-    bases = [r.v for r in sig.groupBy("label").agg(F.min("vec_id").alias("v")).collect()]
+    bases = sig.groupBy("label").agg(F.min("vec_id").alias("vec_id"))
     ranked = S.rank_similar_many(sig, bases, 15, key="vec_id")
     return ranked.select("base", "vec_id", F.round("d", 6).alias("d"), F.col("rank").cast("bigint").alias("rank"))
 

@@ -10,12 +10,16 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from vitrine.functions.text import let
 from vitrine.operators.ranking import top_n
+from vitrine.session import landed, shuffle_width
 
 GRID = 16
 GRAY_CELLS = 64
 COLOR_CELLS = 48
 COLOR_WEIGHT = 1.5
-MAX_BASES = 10000
+# Bases that travel inside the plan, rows of one cell, and distances held at once by a task; results do not depend on them.
+BASE_BLOCK = 1024
+CELL_ROWS = 65_536
+SCORES = 4_000_000
 
 
 def image_signature(pixels: Column) -> Column:
@@ -85,42 +89,108 @@ def rank_similar(signatures: DataFrame, base_id, k: int, key: str = "id") -> Dat
     return scored.orderBy("d", key).limit(k)
 
 
-def rank_similar_many(signatures: DataFrame, bases: Sequence, k: int, key: str = "id") -> DataFrame:
-    """The ``k`` nearest items of each of a bounded list of items: base, key, d, rank.
-
-    Every task compares its rows with all bases in numpy and passes on only its own k best
-    per base, so at most tasks x bases x k rows are shuffled.
+class _Block:
+    """Bases of one block and the ``k`` nearest rows met so far for each, all as arrays."""
+
+    def __init__(self, names: np.ndarray, gray: np.ndarray, color: np.ndarray, k: int):
+        order = np.argsort(names, kind="stable")
+        self.names, self.gray, self.color, self.k = names[order], gray[order], color[order] / 255.0, k
+        self.base, self.name, self.d = np.empty(0, np.int64), names[:0], np.empty(0)
+
+    def meet(self, names: np.ndarray, gray: np.ndarray, color: np.ndarray) -> None:
+        """Compare rows with all bases by matrix products, and work out the distances of what can be near exactly."""
+        color = color / 255.0
+        step = max(1, SCORES // max(1, len(self.names)))
+        for at in range(0, len(names), step):
+            self._meet(names[at : at + step], gray[at : at + step], color[at : at + step])
+
+    def _meet(self, names: np.ndarray, gray: np.ndarray, color: np.ndarray) -> None:
+        def about(x: np.ndarray, y: np.ndarray, cells: int) -> np.ndarray:
+            squares = (x * x).sum(1)[:, None] + (y * y).sum(1)[None, :] - 2.0 * (x @ y.T)
+            return np.sqrt(np.maximum(squares, 0.0) / cells)
+
+        d = about(self.gray, gray, GRAY_CELLS) + COLOR_WEIGHT * about(self.color, color, COLOR_CELLS)
+        if d.shape[1] > self.k:
+            most = np.partition(d, self.k, axis=1)[:, self.k]
+            # a base may meet itself, and products lose the last digits
+            size = np.sqrt((self.gray**2).sum(1).max() + (gray**2).sum(1).max() + 2.0 * COLOR_CELLS)
+            near = d <= (most + 1e-6 * (1.0 + size))[:, None]
+        else:
+            near = np.ones(d.shape, bool)
+        base, row = np.nonzero(near)
+        other = self.names[base] != names[row]
+        base, row = base[other], row[other]
+        exact = np.sqrt(((self.gray[base] - gray[row]) ** 2).sum(1) / GRAY_CELLS) + COLOR_WEIGHT * np.sqrt(
+            ((self.color[base] - color[row]) ** 2).sum(1) / COLOR_CELLS
+        )
+        self._keep(np.concatenate([self.base, base]), np.concatenate([self.name, names[row]]), np.concatenate([self.d, exact]))
+
+    def _keep(self, base: np.ndarray, name: np.ndarray, d: np.ndarray) -> None:
+        by_name = np.argsort(name, kind="stable")
+        base, name, d = base[by_name], name[by_name], d[by_name]
+        order = np.lexsort((d, base))  # stable: of equal distances the smaller name
+        base, name, d = base[order], name[order], d[order]
+        place = np.arange(len(base)) - np.searchsorted(base, base, side="left")
+        kept = place < self.k
+        self.base, self.name, self.d = base[kept], name[kept], d[kept]
+
+    def found(self, key: str) -> pd.DataFrame:
+        return pd.DataFrame({"base": self.names[self.base], key: self.name, "d": self.d})
+
+
+def _arrays(pdf: pd.DataFrame, key: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return pdf[key].to_numpy(), np.stack(pdf["gray"].to_numpy()).astype(np.float64), np.stack(pdf["color"].to_numpy()).astype(np.float64)
+
+
+def rank_similar_many(signatures: DataFrame, bases: DataFrame | Sequence, k: int, key: str = "id") -> DataFrame:
+    """The ``k`` nearest items of each base: base, key, d, rank. ``bases`` is a list, or a table with the column ``key``.
+
+    Blocks of bases meet blocks of rows in matrix products, and every task passes on only its own k best per base. Up to
+    ``BASE_BLOCK`` bases (112 numbers each) travel to the rows, which are not moved; more are a table that is dealt in
+    blocks, and each block of rows meets each block of bases in a task of its own. There is no limit to their number.
+    Bases without a signature, or unknown ones, give no rows; repeated bases count once.
     """
-    if len(bases) > MAX_BASES:
-        raise ValueError(f"at most {MAX_BASES} bases per call")
-    usable = signatures.filter(F.col("gray").isNotNull() & F.col("color").isNotNull()).select(key, "gray", "color")
-    rows = usable.filter(F.col(key).isin(list(bases))).collect()
+    spark = signatures.sparkSession
     key_type = signatures.schema[key].dataType.simpleString()
     schema = f"base {key_type}, {key} {key_type}, d double"
-    if not rows:
-        return signatures.sparkSession.createDataFrame([], schema + ", rank int")
-    ids = np.array([r[key] for r in rows], dtype=object)
-    grays = np.array([r["gray"] for r in rows], dtype=np.float64)
-    colors = np.array([r["color"] for r in rows], dtype=np.float64) / 255.0
-
-    def nearest(batches):
-        best: list[pd.DataFrame] = [None] * len(ids)
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            g = np.stack(pdf["gray"].to_numpy()).astype(np.float64)
-            c = np.stack(pdf["color"].to_numpy()).astype(np.float64) / 255.0
-            names = pdf[key].to_numpy()
-            for i, base in enumerate(ids):
-                d = np.sqrt(((g - grays[i]) ** 2).sum(1) / GRAY_CELLS) + COLOR_WEIGHT * np.sqrt(((c - colors[i]) ** 2).sum(1) / COLOR_CELLS)
-                here = pd.DataFrame({"base": base, key: names, "d": d})
-                here = here[here[key] != base]
-                if best[i] is not None:
-                    here = pd.concat([best[i], here])
-                best[i] = here.sort_values(["d", key]).head(k)
-        for kept in best:
-            if kept is not None and len(kept):
-                yield kept
-
-    scored = usable.mapInPandas(nearest, schema)
+    usable = signatures.filter(F.col("gray").isNotNull() & F.col("color").isNotNull()).select(key, "gray", "color")
+    if isinstance(bases, DataFrame):
+        wanted = bases.select(F.col(key).cast(key_type)).distinct()
+    else:
+        wanted = spark.createDataFrame([(b,) for b in dict.fromkeys(bases)], f"{key} {key_type}")
+    own = landed(usable.join(wanted, key, "left_semi"), "bases")
+    n = own.count()
+
+    if n <= BASE_BLOCK:
+        block = own.toPandas()  # at most BASE_BLOCK rows
+
+        def nearest(batches):
+            best = _Block(*_arrays(block, key), k) if len(block) else None
+            for pdf in batches:
+                if best is not None and len(pdf):
+                    best.meet(*_arrays(pdf, key))
+            if best is not None and len(best.base):
+                yield best.found(key)
+
+        scored = usable.mapInPandas(nearest, schema)
+    else:
+        blocks, rows = -(-n // BASE_BLOCK), landed(usable, "signatures")
+        cells = max(shuffle_width(spark), -(-rows.count() // CELL_ROWS))
+        # by place in the landed table, so that no key, however frequent, fills one block
+        place = F.monotonically_increasing_id()
+
+        def dealt(df: DataFrame, own_cells: int, own_name: str, other_cells: int, other_name: str) -> DataFrame:
+            mine = df.withColumn(own_name, F.pmod(place, F.lit(own_cells)).cast("int"))
+            return mine.withColumn(other_name, F.explode(F.sequence(F.lit(0), F.lit(other_cells - 1))))
+
+        def cell(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+            if not len(left) or not len(right):
+                return pd.DataFrame({"base": [], key: [], "d": []})
+            best = _Block(*_arrays(left, key), k)
+            best.meet(*_arrays(right, key))
+            return best.found(key)
+
+        left = dealt(own, blocks, "_a", cells, "_r").groupBy("_a", "_r")
+        right = dealt(rows, cells, "_r", blocks, "_a").groupBy("_a", "_r")
+        scored = left.cogroup(right).applyInPandas(cell, schema)
     return top_n(scored, ["base"], [F.col("d").asc(), F.col(key).asc()], k, salt_by=[key], rank="rank")

@@ -12,6 +12,8 @@ were open when its hours began, so its size is bounded by the window, not by the
 
 from __future__ import annotations
 
+from bisect import bisect_right
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
@@ -20,7 +22,7 @@ from vitrine.operators.ranking import bucket_rank
 from vitrine.session import landed
 
 CHUNK_MS = 3_600_000
-FAN_IN = 512
+FAN_IN = 1024
 NEVER = -(1 << 62)
 
 
@@ -32,6 +34,8 @@ def _next_window(times: np.ndarray, window_ms: int) -> np.ndarray:
 def _transitions(times: np.ndarray, window_ms: int) -> tuple[np.ndarray, np.ndarray]:
     """Breakpoints r and the end of the running window after the hour; -1 stands for "unchanged"."""
     n = len(times)
+    if n == 1:  # most hours of most keys
+        return np.array([NEVER, times[0]]), np.array([times[0] + window_ms, -1])
     last = np.arange(n + 1)
     jump = np.append(_next_window(times, window_ms), n)
     # pointer doubling: the last opening reached from each event
@@ -49,6 +53,8 @@ def _transitions(times: np.ndarray, window_ms: int) -> tuple[np.ndarray, np.ndar
 
 def _reachable(f: tuple[np.ndarray, np.ndarray], start_ms: int, window_ms: int) -> tuple[np.ndarray, np.ndarray]:
     """The part of a function that windows opened before ``start_ms`` can reach."""
+    if len(f[0]) <= 2:
+        return f
     n = int(np.searchsorted(f[0], start_ms + window_ms, side="right"))
     return f[0][:n], f[1][:n]
 
@@ -80,12 +86,16 @@ def _chain(hours, end: int) -> list[int]:
     carried = []
     for hour in hours:
         carried.append(int(end))
-        end = int(_after(_function(hour), np.array([end]))[0])
+        after = int(hour["_end"][bisect_right(hour["_from"], end) - 1])
+        end = end if after == -1 else after
     return carried
 
 
 def _openings(times: np.ndarray, carry: int, window_ms: int) -> list[int]:
     """Windows that touch an hour: the one running at its start and the ones opened in it."""
+    if len(times) == 1:
+        fresh = [int(times[0])] if times[0] > carry else []
+        return fresh if carry == NEVER else [carry - window_ms, *fresh]
     jump = _next_window(times, window_ms)
     at = int(np.searchsorted(times, carry, side="right"))
     found = [] if carry == NEVER else [carry - window_ms]
