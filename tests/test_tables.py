@@ -205,3 +205,31 @@ def test_images_need_pillow(spark, tmp_path):
     except ImportError:
         with pytest.raises(ImportError, match="Pillow"):
             readers.read_images(spark, str(tmp_path))
+
+
+@pytest.mark.parametrize("newest", [False, True])
+def test_upsert_replaces_ids_that_move(spark, tmp_path, newest):
+    """To another source, to a source that then has nothing else, and with another number of buckets asked for."""
+    path = str(tmp_path / "moving")
+    schema = "id string, source string, title string, updated_at bigint"
+    first = [(f"i{i}", "a" if i % 2 else "b", "v1", 1) for i in range(80)] + [("lone", "c", "v1", 1), ("odd", "x/y", "v1", 1)]
+    sinks.upsert_staging(spark.createDataFrame(first, schema), path, buckets=4)
+    batch = spark.createDataFrame([("i1", "b", "v2", 2), ("i2", "d", "v2", 2), ("lone", "a", "v2", 2), ("odd", "a", "v2", 2), ("new", "c", "v2", 2)], schema)
+    for buckets in (4, 7):
+        sinks.upsert_staging(batch, path, buckets=buckets, newest=newest)
+        back = {(r.id, r.source, r.title) for r in sinks.read_staging(spark, path, batch.schema).collect()}
+        want = {r[0]: r for r in first} | {r.id: tuple(r) for r in batch.collect()}
+        assert back == {r[:3] for r in want.values()} and len(back) == len(want)
+    late = spark.createDataFrame([("i3", "d", "late", 0)], schema)
+    sinks.upsert_staging(late, path, newest=newest)
+    found = [(r.source, r.title) for r in sinks.read_staging(spark, path, batch.schema).filter("id = 'i3'").collect()]
+    assert found == ([("a", "v1")] if newest else [("d", "late")])
+
+
+def test_a_small_batch_leaves_other_folders_alone(spark, tmp_path):
+    path = tmp_path / "small"
+    schema = "id string, source string, title string, updated_at bigint"
+    sinks.upsert_staging(spark.createDataFrame([(f"i{i}", f"s{i % 3}", "v1", 1) for i in range(300)], schema), str(path), buckets=8)
+    before = {f for f in path.rglob("*.parquet")}
+    sinks.upsert_staging(spark.createDataFrame([("i0", "s0", "v2", 2)], schema), str(path))
+    assert len({f.parent for f in set(path.rglob("*.parquet")) - before}) == 1
