@@ -213,3 +213,30 @@ def test_other_model_kinds_are_refused(tmp_path):
     path.write_bytes(raw + b"\x1a\x02\x20\x01")  # a second normaliser record: extra white space removed
     with pytest.raises(ValueError, match="spaces kept"):
         token_counts.PieceModel(str(path))
+
+
+def test_toxicity_learns_from_few_labels(spark):
+    """Unrelated texts share common words; telling words are still found, those of one copied text are not."""
+    from vitrine.llm import toxicity
+
+    rng = random.Random(6)
+    common = "the and are with from this that".split()
+    own = [f"w{chr(97 + i % 26)}{chr(97 + i // 26)}x" for i in range(400)]
+
+    def text(extra=()):
+        words = [rng.choice(common if rng.random() < 0.4 else own) for _ in range(40)] + list(extra)
+        rng.shuffle(words)
+        return " ".join(words)
+
+    copied = text(["copyword"])
+    rows = [(i, text(["scoundrel"] if i % 2 else ["wretch"]), 1) for i in range(0, 40)]
+    rows += [(i, copied + f" n{i}", 1) for i in range(40, 80)]
+    rows += [(i, text(), 0) for i in range(80, 400)] + [(400, None, 1), (401, "", 0), (402, "scoundrel", None), (None, "x y", 1)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int")
+    model = toxicity.train(docs, labels)
+    assert {"scoundrel", "wretch"} <= set(model.words) and "copyword" not in model.words and not set(common) & set(model.words)
+    scored = {r.doc_id: r.score for r in toxicity.score(docs, model).collect()}
+    assert min(scored[i] for i in range(40)) >= 0.3 > max(scored[i] for i in range(80, 400))
+    assert toxicity.score(docs.limit(0), model).count() == 0
+    assert toxicity.train(docs.limit(0), labels.limit(0)).words == {}

@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vitrine.functions.text import let
 from vitrine.llm.common import text_of
 from vitrine.session import landed
 
@@ -149,18 +150,34 @@ def fold(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string")) % 4
 
 
+#: forms that may be taken for telling by chance, over the whole lexicon
+BY_CHANCE = 0.05
+
+
+def _fingerprint(words: Column) -> Column:
+    """Smallest hash of three words in a row: near copies share it, texts that only share common words do not."""
+
+    def least(w: Column) -> Column:
+        windows = F.sequence(F.lit(1), F.greatest(F.size(w) - 2, F.lit(1)))
+        return F.array_min(F.transform(windows, lambda i: F.xxhash64(F.array_join(F.slice(w, i, 3), " "))))
+
+    return let(words, least)
+
+
 def _lexicon(rows: DataFrame, entries: int) -> tuple[dict[str, float], dict[str, float]]:
     """Words and word beginnings that tell toxic rows: at most ``entries`` of each.
 
-    Rows count by fingerprint (the smallest hash of their words) in 63 classes, so that copies of one text do
-    not turn its ordinary words into evidence; the class counts are small bit sets that combine before the
-    shuffle.
+    Rows count by the distinct fingerprints among them, so that copies of one text do not turn its ordinary words into
+    evidence; a form's counts are small sketches that combine before the shuffle. A form is telling when its share of
+    toxic rows is so far above that of all rows that, by Chernoff's bound and over all forms tested, fewer than
+    ``BY_CHANCE`` would be by chance. Few labels therefore give a short lexicon, and too few none; weights are smoothed log
+    ratios.
     """
-    words = F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]+"))
-    base = rows.select("toxic", words.alias("words")).withColumn(
-        "bit", F.expr("shiftleft(1L, cast(pmod(array_min(transform(words, x -> xxhash64(x))), 63) as int))")
-    )
-    forms = base.select("toxic", "bit", F.explode("words").alias("w")).where("length(w) >= 3")
+    all_words = F.filter(F.split(F.lower("text"), r"[^\p{L}]+"), lambda w: w != "")
+    base = rows.select("toxic", all_words.alias("all"))
+    base = base.select("toxic", F.array_distinct("all").alias("words"), _fingerprint(F.col("all")).alias("print"))
+    bad, good = (F.when(F.col("toxic") == label, F.col("print")) for label in (1, 0))
+    forms = base.select("toxic", "print", F.explode("words").alias("w")).where("length(w) >= 3")
     starts = F.array(*[F.when(F.length("w") > n, F.substring("w", 1, n)) for n in (4, 5, 6)])
     form = F.explode(
         F.concat(
@@ -168,21 +185,19 @@ def _lexicon(rows: DataFrame, entries: int) -> tuple[dict[str, float], dict[str,
             F.transform(starts, lambda s: F.struct(F.lit(True).alias("start"), s.alias("form"))),
         )
     )
-    bits = F.when(F.col("toxic") == 1, F.col("bit")).otherwise(0)
-    clean = F.when(F.col("toxic") == 0, F.col("bit")).otherwise(0)
-    counts = (
-        forms.select("toxic", "bit", form.alias("f"))
-        .where("f.form IS NOT NULL")
-        .groupBy("f.start", "f.form")
-        .agg(F.bit_count(F.bit_or(bits)).alias("bad"), F.bit_count(F.bit_or(clean)).alias("good"))
-        .where("bad >= 4 AND bad > 4 * good")
-    )
-
-    def estimate(c: str) -> Column:
-        return -63 * F.log(1 - F.least(F.col(c), F.lit(62)) / 63)
 
-    weight = F.log((estimate("bad") + 0.5) / (estimate("good") + 0.5))
-    scored = counts.withColumn("weight", weight).where("weight > 1.5")
+    met = [F.approx_count_distinct(c, 0.1).alias(n) for c, n in ((bad, "bad"), (good, "good"))]
+    counts = forms.select("toxic", "print", form.alias("f")).where("f.form IS NOT NULL").groupBy("f.start", "f.form").agg(*met)
+    counts = landed(counts, "forms")
+    totals = base.agg(F.count_distinct(bad).alias("bad"), F.count_distinct(good).alias("good")).first()
+    tested = counts.where("bad > 0").count()
+    if not totals["bad"] or not totals["good"] or not tested:
+        return {}, {}
+    share = totals["bad"] / (totals["bad"] + totals["good"])
+    n, part = F.col("bad") + F.col("good"), F.col("bad") / (F.col("bad") + F.col("good"))
+    apart = part * F.log(part / share) + F.when(part < 1, (1 - part) * F.log((1 - part) / (1 - share))).otherwise(0.0)
+    weight = F.log((F.col("bad") + 0.5) / (totals["bad"] + 1)) - F.log((F.col("good") + 0.5) / (totals["good"] + 1))
+    scored = counts.where((part > share) & (n * apart > math.log(tested / BY_CHANCE))).withColumn("weight", weight).where("weight > 1.5")
     out: tuple[dict[str, float], dict[str, float]] = ({}, {})
     for start in (False, True):
         top = scored.where(F.col("start") == start).orderBy(F.desc("weight"), "form").limit(entries)
@@ -196,10 +211,17 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> list[float]:
     w[0] = math.log((y.sum() + 1) / (len(y) - y.sum() + 9))
     keep = ridge * np.eye(x.shape[1])
     keep[0, 0] = 1e-3
-    for _ in range(30):
+
+    def loss(v: np.ndarray) -> float:
+        z = x @ v
+        return float((np.logaddexp(0.0, z) - y * z).sum() + 0.5 * v @ keep @ v)
+
+    for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         step = np.linalg.solve(x.T @ (x * (p * (1 - p))[:, None]) + keep, x.T @ (y - p) - keep @ w)
-        w += step
+        while loss(w + step) > loss(w) and np.abs(step).max() > 1e-9:  # a full Newton step can overshoot
+            step /= 2
+        w = w + step
         if np.abs(step).max() < 1e-6:
             break
     return w.tolist()
