@@ -51,11 +51,11 @@ def _transitions(times: np.ndarray, window_ms: int) -> tuple[np.ndarray, np.ndar
     return starts[keep], ends[keep]
 
 
-def _reachable(f: tuple[np.ndarray, np.ndarray], start_ms: int, window_ms: int) -> tuple[np.ndarray, np.ndarray]:
-    """The part of a function that windows opened before ``start_ms`` can reach."""
+def _reachable(f: tuple[np.ndarray, np.ndarray], start_ms: int, window_ms: int, latest: int = NEVER) -> tuple[np.ndarray, np.ndarray]:
+    """The part of a function that windows opened before ``start_ms``, or a window that ends at ``latest``, can reach."""
     if len(f[0]) <= 2:
         return f
-    n = int(np.searchsorted(f[0], start_ms + window_ms, side="right"))
+    n = int(np.searchsorted(f[0], max(start_ms + window_ms, latest), side="right"))
     return f[0][:n], f[1][:n]
 
 
@@ -146,11 +146,14 @@ def _running_windows(hours: DataFrame, key: str, key_type: str, window_ms: int,
     node = f"{key} {key_type}, _c bigint, _from array<bigint>, _end array<bigint>"
     first, last = hours.agg(F.min("_chunk"), F.max("_chunk")).first()
     first, width = first or 0, (last or 0) - (first or 0) + 1
+    # windows of a state may have opened inside the first hours of this log, or behind them
+    opened = None if state is None else state.agg(F.max("window_start")).first()[0]
+    latest = NEVER if opened is None else opened + window_ms
 
     def summarize(batches):
         for pdf in batches:
             found = [
-                _reachable(_transitions(np.asarray(t), window_ms), (first + c) * CHUNK_MS, window_ms) for t, c in zip(pdf["_times"], pdf["_c"])
+                _reachable(_transitions(np.asarray(t), window_ms), (first + c) * CHUNK_MS, window_ms, latest) for t, c in zip(pdf["_times"], pdf["_c"])
             ]
             yield pd.DataFrame({key: pdf[key], "_c": pdf["_c"], "_from": [f[0] for f in found], "_end": [f[1] for f in found]})
 
@@ -162,7 +165,7 @@ def _running_windows(hours: DataFrame, key: str, key_type: str, window_ms: int,
                     whole = _function(kids[0])
                     for kid in kids[1:]:
                         whole = _then(whole, _function(kid))
-                    found.append(_reachable(whole, (first + c * hours_each) * CHUNK_MS, window_ms))
+                    found.append(_reachable(whole, (first + c * hours_each) * CHUNK_MS, window_ms, latest))
                 yield pd.DataFrame({key: pdf[key], "_c": pdf["_c"], "_from": [f[0] for f in found], "_end": [f[1] for f in found]})
 
         return run
