@@ -51,15 +51,14 @@ def frequent(rows: DataFrame, key: str, tracked: int = TRACKED) -> list[str]:
 def _judged(docs: DataFrame, id_col: str, text_col: str, tracked: int) -> DataFrame:
     """Landed digests with the winner of their group: a struct (no_id, doc_id, rid) whose smallest wins."""
     rows = landed(digests(docs, id_col, text_col).withColumn("rid", F.monotonically_increasing_id()), "digests")
-    spark = rows.sparkSession
-    names = spark.createDataFrame([(h,) for h in frequent(rows, "text_sha256", tracked)], "text_sha256 string")
+    named = F.col("text_sha256").isin(frequent(rows, "text_sha256", tracked))
     me = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id"), F.col("rid"))
     group = (F.min(me).alias("first"), F.count(F.lit(1)).alias("group_size"))
-    winners = rows.join(F.broadcast(names), "text_sha256").groupBy("text_sha256").agg(*group)
+    winners = rows.where(named).groupBy("text_sha256").agg(*group)
     winners = landed(winners, "winners")  # verified: exact counts of at most ``tracked`` digests
     settled = rows.join(F.broadcast(winners), "text_sha256", "inner")
     same = Window.partitionBy("text_sha256")
-    rest = rows.join(F.broadcast(names), "text_sha256", "left_anti").select(
+    rest = rows.where(~named).select(
         "text_sha256",
         "doc_id",
         "rid",
@@ -91,8 +90,9 @@ def exact_duplicates(
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns.
 
-    Dropped rows are found again by id and digest. Rows that repeat both the id and the text of the row that
-    stays are made distinct on these two; only they are shuffled whole for that.
+    The columns travel in one struct, so none of their names can clash with a name used here. Dropped rows are
+    found again by id and digest. Rows that repeat both the id and the text of the row that stays are made
+    distinct on these two; only they are shuffled whole for that.
     """
     judged = exact_duplicates(docs, id_col, text_col)
     gone = landed(
@@ -101,14 +101,15 @@ def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
         .distinct(),
         "dropped",
     )
-    wide = docs.withColumn("_sha", F.sha2(normalised(text_col), 256))
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    wide = docs.select(row.alias("row"), F.col(id_col).alias("id"), F.sha2(normalised(text_col), 256).alias("sha"))
 
     def found(rows: DataFrame, how: str) -> DataFrame:
         rows = broadcast_if(rows, 200_000)
-        return wide.join(rows, wide[id_col].eqNullSafe(rows["doc_id"]) & (wide["_sha"] == rows["text_sha256"]), how)
+        return wide.join(rows, wide["id"].eqNullSafe(rows["doc_id"]) & (wide["sha"] == rows["text_sha256"]), how)
 
-    out = found(gone.select(F.col("doc_id"), "text_sha256"), "left_anti")
+    out = found(gone.select("doc_id", "text_sha256"), "left_anti")
     again = gone.where("again").select("doc_id", "text_sha256")
     if not again.isEmpty():
-        out = out.unionByName(found(again, "left_semi").dropDuplicates([id_col, "_sha"]))
-    return out.drop("_sha")
+        out = out.unionByName(found(again, "left_semi").dropDuplicates(["id", "sha"]))
+    return out.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vitrine.llm.common import text_of
-from vitrine.llm.spans import Span, span_column
+from vitrine.llm.spans import Cover, Span, span_column
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -132,17 +132,21 @@ def find_personal_data(text: str) -> list[Span]:
     base = detect(text)
     spans = [(k, s, e, True) for k, s, e in base]
     if not text.isascii() and _STRANGE.search(text) or _CHEAP.search(text):
+        taken = {kind: Cover((a, b) for k, a, b in base if k == kind) for kind in KINDS}
         plain, starts, ends, changed = deobfuscate(text)
         for kind, s, e in detect(plain):
             if any(changed[s:e]):
                 start, end = starts[s], ends[e - 1]
-                if not any(k == kind and a < end and start < b for k, a, b in base):
+                if not taken[kind].meets(start, end):
                     spans.append((kind, start, end, False))
     return sorted(spans, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
 
 def personal_data(docs: DataFrame, text_col: str = "text", out: str = "spans") -> DataFrame:
-    """``docs`` with a column of spans; null and empty texts have none, all other columns and rows stay."""
+    """``docs`` with a column of spans; null and empty texts have none, all other columns and rows stay.
+
+    A column that is already named ``out`` is replaced.
+    """
     return docs.withColumn(out, span_column(find_personal_data, text_of(text_col)))
 
 

@@ -5,6 +5,8 @@ counted. Lines above the limits are boilerplate and removed; a document of which
 rejected. Copies of one text count as one document, of the line and of the host: documents are told apart by a
 digest of their whole normalised text, so a group of copies does not turn its own text into boilerplate. Near
 copies differ in their texts and count one by one.
+
+The input's columns travel in one struct, so none of their names can clash with a name used here.
 """
 
 from __future__ import annotations
@@ -14,23 +16,30 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vitrine.llm.common import SPACE, broadcast_if, text_of
+from vitrine.llm.common import SPACE, text_of
 from vitrine.session import landed
 
 
 @dataclass(frozen=True)
 class QualityRules:
-    """Limits of the rules; a line is boilerplate if both line limits are reached within its host."""
+    """Limits of the rules; a line is boilerplate if both line limits are reached within its host.
+
+    The share decides on every host of ``line_docs / line_share`` distinct texts or more; on smaller ones the
+    count keeps a line that two documents happen to share.
+    """
 
     min_words: int = 50
     max_repeat_percent: int = 50
-    line_docs: int = 100
-    line_share: float = 0.01
+    line_docs: int = 3
+    line_share: float = 0.05
     left_share: float = 0.2  # of the words; with less left, a document is depleted
 
 
 RULES = QualityRules()
 
+#: hosts and lines (8 bytes each, and a row for each host) up to which the boilerplate is broadcast
+BROADCAST_LINES = 1_000_000
+
 
 def _let(value: Column, body) -> Column:
     """Evaluate ``value`` once and use it as often as needed in ``body``."""
@@ -109,7 +118,8 @@ def _duplicate_lines(text: Column) -> Column:
 
 
 def profile(docs: DataFrame, keep: list[str], text_col: str = "text", host_col: str = "source") -> DataFrame:
-    """``keep`` columns, the base counts, the lines' hashes and the text's digest, in one pass over the texts."""
+    """(row, host, q): the ``keep`` columns in one struct, the host, and the base counts, the lines' hashes and
+    the text's digest, in one pass over the texts."""
     text = text_of(text_col)
     # the array is bound by _let, so that no expression is worked out per element
     measured = _let(
@@ -126,47 +136,48 @@ def profile(docs: DataFrame, keep: list[str], text_col: str = "text", host_col:
         ),
     )
     return docs.select(
-        *keep,
-        F.col(host_col).alias("_host"),
+        F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"),
+        F.col(host_col).alias("host"),
         F.struct(
             measured.alias("m"),
             (F.length(text) - F.length(F.translate(text, "#*$%&|<>", ""))).cast("bigint").alias("n_symbols"),
             _duplicate_lines(text).alias("n_dup_lines"),
             _lines(text).alias("lines"),
             F.unhex(F.md5(_line_key(text))).alias("print"),
-        ).alias("_q"),
+        ).alias("q"),
     )
 
 
 def boilerplate(profiled: DataFrame, rules: QualityRules = RULES) -> DataFrame:
-    """(host, hashes): the lines of each host that reach both limits.
+    """(host, hashes): the lines of each host that reach both limits; both count distinct texts.
 
-    Both limits count distinct texts. On a host of more than ``line_docs / line_share`` of them the share decides,
-    below the count. A host has at most ``lines per document / line_share`` such lines, so the array is bounded.
+    A host has at most ``lines per document / line_share`` such lines, so the array does not grow with the host.
     """
-    lines = profiled.select(
-        "_host", F.col("_q.print").alias("print"), F.explode(F.array_distinct("_q.lines.h")).alias("h")
-    )
-    counts = lines.distinct().groupBy("_host", "h").agg(F.count(F.lit(1)).alias("docs"))
-    texts = profiled.select("_host", F.col("_q.print").alias("print")).distinct()
-    hosts = texts.groupBy("_host").agg(F.count(F.lit(1)).alias("host_docs"))
+    lines = profiled.select("host", F.col("q.print").alias("print"), F.explode(F.array_distinct("q.lines.h")).alias("h"))
+    counts = lines.distinct().groupBy("host", "h").agg(F.count(F.lit(1)).alias("docs"))
+    texts = profiled.select(F.col("host").alias("of"), F.col("q.print").alias("print")).distinct()
+    hosts = texts.groupBy("of").agg(F.count(F.lit(1)).alias("host_docs"))
     common = counts.where(F.col("docs") >= rules.line_docs)
-    kept = common.join(hosts, common["_host"].eqNullSafe(hosts["_host"])).where(
+    kept = common.join(hosts, F.col("host").eqNullSafe(F.col("of"))).where(
         F.col("docs") >= F.lit(rules.line_share) * F.col("host_docs")
     )
-    return kept.groupBy(common["_host"].alias("host")).agg(F.collect_list("h").alias("hashes"))
+    return kept.groupBy("host").agg(F.collect_list("h").alias("hashes"))
 
 
 def judged(profiled: DataFrame, rules: QualityRules = RULES) -> DataFrame:
-    """A landed profile with the base verdict, the words left without boilerplate, and the verdict."""
-    common = broadcast_if(landed(boilerplate(profiled, rules), "boilerplate"), 100_000)
-    m = F.col("_q.m")
-    both = profiled.join(common, F.col("_host").eqNullSafe(F.col("host")), "left").withColumn(
-        "hashes", F.coalesce("hashes", F.array().cast("array<bigint>"))
+    """A landed profile with ``hashes`` and ``verdict``: base_failed, words_left without boilerplate, kept."""
+    found = landed(boilerplate(profiled, rules), "boilerplate")
+    size = found.agg(F.count(F.lit(1)) + F.coalesce(F.sum(F.size("hashes")), F.lit(0))).first()[0]
+    common = found.withColumnRenamed("host", "of")
+    if size <= BROADCAST_LINES:
+        common = F.broadcast(common)
+    both = profiled.join(common, F.col("host").eqNullSafe(F.col("of")), "left").select(
+        "row", "q", F.coalesce("hashes", F.array().cast("array<bigint>")).alias("hashes")
     )
+    m = F.col("q.m")
     gone = F.when(F.size("hashes") == 0, F.lit(0).cast("bigint")).otherwise(
         F.aggregate(
-            F.col("_q.lines"),
+            F.col("q.lines"),
             F.lit(0).cast("bigint"),
             lambda a, x: a + F.when(F.array_contains(F.col("hashes"), x["h"]), x["w"]).otherwise(0),
         )
@@ -174,11 +185,10 @@ def judged(profiled: DataFrame, rules: QualityRules = RULES) -> DataFrame:
     failed = (m["n_words"] < rules.min_words) | (
         100 * m["windows"]["n_repeat_words"] > rules.max_repeat_percent * m["n_words"]
     )
-    return both.withColumns(
-        {"words_left": m["n_words"] - gone, "base_failed": failed}
-    ).withColumn(
-        "kept", ~F.col("base_failed") & (F.col("words_left") >= F.lit(rules.left_share) * m["n_words"])
-    )
+    left = both.withColumns({"words_left": m["n_words"] - gone, "base_failed": failed})
+    kept = ~F.col("base_failed") & (F.col("words_left") >= F.lit(rules.left_share) * m["n_words"])
+    verdict = F.struct("base_failed", "words_left", kept.alias("kept"))
+    return left.select("row", "q", "hashes", verdict.alias("verdict"))
 
 
 def quality_report(
@@ -196,33 +206,30 @@ def quality_report(
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_t"), F.col(host_col).alias("_h"))
     done = judged(landed(profile(rows, ["doc_id"], "_t", "_h"), "profile"), rules)
     return done.select(
-        "doc_id",
-        "_q.m.n_words",
-        "_q.m.word_chars",
-        "_q.n_symbols",
-        "_q.n_dup_lines",
-        "_q.m.windows.n_repeat_words",
-        "base_failed",
-        "kept",
-        "words_left",
+        "row.doc_id",
+        "q.m.n_words",
+        "q.m.word_chars",
+        "q.n_symbols",
+        "q.n_dup_lines",
+        "q.m.windows.n_repeat_words",
+        "verdict.base_failed",
+        "verdict.kept",
+        "verdict.words_left",
     )
 
 
 def clean_documents(docs: DataFrame, rules: QualityRules = RULES) -> DataFrame:
     """The documents that pass, without the lines above the limits; ``n_chars`` is counted anew.
 
-    All columns of ``docs`` stay (names that start with ``_q`` and ``_host`` are used inside). Lines are
-    removed from kept documents only; a text without such lines is left byte for byte.
+    All columns of ``docs`` stay as they are, whatever their names. Lines are removed from kept documents only;
+    a text without such lines is left byte for byte. Null texts go, as they fail the base rules.
     """
-    done = judged(landed(profile(docs, list(docs.columns)), "profile"), rules).where("kept")
+    done = judged(landed(profile(docs, list(docs.columns)), "profile"), rules).where("verdict.kept")
+    text = F.col("row.text")
     left = F.array_join(
-        F.filter(
-            F.split("text", "\n"), lambda x: ~F.array_contains(F.col("hashes"), F.xxhash64(_line_key(x)))
-        ),
+        F.filter(F.split(text, "\n"), lambda x: ~F.array_contains(F.col("hashes"), F.xxhash64(_line_key(x)))),
         "\n",
     )
-    text = F.when(F.col("words_left") < F.col("_q.m.n_words"), left).otherwise(F.col("text"))
-    done = done.withColumn("text", text)
-    if "n_chars" in docs.columns:
-        done = done.withColumn("n_chars", F.length("text").cast("bigint"))
-    return done.select(*docs.columns)
+    done = done.withColumn("fresh", F.when(F.col("verdict.words_left") < F.col("q.m.n_words"), left).otherwise(text))
+    fresh = {"text": F.col("fresh"), "n_chars": F.length("fresh").cast("bigint")}
+    return done.select(*[fresh.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])

@@ -73,7 +73,47 @@ def op9_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _span_result(pii.personal_data(table(spark, sf_dir, "documents").select("doc_id", "text")), pii.KINDS)
 
 
-@query()
+@query(r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS t FROM documents
+), words AS (
+  SELECT r, unnest(ws) AS word, generate_subscripts(ws, 1) AS i
+  FROM (SELECT r, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws FROM docs)
+), sizes AS (
+  SELECT r, count(*) AS n_words, CAST(sum(length(word)) AS BIGINT) AS word_chars FROM words GROUP BY r
+), windows AS (
+  SELECT r, i, word || ' ' || lead(word) OVER w || ' ' || lead(word, 2) OVER w AS three
+  FROM words WINDOW w AS (PARTITION BY r ORDER BY i)
+), again AS (
+  SELECT r, i FROM windows WHERE three IS NOT NULL QUALIFY count(*) OVER (PARTITION BY r, three) > 1
+), repeats AS (
+  SELECT r, count(DISTINCT i + d) AS n FROM again, (VALUES (0), (1), (2)) v(d) GROUP BY r
+), lines AS (
+  SELECT r, source, line, lower(trim(regexp_replace(line, '[\x20\x09-\x0D]+', ' ', 'g'))) AS k
+  FROM (SELECT r, source, unnest(string_split(t, chr(10))) AS line FROM docs)
+  WHERE regexp_matches(line, '[^\x20\x09-\x0D]')
+), prints AS (
+  SELECT r, source, md5(lower(trim(regexp_replace(t, '[\x20\x09-\x0D]+', ' ', 'g')))) AS p FROM docs
+), hosts AS (
+  SELECT source, count(DISTINCT p) AS n FROM prints GROUP BY source
+), common AS (
+  SELECT l.source, k FROM lines l JOIN prints USING (r) JOIN hosts h ON l.source IS NOT DISTINCT FROM h.source
+  GROUP BY l.source, k, h.n HAVING count(DISTINCT p) >= 3 AND count(DISTINCT p) >= 0.05 * h.n
+), gone AS (
+  SELECT r, sum(len(string_split(l.k, ' '))) AS n
+  FROM lines l JOIN common c ON l.k = c.k AND l.source IS NOT DISTINCT FROM c.source GROUP BY r
+), dups AS (
+  SELECT r, count(*) - count(DISTINCT line) AS n FROM lines GROUP BY r
+), counted AS (
+  SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(word_chars, 0) AS word_chars,
+         length(t) - length(translate(t, '#*$%&|<>', '')) AS n_symbols, coalesce(d.n, 0) AS n_dup_lines,
+         coalesce(a.n, 0) AS n_repeat_words, coalesce(n_words, 0) - CAST(coalesce(g.n, 0) AS BIGINT) AS words_left
+  FROM docs LEFT JOIN sizes USING (r) LEFT JOIN repeats a USING (r) LEFT JOIN gone g USING (r) LEFT JOIN dups d USING (r)
+)
+SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+       NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND words_left >= 0.2 * n_words AS kept
+FROM counted
+""")
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_report(table(spark, sf_dir, "documents"))
 

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vitrine.llm.common import text_of
-from vitrine.llm.spans import Span, span_column
+from vitrine.llm.spans import Cover, Span, span_column
 
 KINDS = ("assign", "access", "hex", "guess")
 
@@ -51,48 +51,100 @@ _LONGEST = 24
 LEARNED = 20_000  # words learned from a corpus; beyond, a word saves few bits against brute force
 
 
-def guess_bits(value: str, words: Sequence[str] = COMMON) -> float:
-    """Bits of the cheapest segmentation; linear in the length of the value."""
-    rank = {w: i for i, w in reversed(list(enumerate(words, 1)))}
-    return _guess_bits(value, rank)
+class _Run:
+    """Cheapest span of at least ``shortest`` inside an open run: cost where it starts, ``fixed``, ``gain`` of its length.
+
+    ``gain`` is concave: of two starts, once the earlier one is cheaper it stays cheaper, so the later one is
+    forgotten; where the earlier one also began dearer it never comes back. Few starts are left at any time,
+    however long the run. A start enters when its shortest span ends, so none is weighed that the run cuts off.
+    """
 
+    def __init__(self, fixed: float, shortest: int, gain):
+        self.fixed, self.shortest, self.gain = fixed, shortest, gain
+        self.starts: list[tuple[int, float]] = []
+
+    def cheapest(self, j: int, since: int, best: list[float]) -> float:
+        """Cost of the best span from ``since`` or later to ``j``."""
+        first = j - self.shortest
+        if first < since:
+            self.starts = []
+            return math.inf
+        if self.starts and self.starts[0][0] < since:
+            self.starts = []
+        low, kept = math.inf, []
+        for start, cost in (*self.starts, (first, best[first])):
+            here = cost + self.gain(j - start)
+            if here < low:
+                low = here
+                while kept and kept[-1][1] >= cost:
+                    kept.pop()
+                kept.append((start, cost))
+        self.starts = kept
+        return low + self.fixed
+
+    def least(self) -> float:
+        return min((c for _, c in self.starts), default=math.inf)
+
+
+def _ranks(words: Sequence[str]) -> dict[str, int]:
+    return {w: i for i, w in reversed(list(enumerate(words, 1)))}
 
 
+def guess_bits(value: str, words: Sequence[str] = COMMON) -> float:
+    """Bits of the cheapest segmentation. Each position looks at the words that begin there and at the few
+    useful starts of the runs it is in, so the time grows with the length of the value, not with its square."""
+    return _guess_bits(value, _ranks(words))
+
 
-def _guess_bits(value: str, rank: dict[str, int]) -> float:
-    low = value.lower()
+def _guess_bits(value: str, rank: dict[str, int], enough: float = math.inf) -> float:
+    """Ends early, with ``enough``, once no segmentation can cost less than that."""
+    low = "".join(c.lower() if len(c.lower()) == 1 else c for c in value)
     leet = low.translate(_LEET)
     alphabet = 26 * any(c.islower() for c in value) + 26 * any(c.isupper() for c in value)
     alphabet += 10 * any(c.isdigit() for c in value) + 33 * any(not c.isalnum() for c in value)
     brute = math.log2(max(alphabet, 10))
     n = len(value)
     best = [0.0] + [math.inf] * n
+    same = _Run(brute + 1, 3, math.log2)
+    walk = _Run(math.log2(47) + 1, 3, lambda k: 2 * math.log2(k))
+    # a block of 2, 3 or 4 characters said again and again; one run for each place in the block
+    blocks = [(w, [_Run(w * brute + 1, 2 * w, lambda k, w=w: math.log2(k // w)) for _ in range(w)]) for w in (2, 3, 4)]
+    same_since = walk_since = 0
+    block_since = {w: 0 for w, _ in blocks}
+    forms = ((low, 0.0), (leet, 2.0)) if leet != low else ((low, 0.0),)
     for i in range(n):
         here = best[i]
-        best[i + 1] = min(best[i + 1], here + brute)
-        for j in range(i + 3, min(n, i + _LONGEST) + 1):
-            for form, extra in ((low, 0.0), (leet, 2.0)):
-                if form[i:j] in rank:
+        # the spans that begin here: words and dates, whose length is bounded
+        for form, extra in forms:
+            for j in range(i + 3, min(n, i + _LONGEST) + 1):
+                r = rank.get(form[i:j])
+                if r is not None:
                     case = 0.0 if value[i:j].islower() else 2.0
-                    best[j] = min(best[j], here + math.log2(rank[form[i:j]] + 1) + extra + case + 1)
-        for m in (_DATE.match(value, i),):
-            if m:
-                best[m.end()] = min(best[m.end()], here + math.log2(366 * 120) * min(1, (m.end() - i) / 8) + 1)
-        j = i + 1
-        while j < n and low[j] == low[i]:
-            j += 1
-            if j - i >= 3:
-                best[j] = min(best[j], here + brute + math.log2(j - i) + 1)
+                    best[j] = min(best[j], here + math.log2(r + 1) + extra + case + 1)
+        m = _DATE.match(value, i)
+        if m:
+            best[m.end()] = min(best[m.end()], here + math.log2(366 * 120) * min(1, (m.end() - i) / 8) + 1)
+        # the runs that character i continues or breaks
         j = i + 1
-        while j < n and low[j - 1 : j + 1] in _NEAR:
-            j += 1
-            if j - i >= 3:
-                best[j] = min(best[j], here + math.log2(47) + 2 * math.log2(j - i) + 1)
-        for width in (2, 3, 4):  # a block said again and again
-            block, j = low[i : i + width], i + width
-            while len(block) == width and low[j : j + width] == block:
-                j += width
-                best[j] = min(best[j], here + width * brute + math.log2((j - i) // width) + 1)
+        if i and low[i] != low[i - 1]:
+            same_since = i
+        if i and low[i - 1 : j] not in _NEAR:
+            walk_since = i
+        cost = min(best[j], here + brute)
+        if j - same_since >= 3:
+            cost = min(cost, same.cheapest(j, same_since, best))
+        if j - walk_since >= 3:
+            cost = min(cost, walk.cheapest(j, walk_since, best))
+        for width, runs in blocks:
+            if i >= width and low[i] != low[i - width]:
+                block_since[width] = j - width
+            elif j - block_since[width] >= 2 * width:
+                cost = min(cost, runs[j % width].cheapest(j, block_since[width], best))
+        best[j] = cost
+        # a span over this place starts among the last characters or at an open start
+        if cost >= enough and j % 16 == 0 and min(best[max(0, j - _LONGEST) : j]) >= enough:
+            if all(r.least() >= enough for r in (same, walk, *(r for _, runs in blocks for r in runs))):
+                return enough
     return best[n]
 
 
@@ -107,17 +159,18 @@ def _base(text: str) -> list[tuple[str, int, int]]:
 
 def secret_finder(min_bits: float = 45.0, words: Sequence[str] = COMMON):
     """A function from a text to its spans by start, then kind as listed."""
-    rank = {w: i for i, w in reversed(list(enumerate(words, 1)))}
+    rank = _ranks(words)
 
     def find(text: str) -> list[Span]:
         base = _base(text)
+        taken = Cover((a, b) for _, a, b in base)
         spans = [(k, s, e, True) for k, s, e in base]
         for m in _CONTEXT.finditer(text):
             value = m[2] if m[1] else m[2].rstrip(".,;:!?)]}")
             start, end = m.start(2), m.start(2) + len(value)
-            if len(value) < 8 or any(a < end and start < b for _, a, b in base):
+            if len(value) < 8 or taken.meets(start, end):
                 continue
-            if _guess_bits(value, rank) >= min_bits:
+            if _guess_bits(value, rank, min_bits) >= min_bits:
                 spans.append(("guess", start, end, False))
         return sorted(spans, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
@@ -146,7 +199,7 @@ def secrets(
 ) -> DataFrame:
     """``docs`` with a column of spans; null and empty texts have none, all other columns and rows stay.
 
-    ``words`` is the dictionary, most common first; without it, COMMON and the frequent words of ``docs``.
+    A column that is already named ``out`` is replaced. ``words`` is the dictionary, most common first; without it, COMMON and the frequent words of ``docs``.
     """
     if words is None:
         words = list(dict.fromkeys([*COMMON, *frequent_words(docs, text_col)]))

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from bisect import bisect_right
+from collections.abc import Callable, Iterable
 
 import pyarrow as pa
 from pyspark.sql import Column
@@ -16,6 +17,24 @@ _TYPE = pa.list_(
 )
 
 
+class Cover:
+    """Which characters a set of spans covers, as disjoint stretches that are searched by halving."""
+
+    def __init__(self, spans: Iterable[tuple[int, int]]):
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+        for start, end in sorted(spans):
+            if self.ends and start < self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], end)
+            else:
+                self.starts.append(start)
+                self.ends.append(end)
+
+    def meets(self, start: int, end: int) -> bool:
+        k = bisect_right(self.ends, start)
+        return k < len(self.ends) and self.starts[k] < end
+
+
 def span_column(find: Callable[[str], list[Span]], text: Column) -> Column:
     """The spans ``find`` gives for each text, worked out on Arrow batches."""
 
