@@ -132,7 +132,7 @@ def test_long_values_take_linear_time():
             found = find("passphrase: " + value)
             spent.append(time.process_time() - start)
         assert spent[1] < 8 * spent[0] + 0.5, (block, spent)  # square growth would be sixteen times
-        assert all(s[:3] == ("guess", 12, 12 + size) for s in found)
+        assert all(s[1:3] == (12, 12 + size) for s in found)  # one span of the whole value, if any
     many = "a.b@c.de jane (at) example (dot) org " * 4000
     start = time.process_time()
     assert len(pii.find_personal_data(many)) == 8000
