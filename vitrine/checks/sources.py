@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from vitrine.checks import query
+from vitrine.checks import ORACLES, QUERIES, query
 from vitrine.checks.scalars import FORMS, IMAGE_ROWS
 from vitrine.checks.views import items_part, table, with_items
 from vitrine.operators import aggregates as A
@@ -13,6 +13,7 @@ from vitrine.plans import build as B
 from vitrine.schema import conform
 from vitrine.session import scratch_path, shuffle_width
 from vitrine.sources import aggregators as G, museums as M, readers as R, sinks as K
+from vitrine.sources.mapping import SITE_FIELDS
 
 
 def raw(spark, sf, name: str, json_sql: str, schema: str) -> DataFrame:
@@ -125,13 +126,13 @@ MET_BASE["year_end"] = "CASE WHEN p_size % 2 <> 0 THEN 1705 + p_size WHEN p_size
     "text": "p_brand || ' | Paintings | ' || CASE WHEN p_partkey % 3 = 0 THEN 'Sea Sky' ELSE 'Men Boats' END",
     "files": "'jpg=Original' || repeat(';jpg=Additional view', CAST(least(p_size % 12, 8) AS INT))",
 }, "FROM part WHERE p_partkey % 4 <> 3 AND p_partkey % 7 <> 0"))
-def map_met(spark, sf):
+def map_met(spark, sf, limits=SITE_FIELDS):
     objects = raw(spark, sf, "part", """named_struct('objectID', p_partkey, 'primaryImage', CASE WHEN p_partkey % 7 <> 0 THEN concat('https://i.example.org/big', p_partkey) ELSE '' END,
       'primaryImageSmall', CASE WHEN p_partkey % 7 <> 0 AND p_partkey % 5 <> 0 THEN concat('https://i.example.org/small', p_partkey) ELSE '' END,
       'additionalImages', transform(slice(sequence(1, 12), 1, p_size % 12), i -> concat('https://i.example.org/v', i)),
       'artistDisplayName', CASE WHEN p_partkey % 2 = 0 THEN 'API Artist' END,
       'tags', CASE WHEN p_partkey % 3 = 0 THEN array(named_struct('term', 'Sea'), named_struct('term', 'Sky')) END)""", M.MET_OBJECT)
-    return shown(M.met_items(met_csv(spark, sf), objects))
+    return shown(M.met_items(met_csv(spark, sf), objects, limits))
 
 
 @query("q_map_metwiki", expect({
@@ -151,7 +152,7 @@ def map_metwiki(spark, sf):
         F.concat(F.lit("http://commons.wikimedia.org/wiki/Special:FilePath/Pic%20"), k.cast("string"), F.lit("%2B"), name).alias("image"),
     )
     crawled = part.filter("p_partkey % 5 = 1").select(k.alias("met_id"))
-    return shown(M.metwiki_items(pairs, met_csv(spark, sf), crawled))
+    return shown(M.metwiki_items(pairs, met_csv(spark, sf), crawled, SITE_FIELDS))
 
 
 @query("q_pending_crawl", "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'F')")
@@ -208,7 +209,7 @@ def map_cma(spark, sf):
       'creators', array(named_struct('description', concat(p_brand, ' (Dutch)'), 'name', 'x'), named_struct('description', '', 'name', concat('Maker ', p_size))),
       'culture', array('Holland', 'holland', p_type), 'creation_date', concat('c. ', 1600 + p_size), 'creation_date_earliest', CASE WHEN p_partkey % 2 = 0 THEN 1600 + p_size END,
       'creation_date_latest', CASE WHEN p_partkey % 2 = 0 THEN 1610 + p_size END, 'technique', 'oil &amp; wax', 'type', p_type, 'department', 'Dept', 'tombstone', p_brand, 'artists_tags', array('a', 'b'))""", M.CMA.schema)
-    return shown(M.CMA.apply(rows))
+    return shown(M.CMA.apply(rows, limits=SITE_FIELDS))
 
 
 @query("q_map_aic", expect({
@@ -236,7 +237,7 @@ def map_aic(spark, sf):
     "boost": "CASE WHEN p_partkey % 6 = 0 THEN 1 ELSE 0 END",
     "files": "CASE WHEN p_partkey % 6 = 0 THEN 'obj=Low · Model;stl=;glb=' ELSE 'jpg=Full size JPEG;tif=High-resolution TIFF' END",
 }, "FROM part WHERE p_partkey % 5 <> 0 AND p_partkey % 7 <> 0 AND p_partkey % 11 <> 0"))
-def map_si(spark, sf):
+def map_si(spark, sf, limits=SITE_FIELDS):
     rows = raw_json(spark, sf, "part", """{"type": "$type", "title": "$title", "unit_name": "Postal Museum", "content": {
       "descriptiveNonRepeating": {"metadata_usage": {"access": "$access"}, "record_ID": "e$k", "guid": "http://n2t.net/ark:/$k", "data_source": "DS", "online_media": {"media": [
         {"type": "Images", "idsId": "closed", "usage": {"access": "Restricted"}},
@@ -251,7 +252,7 @@ def map_si(spark, sf):
          "ids": "CASE WHEN p_partkey % 11 = 0 THEN '' ELSE concat('ID-', p_partkey) END", "model": "CASE WHEN p_partkey % 6 = 0 AND p_partkey % 11 <> 0 THEN '3d_voyager' ELSE 'none' END",
          "texts": """concat(CASE WHEN p_size % 3 <> 0 THEN concat('"date": [{"content": "about ', 1850 + p_size, '"}], ') ELSE '' END, CASE WHEN p_size % 2 = 0 THEN '"place": [{"content": "Ohio"}], "objectType": [{"content": "Medal"}], ' ELSE '' END)""",
          "brand": "p_brand", "kind": "p_type", "k": "p_partkey"}, M.SI.schema)
-    return shown(M.SI.apply(rows))
+    return shown(M.SI.apply(rows, limits=limits))
 
 
 DUTCH = {"prent": "print", "schilderij": "painting", "stoel": "chair", "foto's": "photographs", "papier": "paper", "ring": "ring jewel", "rood": "red"}
@@ -291,7 +292,7 @@ RIJKS_ID = "CASE WHEN p_size % 2 = 0 THEN 'SK-A-' || p_partkey ELSE 'https://id.
     "text": "CASE WHEN p_name LIKE '% ring' THEN 'ring jewel ' ELSE '' END || 'print paper chair photographs | zee | Een stoel, foto''s'",
 }, "FROM part WHERE p_partkey % 9 <> 0 AND p_partkey % 5 <> 0"))
 def map_rijks(spark, sf):
-    return shown(M.rijks_items(oai_pages(spark, sf), DUTCH))
+    return shown(M.rijks_items(oai_pages(spark, sf), DUTCH, SITE_FIELDS))
 
 
 @query("q_map_harvard", expect({
@@ -308,7 +309,7 @@ def map_harvard(spark, sf):
       "imagepermissionlevel": $level, "worktypes": [{"worktype": "drawing"}, {"worktype": "$small"}], "places": [{"displayname": "Rome"}]}""",
         {"title": "p_name", "role": "CASE WHEN p_size % 2 = 0 THEN 'Painter' ELSE 'Donor' END", "size": "p_size", "from": "CASE WHEN p_partkey % 2 = 0 THEN 1600 + p_size ELSE 0 END", "to": "CASE WHEN p_partkey % 2 = 0 THEN 1610 + p_size ELSE 0 END",
          "kind": "p_type", "level": "CASE WHEN p_partkey % 5 = 0 THEN 1 ELSE 0 END", "small": "lower(p_type)", "k": "p_partkey"}, M.HARVARD.schema)
-    return shown(M.HARVARD.apply(rows))
+    return shown(M.HARVARD.apply(rows, limits=SITE_FIELDS))
 
 
 @query("q_map_smk", expect({
@@ -325,7 +326,7 @@ def map_smk(spark, sf):
       'titles', array(named_struct('title', concat('Portræt af ', p_name))), 'production_date', array(named_struct('start', '1850-01-01T00:00:00Z', 'end', '1855-12-31T00:00:00Z', 'period', '1850-1855')),
       'production', array(named_struct('creator', 'Ubekendt kunstner'), named_struct('creator', concat('Maker ', p_size))), 'object_names', array(named_struct('name', 'Maleri'), named_struct('name', p_type)),
       'techniques', array('Olie'), 'materials', array('Lærred'), 'rights', CASE WHEN p_size % 2 = 0 THEN 'https://creativecommons.org/publicdomain/zero/1.0/' ELSE 'https://creativecommons.org/share-your-work/public-domain/pdm' END)""", M.SMK.schema)
-    return shown(M.SMK.apply(rows))
+    return shown(M.SMK.apply(rows, limits=SITE_FIELDS))
 
 
 @query("q_map_europeana", expect({
@@ -338,13 +339,13 @@ def map_smk(spark, sf):
     "image_url": "'https://i.example.org/a b?n=' || p_partkey", "original_url": "'https://i.example.org/a b?n=' || p_partkey",
     "source_url": "'https://www.europeana.eu/en/item/9/' || p_partkey", "text": "'art | Library ' || p_brand || ' | About ' || p_name",
 }, "FROM part WHERE p_partkey % 5 <> 4 AND p_partkey % 7 <> 0 AND p_partkey % 11 <> 0"))
-def map_europeana(spark, sf):
+def map_europeana(spark, sf, limits=SITE_FIELDS):
     rows = raw(spark, sf, "part", """named_struct('id', concat('/9/', p_partkey), 'theme', 'art', 'rights', array(concat('http://creativecommons.org/', CASE p_partkey % 5 WHEN 0 THEN 'publicdomain/mark/1.0/' WHEN 1 THEN 'publicdomain/zero/1.0/' WHEN 2 THEN 'licenses/by/4.0/' WHEN 3 THEN 'licenses/by-sa/4.0/' ELSE 'licenses/by-nc/4.0/' END)),
       'edmIsShownBy', array(concat(CASE WHEN p_partkey % 7 = 0 THEN 'ftp' ELSE 'https' END, '://i.example.org/a b?n=', p_partkey)), 'title', array(CASE WHEN p_partkey % 11 = 0 THEN '[Zonder titel]' ELSE p_name END),
       'dcTitleLangAware', CASE WHEN p_size % 2 = 0 AND p_partkey % 11 <> 0 THEN named_struct('en', array(concat('English ', p_name))) END, 'dcCreator', array('Maker A', 'maker a', 'Maker B', 'Maker C'),
       'year', CASE p_size % 3 WHEN 0 THEN array('x', '3000') WHEN 1 THEN array(CAST(1700 + p_size AS STRING)) ELSE array(CAST(1710 + p_size AS STRING), CAST(1700 + p_size AS STRING)) END,
       'dataProvider', array(concat('Library ', p_brand)), 'country', array('Italy', 'Spain', 'France'), 'dcDescription', array(concat('About ', p_name)))""", G.EUROPEANA.schema)
-    return shown(G.EUROPEANA.apply(rows))
+    return shown(G.EUROPEANA.apply(rows, limits=limits))
 
 
 # "from page 11 ... (1838)" reads as 1838 and later; page numbers of three or four digits pass for years
@@ -367,7 +368,7 @@ def map_flickr(spark, sf):
       'title', CASE WHEN p_size % 2 = 0 THEN concat('Image from page ', p_partkey, ' of "', p_name, '" (', 1800 + p_size, ')') ELSE p_name END,
       'license', CASE p_partkey % 5 WHEN 0 THEN '7' WHEN 1 THEN '9' WHEN 2 THEN '10' ELSE '4' END, 'url_m', concat('https://live.staticflickr.com/', p_partkey, '.jpg'), 'url_l', CASE WHEN p_size % 4 = 0 THEN concat('https://live.staticflickr.com/', p_partkey, '_b.jpg') END,
       'datetaken', CASE WHEN p_size % 3 = 0 THEN '0000-00-00' ELSE '1900-01-01 00:00:00' END, 'description', named_struct('_content', '<p>about it</p>'))""", G.FLICKR.schema)
-    return shown(G.FLICKR.apply(rows))
+    return shown(G.FLICKR.apply(rows, limits=SITE_FIELDS))
 
 
 @query("q_map_wellcome", expect({
@@ -377,14 +378,14 @@ def map_flickr(spark, sf):
     **{c: f"'https://iiif.wellcomecollection.org/thumbs/V' || p_partkey || '/full/!{w}/0/default.jpg'" for c, w in (("thumb_url", "600,600"), ("image_url", "1024,1024"), ("original_url", "1024,1024"))},
     "source_url": "'https://wellcomecollection.org/works/w' || p_partkey", "text": "'s1 s2 s3 s4 s5 s6 s7 s8 | physical'",
 }, "FROM part WHERE p_partkey % 4 < 3 AND p_partkey % 5 <> 0 AND p_partkey % 7 <> 0"))
-def map_wellcome(spark, sf):
+def map_wellcome(spark, sf, limits=SITE_FIELDS):
     rows = raw(spark, sf, "part", """named_struct('id', concat('w', p_partkey), 'type', CASE WHEN p_partkey % 5 = 0 THEN 'Concept' ELSE 'Work' END, 'title', p_name, 'physicalDescription', 'physical',
       'items', array(named_struct('locations', array(named_struct('locationType', named_struct('id', 'closed-stores'), 'url', 'https://no.example.org', 'license', named_struct('id', 'pdm')))),
         named_struct('locations', array(named_struct('locationType', named_struct('id', 'iiif-image'), 'url', concat('https://iiif.wellcomecollection.org/image/V', p_partkey, CASE WHEN p_partkey % 7 = 0 THEN '' ELSE '/info.json' END), 'license', named_struct('id', CASE p_partkey % 4 WHEN 0 THEN 'pdm' WHEN 1 THEN 'cc0' WHEN 2 THEN 'cc-by' ELSE 'inc' END)),
           named_struct('locationType', named_struct('id', 'iiif-image'), 'url', 'https://iiif.wellcomecollection.org/image/Z/info.json', 'license', named_struct('id', 'pdm'))))),
       'production', array(named_struct('dates', array(named_struct('label', '17th century')), 'places', array(named_struct('label', 'London'))), named_struct('dates', array(named_struct('label', '1999')), 'places', array(named_struct('label', 'Paris')))),
       'contributors', array(named_struct('agent', named_struct('label', p_brand))), 'subjects', transform(sequence(1, 10), i -> named_struct('label', concat('s', i))), 'genres', array(named_struct('label', 'Etching'), named_struct('label', 'Print'), named_struct('label', 'Third')), 'workType', named_struct('label', 'Pictures'))""", G.WELLCOME.schema)
-    return shown(G.WELLCOME.apply(rows))
+    return shown(G.WELLCOME.apply(rows, limits=limits))
 
 
 @query("q_map_nypl", expect({
@@ -395,7 +396,7 @@ def map_wellcome(spark, sf):
 def map_nypl(spark, sf):
     rows = raw(spark, sf, "part", """named_struct('uuid', concat('u', p_partkey), 'title', concat(p_name, ', ', 1850 + p_size), 'imageID', CASE WHEN p_partkey % 5 <> 0 THEN CAST(p_partkey AS STRING) END,
       'typeOfResource', CASE WHEN p_partkey % 7 = 0 THEN 'text' WHEN p_partkey % 3 = 0 THEN 'still image' END, 'itemLink', CASE WHEN p_size % 2 = 0 THEN 'https://link.example.org' END)""", G.NYPL.schema)
-    return shown(G.NYPL.apply(rows))
+    return shown(G.NYPL.apply(rows, limits=SITE_FIELDS))
 
 
 @query("q_map_nasa3d", expect({
@@ -410,7 +411,7 @@ def map_nasa3d(spark, sf):
       'featured_image_url', 'https://p.example.org/x.jpg?w=9', 'content', named_struct('rendered', CASE WHEN p_partkey % 5 = 0 THEN '<p>none</p>' ELSE concat('<a href="https://assets.science.nasa.gov/content/dam/x/b.glb?emrc=1">b</a>',
         '<img src="https://assets.science.nasa.gov/content/dam/resources/image/c.stl">', '<a href="https://assets.science.nasa.gov/content/dam/x/a', p_partkey, '.stl">a</a><a href="https://assets.science.nasa.gov/content/dam/x/a', p_partkey, '.stl?v=2">again</a>',
         '<a href="https://assets.science.nasa.gov/content/dam/x/page.html">p</a>', CASE WHEN p_size % 2 = 0 THEN '<a href="https://assets.science.nasa.gov/content/dam/x/model%20fbx.zip">z</a>' ELSE '' END) END))""", G.NASA3D.schema)
-    return shown(G.NASA3D.apply(rows))
+    return shown(G.NASA3D.apply(rows, limits=SITE_FIELDS))
 
 
 @query("q_html_links", r"""
@@ -438,7 +439,7 @@ def html_links(spark, sf):
     "id": "'nih3d:3DPX-' || p_partkey", "title": "'old'", "object_type": "p_type", "medium": "'STL'", **CC0, "content_type": "'3d'",
     "source_url": "'https://3d.nih.gov/entries/3DPX-' || p_partkey", "text": "'science medicine anatomy 3D model | ' || p_type || ' | heart k2'", "files": "'stl=old.stl'",
 }, "FROM part WHERE p_partkey % 4 = 3"))
-def map_nih3d(spark, sf):
+def map_nih3d(spark, sf, limits=SITE_FIELDS):
     rows = raw_json(spark, sf, "part", """{"entryId": "e", "threedpxId": "3DPX-$k", "category": "$kind", "keywords": ["Heart", " heart ", "K2"], "submissions": [
       {"submissionId": "s1", "submissionStatus": "Published", "version": 1, "metadata": {"license": "CC0", "title": "old"}, "workflowRuns": [{"prefectRunId": "r", "outputFiles": [{"fileId": "f", "fileFormat": "stl", "name": "old.stl"}]}]},
       {"submissionId": "s3", "submissionStatus": "Draft", "version": 9, "metadata": {"license": "CC0", "title": "draft"}},
@@ -449,7 +450,26 @@ def map_nih3d(spark, sf):
          "files": """array_join(transform(sequence(0, 9), i -> concat('{"fileId": "f', i, '", "fileFormat": "', CASE WHEN i = 0 THEN 'STL' ELSE 'glb' END, '", "name": "m', i, CASE WHEN i = 0 THEN '.stl' ELSE '.glb' END, '"}')), ', ')""",
          "k": "p_partkey"}, G.NIH3D.schema)
     # where the newest license is not open the first version is used instead
-    return shown(G.NIH3D.apply(rows))
+    return shown(G.NIH3D.apply(rows, limits=limits))
+
+
+# without limits --------------------------------------------------------------
+
+
+def _whole(name: str, *changes: tuple[str, str]) -> None:
+    """The query without limits; in its SQL, the values that the preset leaves out come back."""
+    sql, limited = ORACLES[name], QUERIES[name]
+    for short, full in changes:
+        assert short in sql, (name, short)
+        sql = sql.replace(short, full)
+    query(f"{name}_whole", sql)(lambda spark, sf: limited(spark, sf, limits=None))
+
+
+_whole("q_map_met", ("least(p_size % 12, 8)", "p_size % 12"))
+_whole("q_map_si", ("note one | note two", "note one | note two | three"))
+_whole("q_map_europeana", ("Maker A; Maker B", "Maker A; Maker B; Maker C"), ("Italy; Spain", "Italy; Spain; France"))
+_whole("q_map_wellcome", ("Etching; Print; Pictures", "Etching; Print; Third; Pictures"), ("s7 s8", "s7 s8 s9 s10"))
+_whole("q_map_nih3d", ("range(1, 8)", "range(1, 10)"))
 
 
 # readers and sinks -----------------------------------------------------------

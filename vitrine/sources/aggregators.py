@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from vitrine.functions import rights as R
@@ -12,7 +14,7 @@ from vitrine.functions.urls import decode_component, encode_component
 from vitrine.functions.years import parse_years
 from vitrine.schema import file_struct, no_files
 from vitrine.sources.mapping import (
-    SourceMapping, at_most, first, prepared, present, raw, rights_columns, strings, year_columns,
+    Limits, SourceMapping, first, prepared, present, raw, rights_columns, strings, year_columns,
 )
 
 EMPTY = "array<string>"
@@ -25,22 +27,22 @@ NO_TITLE = r"(?i)^\[?(untitled|unknown|zonder titel|ohne titel)\]?$"
 EXCLUDED_PROVIDERS = ["Rijksmuseum", "National Gallery of Denmark", "Wellcome Collection", "Statens Museum for Kunst"]
 
 
-def _europeana_prepare() -> dict[str, Column]:
+def _europeana_prepare(limits: Limits) -> dict[str, Column]:
     named = F.coalesce(first_nonblank(first(raw("dcTitleLangAware.en")), first(raw("dcTitleLangAware.eng"))), first(raw("title")))
     numbers = F.transform(raw("year"), lambda y: y.try_cast("double"))
     usable = F.filter(numbers, lambda y: (y > 0) & (y <= 2100))
     return {
-        "title": clean(named, 220),
+        "title": clean(named, limits.length("title")),
         "shown": first(raw("edmIsShownBy")),
         "rights": R.rights_from_url(F.coalesce(first(raw("rights")), F.lit(""))),
         "number": nonblank(F.regexp_replace(raw("id"), "^/", "")),
         "start": F.array_min(usable).cast("int"),
         "end": F.array_max(usable).cast("int"),
-        "provider": clean(first(raw("dataProvider")), 90),
+        "provider": clean(first(raw("dataProvider")), limits.length("provider")),
     }
 
 
-def _europeana_columns() -> dict[str, Column]:
+def _europeana_columns(limits: Limits) -> dict[str, Column]:
     start, end, shown = prepared("start"), prepared("end"), prepared("shown")
     credit = F.coalesce(F.concat(F.lit(" · "), prepared("provider")), F.lit(""))
     described = first_nonblank(first(raw("dcDescriptionLangAware.en")), first(raw("dcDescription")))
@@ -48,11 +50,11 @@ def _europeana_columns() -> dict[str, Column]:
     return {
         "source_url": F.concat(F.lit("https://www.europeana.eu/en/item/"), prepared("number")),
         "title": prepared("title"),
-        "creator": join_unique(at_most(strings("dcCreator"), 3), "; ", 140),
+        "creator": join_unique(limits.first(strings("dcCreator"), "creator"), "; ", limits.length("creators")),
         "date_display": nonblank(span),
         "year_start": start,
         "year_end": end,
-        "place": join_unique(at_most(strings("country"), 2)),
+        "place": join_unique(limits.first(strings("country"), "place")),
         "public_domain": prepared("rights.public_domain"),
         "rights_label": F.concat(prepared("rights.rights_label"), credit),
         "license_url": first_nonblank(first(raw("rights")), prepared("rights.license_url")),
@@ -61,7 +63,7 @@ def _europeana_columns() -> dict[str, Column]:
         ),
         "image_url": shown,
         "original_url": shown,
-        "text": join_parts(raw("theme"), prepared("provider"), clean(described, 220)),
+        "text": join_parts(raw("theme"), prepared("provider"), clean(described, limits.length("description"))),
     }
 
 
@@ -90,17 +92,17 @@ SKIPPED_ACCOUNTS = ["25053835@N03"]
 ACCOUNT_TYPES = {"61021753@N02": "Book illustration"}
 
 
-def _flickr_prepare() -> dict[str, Column]:
+def _flickr_prepare(limits: Limits) -> dict[str, Column]:
     dated = F.when(~raw("datetaken").startswith("0"), parse_years(F.substring(raw("datetaken"), 1, 4)))
     return {
-        "title": clean(raw("title"), 220),
+        "title": clean(raw("title"), limits.length("title")),
         "book": F.coalesce(raw("account") == BOOK_ACCOUNT, F.lit(False)),
         "rights": R.rights_from_photo_license(raw("license")),
         "years": F.coalesce(parse_years(raw("title")), dated),
     }
 
 
-def _flickr_columns() -> dict[str, Column]:
+def _flickr_columns(limits: Limits) -> dict[str, Column]:
     book, title = prepared("book"), prepared("title")
     medium, large, original = raw("url_m"), nonblank(raw("url_l")), nonblank(raw("url_o"))
     own = None
@@ -111,7 +113,7 @@ def _flickr_columns() -> dict[str, Column]:
             F.lit("https://www.flickr.com/photos/"), F.coalesce(raw("owner"), F.lit("")), F.lit("/"), raw("id")
         ),
         "title": F.when(book, rewrite_page_title(title)).otherwise(title),
-        "creator": clean(first_nonblank(raw("account_name"), raw("ownername")), 100),
+        "creator": clean(first_nonblank(raw("account_name"), raw("ownername")), limits.length("creator")),
         "date_display": prepared("years.start").cast("string"),
         **year_columns(prepared("years")),
         "object_type": F.coalesce(own, F.when(book, "Book illustration").otherwise("Photograph")),
@@ -122,7 +124,7 @@ def _flickr_columns() -> dict[str, Column]:
         "width": F.nullif(to_int(raw("width_m")), F.lit(0).cast("bigint")),
         "height": F.nullif(to_int(raw("height_m")), F.lit(0).cast("bigint")),
         "text": join_parts(
-            F.when(book, "book illustration engraving plate").otherwise("photograph archive"), clean(raw("description._content"), 240)
+            F.when(book, "book illustration engraving plate").otherwise("photograph archive"), clean(raw("description._content"), limits.length("description"))
         ),
     }
 
@@ -144,7 +146,7 @@ FLICKR = SourceMapping(
 # Wellcome Collection ---------------------------------------------------------
 
 
-def _wellcome_prepare() -> dict[str, Column]:
+def _wellcome_prepare(_limits: Limits) -> dict[str, Column]:
     places = F.flatten(F.filter(F.transform(raw("items"), lambda i: i["locations"]), lambda x: x.isNotNull()))
     image = first(F.filter(places, lambda x: (x["locationType"]["id"] == "iiif-image") & nonblank(x["url"]).isNotNull()))
     return {
@@ -163,7 +165,7 @@ def _produced(inner) -> Column:
     return F.flatten(F.transform(raw("production"), lambda p: _labels(inner(p))))
 
 
-def _wellcome_columns() -> dict[str, Column]:
+def _wellcome_columns(limits: Limits) -> dict[str, Column]:
     thumbs = F.regexp_replace(prepared("base"), "^(.*?)/image/", "$1/thumbs/")
 
     people = present(F.transform(raw("contributors"), lambda c: c["agent"]["label"]))
@@ -171,18 +173,18 @@ def _wellcome_columns() -> dict[str, Column]:
     return {
         "source_url": F.concat(F.lit("https://wellcomecollection.org/works/"), raw("id")),
         "title": clean(raw("title")),
-        "creator": join_unique(at_most(people, 3)),
-        "date_display": clean(prepared("date"), 80),
+        "creator": join_unique(limits.first(people, "creator")),
+        "date_display": clean(prepared("date"), limits.length("date")),
         **year_columns(parse_years(prepared("date"))),
-        "object_type": join_unique(F.concat(at_most(_labels(raw("genres")), 2), kind)),
-        "place": join_unique(at_most(_produced(lambda p: p["places"]), 3)),
+        "object_type": join_unique(F.concat(limits.first(_labels(raw("genres")), "kinds"), kind)),
+        "place": join_unique(limits.first(_produced(lambda p: p["places"]), "place")),
         **rights_columns(prepared("rights")),
         "thumb_url": F.concat(thumbs, F.lit("/full/!600,600/0/default.jpg")),
         "image_url": F.concat(thumbs, F.lit("/full/!1024,1024/0/default.jpg")),
         "original_url": F.concat(thumbs, F.lit("/full/!1024,1024/0/default.jpg")),
         "text": join_parts(
-            F.array_join(at_most(_labels(raw("subjects")), 8), " "),
-            clean(first_nonblank(raw("description"), raw("physicalDescription")), 220),
+            F.array_join(limits.first(_labels(raw("subjects")), "subjects"), " "),
+            clean(first_nonblank(raw("description"), raw("physicalDescription")), limits.length("description")),
         ),
     }
 
@@ -204,11 +206,11 @@ WELLCOME = SourceMapping(
 # NYPL ------------------------------------------------------------------------
 
 
-def _nypl_columns() -> dict[str, Column]:
+def _nypl_columns(limits: Limits) -> dict[str, Column]:
     def sized(size: str) -> Column:
         return F.concat(F.lit("https://images.nypl.org/index.php?id="), raw("imageID"), F.lit(f"&t={size}"))
 
-    title = clean(raw("title"), 220)
+    title = clean(raw("title"), limits.length("title"))
     return {
         "source_url": first_nonblank(raw("itemLink"), F.concat(F.lit("https://digitalcollections.nypl.org/items/"), raw("uuid"))),
         "title": title,
@@ -274,13 +276,13 @@ def _formats_label(files: Column) -> Column:
     return F.array_join(F.array_distinct(F.transform(files, lambda f: F.upper(f["format"]))), ", ")
 
 
-def _nasa_prepare() -> dict[str, Column]:
+def _nasa_prepare(_limits: Limits) -> dict[str, Column]:
     html = F.coalesce(raw("content.rendered"), F.lit(""))
     files = F.transform(html_model_urls(html), _nasa_file)
     return {"files": sort_files(files), "preview": nonblank(F.regexp_replace(raw("featured_image_url"), r"(?s)\?.*$", ""))}
 
 
-def _nasa_columns() -> dict[str, Column]:
+def _nasa_columns(limits: Limits) -> dict[str, Column]:
     html = F.coalesce(raw("content.rendered"), F.lit(""))
     unstyled = F.regexp_replace(html, r"<style[\s\S]*?</style>", "")
     preview = prepared("preview")
@@ -296,7 +298,7 @@ def _nasa_columns() -> dict[str, Column]:
         "original_url": preview,
         "content_type": F.lit("3d"),
         "files": prepared("files"),
-        "text": join_parts(F.lit("spacecraft space science 3D model"), clean(first_nonblank(raw("excerpt.rendered"), unstyled), 500)),
+        "text": join_parts(F.lit("spacecraft space science 3D model"), clean(first_nonblank(raw("excerpt.rendered"), unstyled), limits.length("description"))),
         "boost": F.lit(1),
     }
 
@@ -318,7 +320,7 @@ NASA3D = SourceMapping(
 NIH_FORMATS = ["STL", "GLB", "OBJ", "X3D", "WRL", "PLY", "GLTF", "USDZ", "3MF"]
 
 
-def _nih_prepare() -> dict[str, Column]:
+def _nih_prepare(_limits: Limits) -> dict[str, Column]:
     def outputs(sub: Column) -> Column:
         def of_run(run: Column) -> Column:
             usable = F.filter(run["outputFiles"], lambda f: nonblank(f["fileId"]).isNotNull() & nonblank(run["prefectRunId"]).isNotNull())
@@ -354,7 +356,7 @@ def _nih_prepare() -> dict[str, Column]:
     return {"chosen": first(chosen)}
 
 
-def _nih_columns() -> dict[str, Column]:
+def _nih_columns(limits: Limits) -> dict[str, Column]:
     sub, out = prepared("chosen.s"), prepared("chosen.out")
     models = F.transform(
         F.filter(out, lambda f: f["fmt"].isin(NIH_FORMATS)),
@@ -365,7 +367,7 @@ def _nih_columns() -> dict[str, Column]:
     )
     thumb = first(thumbs)["url"]
     number = first_nonblank(raw("threedpxId"), raw("entryId"))
-    words = F.slice(F.array_distinct(F.transform(strings("keywords"), lambda k: F.lower(F.trim(k)))), 1, 12)
+    words = limits.first(F.array_distinct(F.transform(strings("keywords"), lambda k: F.lower(F.trim(k)))), "keywords")
     published = nonblank(F.substring(sub["publishedDate"], 1, 10))
     year = F.substring(published, 1, 4).try_cast("int")
     return {
@@ -381,9 +383,9 @@ def _nih_columns() -> dict[str, Column]:
         "thumb_url": thumb,
         "image_url": thumb,
         "content_type": F.lit("3d"),
-        "files": at_most(models, 8),
+        "files": limits.first(models, "files"),
         "text": join_parts(
-            F.lit("science medicine anatomy 3D model"), raw("category"), F.array_join(words, " "), clean(sub["metadata"]["description"], 250)
+            F.lit("science medicine anatomy 3D model"), raw("category"), F.array_join(words, " "), clean(sub["metadata"]["description"], limits.length("description"))
         ),
     }
 
@@ -406,12 +408,13 @@ NIH3D = SourceMapping(
 FIGURE_HOST = "https://patentimages.storage.googleapis.com/"
 
 
-def patent_clean(c: Column, max_len: int = 300) -> Column:
+def patent_clean(c: Column, max_len: int | None = None) -> Column:
     """Like ``clean`` with the entities search results use; blank stays blank."""
     t = F.regexp_replace(F.coalesce(c.cast("string"), F.lit("")), r"<[^>]+>", " ")
     for entity, char in (("&hellip;", "…"), ("&amp;", "&"), ("&#39;", "'"), ("&quot;", '"')):
         t = F.replace(t, F.lit(entity), F.lit(char))
-    return trim_to(F.trim(F.regexp_replace(t, r"[\s\p{Z}\x{FEFF}]+", " ")), max_len)
+    t = F.trim(F.regexp_replace(t, r"[\s\p{Z}\x{FEFF}]+", " "))
+    return t if max_len is None else trim_to(t, max_len)
 
 
 def _absolute(path: Column) -> Column:
@@ -419,7 +422,7 @@ def _absolute(path: Column) -> Column:
     return F.when(path.startswith("http"), path).otherwise(F.concat(F.lit(FIGURE_HOST), path))
 
 
-def _patent_columns() -> dict[str, Column]:
+def _patent_columns(limits: Limits) -> dict[str, Column]:
     number = raw("publication_number")
     figures = F.coalesce(raw("figures"), F.array().cast("array<struct<thumbnail:string,full:string>>"))
     sheets = F.transform(
@@ -438,8 +441,8 @@ def _patent_columns() -> dict[str, Column]:
     us = number.startswith("US")
     return {
         "source_url": F.concat(F.lit("https://patents.google.com/patent/"), encode_component(number), F.lit("/en")),
-        "title": first_nonblank(patent_clean(raw("title"), 200), number),
-        "creator": nonblank(join_parts(patent_clean(raw("inventor"), 120), patent_clean(raw("assignee"), 120), sep=" · ")),
+        "title": first_nonblank(patent_clean(raw("title"), limits.length("title")), number),
+        "creator": nonblank(join_parts(patent_clean(raw("inventor"), limits.length("person")), patent_clean(raw("assignee"), limits.length("person")), sep=" · ")),
         "date_display": nonblank(
             join_parts(
                 F.concat(F.lit("priority "), nonblank(raw("priority_date"))), F.concat(F.lit("published "), published), sep=" · "
@@ -475,5 +478,5 @@ PATENTS = SourceMapping(
 )
 
 
-def patent_items(records: DataFrame) -> DataFrame:
-    return PATENTS.apply(records)
+def patent_items(records: DataFrame, limits: Mapping[str, Mapping[str, int]] | None = None) -> DataFrame:
+    return PATENTS.apply(records, limits=limits)

@@ -15,7 +15,7 @@ from vitrine.functions.years import parse_years, year_span, years
 from vitrine.operators.aggregates import primary_image, terms_by_object
 from vitrine.schema import file_struct, no_files
 from vitrine.sources.mapping import (
-    SourceMapping, at_most, first, or_untitled, prepared, present, raw, rights_columns, strings, year_columns,
+    Limits, SourceMapping, first, or_untitled, prepared, present, raw, rights_columns, strings, year_columns,
 )
 
 def one_file(format, url, label) -> Column:
@@ -51,13 +51,13 @@ def pending_rows(rows: DataFrame, done: DataFrame, key: str = "met_id") -> DataF
     return rows.join(done.select(key), key, "left_anti")
 
 
-def _met_columns(obj) -> dict[str, Column]:
+def _met_columns(obj, limits: Limits) -> dict[str, Column]:
     # the API value wins when it is there at all, even when it is empty
     def pick(api: str, csv: str) -> Column:
         return F.coalesce(obj(api), raw(csv)) if obj else raw(csv)
 
     artist = clean(pick("artistDisplayName", "Artist Display Name"))
-    bio = clean(pick("artistDisplayBio", "Artist Display Bio"), 120)
+    bio = clean(pick("artistDisplayBio", "Artist Display Bio"), limits.length("biography"))
     begin = F.coalesce(obj("objectBeginDate"), raw("begin")) if obj else raw("begin")
     end = F.coalesce(obj("objectEndDate"), raw("end")) if obj else raw("end")
     terms = F.transform(obj("tags"), lambda t: t["term"]) if obj else F.lit(None).cast("array<string>")
@@ -86,11 +86,11 @@ def _met_api(name: str) -> Column:
     return raw(f"o.{name}")
 
 
-def _met_api_columns() -> dict[str, Column]:
+def _met_api_columns(limits: Limits) -> dict[str, Column]:
     big, small = nonblank(raw("o.primaryImage")), nonblank(raw("o.primaryImageSmall"))
-    views = F.transform(at_most(strings("o.additionalImages"), 8), lambda u: file_struct("jpg", u, "Additional view"))
+    views = F.transform(limits.first(strings("o.additionalImages"), "views"), lambda u: file_struct("jpg", u, "Additional view"))
     return {
-        **_met_columns(_met_api),
+        **_met_columns(_met_api, limits),
         "source_url": first_nonblank(raw("o.objectURL"), _met_record_url()),
         "thumb_url": F.coalesce(small, big),
         "image_url": F.coalesce(small, big),
@@ -108,16 +108,16 @@ MET = SourceMapping(
 )
 
 
-def met_items(csv: DataFrame, objects: DataFrame) -> DataFrame:
+def met_items(csv: DataFrame, objects: DataFrame, limits: Mapping[str, Mapping[str, int]] | None = None) -> DataFrame:
     """CSV rows joined with their API objects."""
     api = objects.select(F.col("objectID").alias("met_id"), F.struct("*").alias("o"))
-    return MET.apply(met_rows(csv).join(api, "met_id"))
+    return MET.apply(met_rows(csv).join(api, "met_id"), limits=limits)
 
 
-def _commons_columns() -> dict[str, Column]:
+def _commons_columns(limits: Limits) -> dict[str, Column]:
     ext = F.coalesce(nonblank(F.lower(F.regexp_extract(raw("filename"), r"(?i)\.([a-z]+)$", 1))), F.lit("jpg"))
     return {
-        **_met_columns(None),
+        **_met_columns(None, limits),
         "source_url": _met_record_url(),
         "thumb_url": raw("u.thumb"),
         "image_url": raw("u.image"),
@@ -135,7 +135,9 @@ MET_COMMONS = SourceMapping(
 )
 
 
-def metwiki_items(pairs: DataFrame, csv: DataFrame, crawled: DataFrame) -> DataFrame:
+def metwiki_items(
+    pairs: DataFrame, csv: DataFrame, crawled: DataFrame, limits: Mapping[str, Mapping[str, int]] | None = None
+) -> DataFrame:
     """Objects known from a (metId, image) list that the crawl has not reached. ``crawled``: column met_id."""
     link = F.regexp_extract(F.trim("image"), r"Special:FilePath/(.+)$", 1)
     found = (
@@ -144,7 +146,7 @@ def metwiki_items(pairs: DataFrame, csv: DataFrame, crawled: DataFrame) -> DataF
         .select(F.col("m").cast("bigint").alias("met_id"), "filename")
     )
     fresh = pending_rows(found, crawled).withColumn("u", commons_urls(F.col("filename")))
-    return MET_COMMONS.apply(fresh.join(met_rows(csv), "met_id"))
+    return MET_COMMONS.apply(fresh.join(met_rows(csv), "met_id"), limits=limits)
 
 
 # National Gallery of Art: three CSV files -----------------------------------
@@ -157,7 +159,7 @@ NGA_OBJECTS = [
 ]
 
 
-def _nga_columns() -> dict[str, Column]:
+def _nga_columns(_limits: Limits) -> dict[str, Column]:
     def sized(size: str) -> Column:
         return F.concat(raw("iiifurl"), F.lit(f"/full/{size}/0/default.jpg"))
 
@@ -208,7 +210,7 @@ def nga_items(images: DataFrame, terms: DataFrame, objects: DataFrame, order: st
 # Cleveland Museum of Art -----------------------------------------------------
 
 
-def _cma_columns() -> dict[str, Column]:
+def _cma_columns(limits: Limits) -> dict[str, Column]:
     web, print_, full = (nonblank(raw(f"images.{k}.url")) for k in ("web", "print", "full"))
     creators = F.transform(raw("creators"), lambda c: first_nonblank(c["description"], c["name"]))
     listed = F.array_compact(
@@ -234,7 +236,7 @@ def _cma_columns() -> dict[str, Column]:
         "height": F.nullif(to_int(raw("images.web.height")), F.lit(0).cast("bigint")),
         "files": F.when(F.size(listed) > 0, listed).otherwise(one_file("jpg", web, "Web")),
         "text": join_parts(
-            raw("department"), raw("collection"), raw("tombstone"), clean(raw("description"), 600),
+            raw("department"), raw("collection"), raw("tombstone"), clean(raw("description"), limits.length("description")),
             F.array_join(strings("artists_tags"), " "),
         ),
     }
@@ -256,7 +258,7 @@ CMA = SourceMapping(
 # Art Institute of Chicago ----------------------------------------------------
 
 
-def _aic_columns() -> dict[str, Column]:
+def _aic_columns(_limits: Limits) -> dict[str, Column]:
     def sized(width: int) -> Column:
         return F.concat(F.lit("https://www.artic.edu/iiif/2/"), raw("image_id"), F.lit(f"/full/{width},/0/default.jpg"))
 
@@ -344,7 +346,7 @@ def _model_file(r: Column) -> Column:
     )
 
 
-def _si_prepare() -> dict[str, Column]:
+def _si_prepare(_limits: Limits) -> dict[str, Column]:
     media = raw("content.descriptiveNonRepeating.online_media.media")
     open_image = F.filter(
         media,
@@ -374,7 +376,7 @@ def _si_prepare() -> dict[str, Column]:
     }
 
 
-def _si_columns() -> dict[str, Column]:
+def _si_columns(limits: Limits) -> dict[str, Column]:
     d = "content.descriptiveNonRepeating"
     ix = "content.indexedStructured"
     image, model = prepared("image"), prepared("model")
@@ -386,7 +388,7 @@ def _si_columns() -> dict[str, Column]:
     thumb = first_nonblank(model["thumbnail"], image["thumbnail"])
     geo = F.flatten(F.transform(raw(f"{ix}.geoLocation"), lambda g: F.transform(F.map_values(g), lambda v: v["content"])))
     types, places = prepared("types"), prepared("places")
-    notes = F.array_join(F.transform(at_most(_si_texts("notes"), 2), lambda s: clean(s, 300)), " | ")
+    notes = F.array_join(F.transform(limits.first(_si_texts("notes"), "notes"), lambda s: clean(s, limits.length("note"))), " | ")
     text = join_parts(
         raw("unit_name"), raw(f"{d}.data_source"), F.array_join(strings(f"{ix}.topic"), " "),
         F.array_join(strings(f"{ix}.name"), " "), notes,
@@ -402,12 +404,12 @@ def _si_columns() -> dict[str, Column]:
             F.concat(F.lit("https://collections.si.edu/search/detail/"), raw(f"{d}.record_ID")),
         ),
         "title": clean(first_nonblank(raw(f"{d}.title.content"), raw("title"))),
-        "creator": join_unique(at_most(_si_texts("name"), 3)),
+        "creator": join_unique(limits.first(_si_texts("name"), "creator")),
         "date_display": clean(prepared("date")),
         **year_columns(prepared("years")),
         "object_type": join_unique(F.when(F.size(types) > 0, types).otherwise(raw(f"{ix}.object_type"))),
         "medium": join_unique(_si_texts("physicalDescription", ["medium", "material", "technique"])),
-        "culture": join_unique(at_most(strings(f"{ix}.culture"), 3)),
+        "culture": join_unique(limits.first(strings(f"{ix}.culture"), "culture")),
         "place": join_unique(F.when(F.size(places) > 0, places).otherwise(present(geo))),
         **rights_columns(R.CC0),
         "thumb_url": F.when(is_model, thumb).otherwise(sized(600)),
@@ -448,7 +450,7 @@ def dc_record(records: DataFrame) -> DataFrame:
     return records.select(F.col("header.identifier").alias("oai_id"), F.col("header.datestamp").alias("datestamp"), *fields)
 
 
-def _rijks_prepare() -> dict[str, Column]:
+def _rijks_prepare(_limits: Limits) -> dict[str, Column]:
     iiif = first(F.filter(raw("relation"), lambda u: u.contains("iiif.micr.io")))
     numbered = first(F.filter(raw("identifier"), lambda s: s.rlike("^[A-Z]{1,4}-")))
     formats = F.transform(raw("format"), lambda f: F.regexp_replace(f, r"\s*\((materiaal|techniek)\)\s*", ""))
@@ -461,7 +463,7 @@ def _rijks_prepare() -> dict[str, Column]:
     }
 
 
-def _rijks_columns(dictionary: Mapping[str, str]) -> dict[str, Column]:
+def _rijks_columns(limits: Limits, dictionary: Mapping[str, str]) -> dict[str, Column]:
     def sized(size: str) -> Column:
         return F.concat(F.lit("https://iiif.micr.io/"), prepared("micrio"), F.lit(f"/full/{size}/0/default.jpg"))
 
@@ -476,18 +478,18 @@ def _rijks_columns(dictionary: Mapping[str, str]) -> dict[str, Column]:
             F.lit("https://www.rijksmuseum.nl/en/collection/"), encode_component(F.coalesce(prepared("number"), F.lit("")))
         ),
         "title": clean(first(raw("title"))),
-        "creator": join_unique(at_most(named, 3)),
+        "creator": join_unique(limits.first(named, "creator")),
         "date_display": clean(first(raw("date"))),
         **year_columns(parse_years(first(raw("date")))),
-        "object_type": join_unique(at_most(F.transform(raw("type"), lambda t: english_type(t, dictionary)), 3)),
-        "medium": join_unique(at_most(prepared("formats"), 4)),
-        "place": join_unique(at_most(raw("coverage"), 3)),
+        "object_type": join_unique(limits.first(F.transform(raw("type"), lambda t: english_type(t, dictionary)), "object_type")),
+        "medium": join_unique(limits.first(prepared("formats"), "medium")),
+        "place": join_unique(limits.first(raw("coverage"), "place")),
         **rights_columns(F.when(zero, R.CC0.struct()).otherwise(R.PD.struct())),
         "thumb_url": sized("500,"),
         "image_url": sized("1600,"),
         "original_url": sized("max"),
         "text": join_parts(
-            english_terms(F.array_join(spoken, " "), dictionary, keep_apostrophes=True), F.array_join(strings("subject"), " "), clean(desc, 200)
+            english_terms(F.array_join(spoken, " "), dictionary, keep_apostrophes=True), F.array_join(strings("subject"), " "), clean(desc, limits.length("description"))
         ),
     }
 
@@ -501,13 +503,17 @@ def rijks_mapping(dictionary: Mapping[str, str] | None = None) -> SourceMapping:
         keep=lambda: prepared("oai").isNotNull()
         & prepared("rights").rlike("(?i)publicdomain/mark|publicdomain/zero")
         & prepared("micrio").isNotNull(),
-        columns=lambda: _rijks_columns(dictionary or {}),
+        columns=lambda limits: _rijks_columns(limits, dictionary or {}),
         prepare=_rijks_prepare,
     )
 
 
-def rijks_items(records: DataFrame, dictionary: Mapping[str, str] | None = None) -> DataFrame:
-    return rijks_mapping(dictionary).apply(dc_record(records))
+def rijks_items(
+    records: DataFrame,
+    dictionary: Mapping[str, str] | None = None,
+    limits: Mapping[str, Mapping[str, int]] | None = None,
+) -> DataFrame:
+    return rijks_mapping(dictionary).apply(dc_record(records), limits=limits)
 
 
 # Harvard Art Museums ---------------------------------------------------------
@@ -515,7 +521,7 @@ def rijks_items(records: DataFrame, dictionary: Mapping[str, str] | None = None)
 MAKER = "(?i)artist|painter|maker|designer|sculptor|printmaker|photographer"
 
 
-def _harvard_prepare() -> dict[str, Column]:
+def _harvard_prepare(_limits: Limits) -> dict[str, Column]:
     shown = F.filter(raw("images"), lambda i: nonblank(i["baseimageurl"]).isNotNull())
     placed = F.transform(
         shown,
@@ -525,7 +531,7 @@ def _harvard_prepare() -> dict[str, Column]:
     return {"image": F.array_min(placed)["i"]}
 
 
-def _harvard_columns() -> dict[str, Column]:
+def _harvard_columns(limits: Limits) -> dict[str, Column]:
     base = prepared("image")["baseimageurl"]
     makers = F.filter(raw("people"), lambda p: F.coalesce(p["role"], F.lit("")).rlike(MAKER))
     names = present(F.transform(makers, lambda p: first_nonblank(p["name"], p["displayname"])))
@@ -537,13 +543,13 @@ def _harvard_columns() -> dict[str, Column]:
             raw("url"), F.concat(F.lit("https://www.harvardartmuseums.org/collections/object/"), raw("objectid").cast("string"))
         ),
         "title": clean(raw("title")),
-        "creator": join_unique(at_most(names, 3)),
-        "date_display": clean(dated, 80),
+        "creator": join_unique(limits.first(names, "creator")),
+        "date_display": clean(dated, limits.length("date")),
         **year_columns(years(raw("datebegin"), raw("dateend"), dated)),
-        "object_type": join_unique(F.concat(F.array(raw("classification")), F.coalesce(at_most(kinds, 2), F.array().cast("array<string>")))),
-        "medium": clean(first_nonblank(raw("medium"), raw("technique")), 160),
+        "object_type": join_unique(F.concat(F.array(raw("classification")), F.coalesce(limits.first(kinds, "kinds"), F.array().cast("array<string>")))),
+        "medium": clean(first_nonblank(raw("medium"), raw("technique")), limits.length("medium")),
         "culture": clean(raw("culture")),
-        "place": join_unique(at_most(places, 3)),
+        "place": join_unique(limits.first(places, "place")),
         "public_domain": F.lit(None),
         "rights_label": F.lit("Harvard Art Museums — verify rights before reuse"),
         "license_url": F.lit("https://harvardartmuseums.org/collections/api"),
@@ -593,7 +599,7 @@ DANISH = {
 }
 
 
-def _smk_prepare() -> dict[str, Column]:
+def _smk_prepare(_limits: Limits) -> dict[str, Column]:
     thumb = F.coalesce(raw("image_thumbnail"), F.lit(""))
     return {
         "iiif": nonblank(F.regexp_extract(thumb, r"^(https://iip-thumb\.smk\.dk/iiif/jp2/[^/]+)/full/", 1)),
@@ -602,7 +608,7 @@ def _smk_prepare() -> dict[str, Column]:
     }
 
 
-def _smk_columns(dictionary: Mapping[str, str]) -> dict[str, Column]:
+def _smk_columns(limits: Limits, dictionary: Mapping[str, str]) -> dict[str, Column]:
     def sized(size: str) -> Column:
         return F.concat(prepared("iiif"), F.lit(f"/full/{size}/0/default.jpg"))
 
@@ -616,11 +622,11 @@ def _smk_columns(dictionary: Mapping[str, str]) -> dict[str, Column]:
     return {
         "source_url": F.concat(F.lit("https://open.smk.dk/en/artwork/image/"), encode_component(raw("object_number"))),
         "title": clean(first(raw("titles"))["title"]),
-        "creator": join_unique(at_most(makers, 3)),
+        "creator": join_unique(limits.first(makers, "creator")),
         "date_display": clean(dated["period"]),
         **year_columns(years(F.substring(dated["start"], 1, 4), F.substring(dated["end"], 1, 4), dated["period"])),
-        "object_type": join_unique(at_most(F.transform(types, lambda t: english_type(t, dictionary)), 3)),
-        "medium": join_unique(at_most(F.concat(strings("techniques"), strings("materials")), 4)),
+        "object_type": join_unique(limits.first(F.transform(types, lambda t: english_type(t, dictionary)), "object_type")),
+        "medium": join_unique(limits.first(F.concat(strings("techniques"), strings("materials")), "medium")),
         **rights_columns(F.when(zero, R.CC0.struct()).otherwise(R.PD.struct())),
         "thumb_url": F.coalesce(sized("!600,600"), thumb),
         "image_url": F.coalesce(sized("!1600,1600"), thumb),
@@ -640,7 +646,7 @@ def smk_mapping(dictionary: Mapping[str, str] = DANISH) -> SourceMapping:
         keep=lambda: nonblank(raw("object_number")).isNotNull()
         & raw("public_domain")
         & (prepared("iiif").isNotNull() | prepared("plain")),
-        columns=lambda: _smk_columns(dictionary),
+        columns=lambda limits: _smk_columns(limits, dictionary),
         prepare=_smk_prepare,
     )
 
